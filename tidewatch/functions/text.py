@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The white space that counts as blank (wider than Java's \s).
 SPACE_CLASS = (
@@ -19,7 +20,7 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _compose(values: pd.Series) -> pd.Series:
     if values.isna().all():
         return values

@@ -13,6 +13,7 @@ from urllib.parse import parse_qsl, quote, urlencode, urlsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tidewatch.constants import TRACKING_PARAMS
 from tidewatch.functions.text import strip
@@ -87,14 +88,14 @@ def _canonical(text: str, strip_tracking: bool) -> str | None:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _normalize_rest(values: pd.Series) -> pd.Series:
     if values.isna().all():
         return values
     return values.map(lambda v: _canonical(v, True), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _parse_rest(values: pd.Series) -> pd.Series:
     if values.isna().all():
         return values

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidewatch.config import Planner
 from tidewatch.functions.places import round_half_up
 from tidewatch.functions.text import num_text
+from tidewatch.operators.scans import lookup
 from tidewatch.sources.pages import is_blocking, manual_action_reason
 
 CARD_FIELDS = (
@@ -352,8 +353,7 @@ def _chain(pieces: pd.DataFrame) -> pd.DataFrame:
     """Compose the run summaries of one group in order."""
     state = np.array([_FNV_START], dtype=np.uint64)
     with np.errstate(over="ignore"):
-        for i, row in enumerate(pieces.sort_values("first", key=lambda s: s.map(
-                lambda t: t.encode("utf-16-be", "surrogatepass"))).itertuples()):
+        for i, row in enumerate(pieces.sort_values("first").itertuples()):
             if i:
                 state = _absorb([10], state)
             scale = np.frombuffer(row.scale, dtype="<u8")
@@ -405,7 +405,7 @@ def verify_listings(listings: DataFrame, visits: DataFrame) -> DataFrame:
     df = df.withColumn("state", F.coalesce("state", F.lit("navigation_error")))
     df = df.withColumn("blocking", is_blocking("state"))
     stop = df.filter("blocking").groupBy("collection_id").agg(F.min("seq").alias("__stop"))
-    return df.join(stop, "collection_id", "left").filter(
+    return lookup(df, stop, ["collection_id"]).filter(
         F.col("__stop").isNull() | (F.col("seq") <= F.col("__stop"))
     ).drop("__stop").withColumn(
         "status", verification_status(F.col("state"), F.col("observed_status")))

@@ -1,0 +1,36 @@
+"""Append-only tables: rows whose key is already stored are not written again."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+
+
+def read_stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or None while nothing was written."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def only_new(df: DataFrame, stored: DataFrame | None, keys: Sequence[str]) -> DataFrame:
+    """One row per key that is not stored.  Duplicates combine before the shuffle."""
+    unique = df.dropDuplicates(list(keys))
+    if stored is None:
+        return unique
+    return unique.join(stored.select(*keys), list(keys), "left_anti")
+
+
+def append_new(df: DataFrame, path: str, keys: Sequence[str],
+               partition_by: Sequence[str] = ()) -> None:
+    """Insert if absent.  A failed write commits nothing, so a rerun is safe."""
+    stored = read_stored(df.sparkSession, path)
+    writer = only_new(df, stored, keys).write.mode("append")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)
