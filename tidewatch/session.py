@@ -13,6 +13,8 @@ def build_session(app: str = "tidewatch", master: str | None = None, **conf: str
         builder = builder.master(master)
     defaults = {
         "spark.sql.session.timeZone": "UTC",
+        # Skips a Python stack capture per column; plans here have many columns.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
