@@ -9,10 +9,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# The white space that counts as blank (wider than Java's \s).
-SPACE_CLASS = (
-    r"[\t\n\u000B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+# The white space that counts as blank (wider than Java's \\s).
+SPACES = (
+    "\t\n\u000b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+    "\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
+SPACE_CLASS = f"[{SPACES}]"
 TRUE_WORDS, FALSE_WORDS = ("true", "1", "yes", "y"), ("false", "0", "no", "n")
 
 
@@ -35,7 +37,7 @@ def nfc(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(_col(c), f"^{SPACE_CLASS}+|{SPACE_CLASS}+$", "")
+    return F.btrim(_col(c), F.lit(SPACES))
 
 
 def collapse(c: Column | str) -> Column:
@@ -103,13 +105,15 @@ def similarity_of_normalized(a: Column, b: Column) -> Column:
 
 
 def parse_integer(c: Column | str) -> Column:
-    text = strip(c)
-    return F.when(text.rlike(r"^-?[0-9]+$"), text.try_cast("bigint"))
+    c = _col(c)
+    return F.when(c.rlike(f"^{SPACE_CLASS}*-?[0-9]+{SPACE_CLASS}*$"),
+                  strip(c).try_cast("bigint"))
 
 
 def parse_decimal(c: Column | str) -> Column:
-    text = strip(c)
-    return F.when(text.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), text.try_cast("double"))
+    c = _col(c)
+    return F.when(c.rlike(f"^{SPACE_CLASS}*-?[0-9]+(\\.[0-9]+)?{SPACE_CLASS}*$"),
+                  strip(c).try_cast("double"))
 
 
 def parse_number(c: Column | str) -> Column:

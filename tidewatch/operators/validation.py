@@ -42,13 +42,15 @@ def validate_rows(
 ) -> DataFrame:
     """Add typed columns under ``row`` and the list of ``rejections`` to raw text rows.
 
-    ``approved_sources`` is a short list, or a table with source_key.
+    ``approved_sources`` is a short list, or a table with source_key.  Cells come back
+    trimmed.
     """
-    df = raw
-    for name in CSV_COLUMNS:
-        if name not in df.columns:
-            df = df.withColumn(name, F.lit(None).cast("string"))
-    given = {c: tx.strip(F.coalesce(F.col(c), F.lit(""))) for c in CSV_COLUMNS}
+    # Trimmed once here; everything below refers to the trimmed cells.
+    df = raw.withColumns({
+        c: tx.strip(F.coalesce(F.col(c), F.lit(""))) if c in raw.columns else F.lit("")
+        for c in CSV_COLUMNS
+    })
+    given = {c: F.col(c) for c in CSV_COLUMNS}
     if isinstance(approved_sources, DataFrame):
         marks = approved_sources.select(
             F.col("source_key").alias("__approved")).distinct()
@@ -57,7 +59,7 @@ def validate_rows(
     else:
         approved = given["source_key"].isin(list(approved_sources))
 
-    value = {c: F.nullif(given[c], F.lit("")) for c in CSV_COLUMNS}
+    value = {c: F.when(given[c] != "", given[c]) for c in CSV_COLUMNS}
     # Parsed once, referenced by checks and by the typed row.
     df = df.withColumn("__p", F.struct(
         parse_timestamp(given["observed_at"]).alias("at"),
@@ -134,11 +136,9 @@ def classify_rows(validated: DataFrame, signature_columns: Sequence[str],
     row_number must be unique within it.
     """
     valid = F.size("rejections") == 0
-    df = validated.withColumns({
-        "__source": F.col("row.source_key"), "__external": F.col("row.external_id"),
-        "__mine": F.when(valid, F.struct("row_number", row_signature(signature_columns).alias("s"))),
-    })
-    keys = [*scope, "__source", "__external"]
+    df = validated.withColumn("__mine", F.when(
+        valid, F.struct("row_number", row_signature(signature_columns).alias("s"))))
+    keys = [*scope, "source_key", "external_id"]
 
     def body(part: DataFrame, segment: str | None) -> DataFrame:
         return running(part, keys, ["row_number"], [Scan("__first", "first", F.col("__mine"))],
@@ -153,12 +153,12 @@ def classify_rows(validated: DataFrame, signature_columns: Sequence[str],
         .otherwise("conflict")
     )
     conflict = _reject("duplicate_conflict", F.concat(
-        F.lit("conflicting duplicate for ("), F.col("__source"), F.lit(", "),
-        F.col("__external"), F.lit(")")), "")
+        F.lit("conflicting duplicate for ("), F.col("source_key"), F.lit(", "),
+        F.col("external_id"), F.lit(")")), "")
     return df.withColumn("outcome", outcome).withColumn("rejections", F.when(
         F.col("outcome") == "conflict",
         F.array(conflict.withField("column", F.lit(None).cast("string"))),
-    ).otherwise(F.col("rejections"))).drop("__source", "__external", "__mine", "__first")
+    ).otherwise(F.col("rejections"))).drop("__mine", "__first")
 
 
 def process_import(raw: DataFrame, approved_sources, coverage: Coverage = Coverage(),
