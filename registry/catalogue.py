@@ -11,7 +11,7 @@ from tidewatch.sinks import reports
 # Tenancy: nations are organisations, customers members, suppliers datasets' grants.
 MEMBERS_SQL = """members AS (
   SELECT c_custkey % 200 AS user_id, c_nationkey AS organization_id,
-    CASE c_custkey % 4 WHEN 0 THEN 'owner' WHEN 1 THEN 'admin' WHEN 2 THEN 'analyst' ELSE 'viewer' END AS role
+    CASE c_custkey % 7 WHEN 0 THEN 'owner' WHEN 1 THEN 'admin' WHEN 2 THEN 'analyst' ELSE 'viewer' END AS role
   FROM customer)"""
 ACCESS_SQL = """access AS (
   SELECT s_nationkey AS organization_id, s_suppkey % 40 AS dataset_id,
@@ -20,8 +20,8 @@ ACCESS_SQL = """access AS (
 
 def _members(t):
     k = F.col("c_custkey")
-    role = F.when(k % 4 == 0, "owner").when(k % 4 == 1, "admin").when(
-        k % 4 == 2, "analyst").otherwise("viewer")
+    role = F.when(k % 7 == 0, "owner").when(k % 7 == 1, "admin").when(
+        k % 7 == 2, "analyst").otherwise("viewer")
     return t.read("customer").select((k % 200).alias("user_id"),
                                      F.col("c_nationkey").alias("organization_id"),
                                      role.alias("role"))
@@ -129,11 +129,11 @@ def property_page_after(t):
 
 @query("property_list", f"""WITH {PROPERTIES_SQL}
 SELECT property_id, canonical_name, n_name AS region_name FROM props
-LEFT JOIN nation ON n_nationkey = region_id WHERE region_id IN (3) AND lifecycle_status = 'active'""")
+LEFT JOIN nation ON n_nationkey = region_id WHERE region_id = 3 AND lifecycle_status = 'confirmed_inactive'""")
 def property_list(t):
     regions = t.read("nation").select(F.col("n_nationkey").alias("region_id"),
                                       F.col("n_name").alias("name"))
-    found = catalogue.properties_of(t.properties, 1, region_id=3, status="active")
+    found = catalogue.properties_of(t.properties, 1, region_id=3, status="confirmed_inactive")
     return catalogue.with_region_name(found, regions).select(
         "property_id", "canonical_name", "region_name")
 
@@ -165,7 +165,7 @@ def map_clusters(t):
 
 
 @query("rich_property_filter", f"""WITH {PROPERTIES_SQL}
-SELECT property_id FROM props WHERE lifecycle_status IN ('active', 'reactivated')
+SELECT property_id FROM props WHERE lifecycle_status IN ('suspected_inactive', 'reactivated')
   AND price BETWEEN 900.5 AND 1500 AND bedrooms >= 10 AND region_id IN (
     SELECT n_nationkey FROM nation WHERE n_regionkey = 2)""")
 def rich_property_filter(t):
@@ -177,7 +177,7 @@ def rich_property_filter(t):
                                     F.lit(None).cast("int").alias("parent_id"))
     below = catalogue.region_closure(nations.unionByName(roots)).filter("ancestor_id = 102")
     return insights.rich_filter(
-        t.properties, status=("active", "reactivated"), min_price=900.5, max_price=1500,
+        t.properties, status=("suspected_inactive", "reactivated"), min_price=900.5, max_price=1500,
         min_bedrooms=10, regions=below).select("property_id")
 
 
@@ -347,7 +347,7 @@ _CELL = ("CASE WHEN regexp_matches({0}, '^[=+\\-@\\t\\r]') THEN '''' || {0} ELSE
 @query("property_export", f"""WITH {PROPERTIES_SQL}
 SELECT concat_ws(',', property_id, canonical_name, region_id, lifecycle_status, property_type,
   coalesce(strftime(last_observed_at, '%Y-%m-%dT%H:%M:%S.%g') || 'Z', '')) AS value
-FROM props WHERE NOT archived AND region_id IN (3, 4, 5) AND region_id = 4""")
+FROM props WHERE NOT archived AND region_id = 4""")
 def property_export(t):
     return reports.csv_lines(reports.property_export(t.properties, 1, region_id=4))
 

@@ -147,7 +147,7 @@ pairs AS (
       * pow(sin(radians(c.longitude - t.longitude) / 2), 2) AS h
   FROM props c, target t WHERE c.property_id <> 5),
 scored AS (
-  SELECT *, 2 * 6371000 * asin(least(1.0, sqrt(h))) AS distance_m,
+  SELECT *, CASE WHEN h IS NOT NULL THEN 2 * 6371000 * asin(least(1.0, sqrt(h))) END AS distance_m,
     1 - levenshtein(a, b) / CAST(greatest(length(a), length(b)) AS DOUBLE) AS similarity FROM pairs),
 ranked AS (SELECT *, CASE WHEN distance_m IS NULL THEN similarity
     ELSE similarity * 0.7 + greatest(0, 1 - distance_m / 5000) * 0.3 END AS score FROM scored)"""
