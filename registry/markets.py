@@ -59,7 +59,7 @@ def points_in_cells(t):
 # --- discoveries -------------------------------------------------------------
 
 def _held(c: str) -> str:
-    return f"min_by({c}, seq) FILTER ({c} IS NOT NULL AND CAST({c} AS VARCHAR) <> '') AS {c}"
+    return f"min_by({c}, (seq, {c})) FILTER ({c} IS NOT NULL AND CAST({c} AS VARCHAR) <> '') AS {c}"
 
 
 _UNIQUE_SQL = DISCOVERIES_SQL + f""",
@@ -74,7 +74,7 @@ def _unique(t):
 
 @query("deduped_discoveries", f"""WITH {_UNIQUE_SQL}, found AS (
   SELECT source_listing_id, cell_id, min(seq) AS s FROM disc GROUP BY 1, 2),
-places AS (SELECT source_listing_id, string_agg(CAST(cell_id AS VARCHAR), ',' ORDER BY s) AS discovery_cells
+places AS (SELECT source_listing_id, string_agg(CAST(cell_id AS VARCHAR), ',' ORDER BY s, cell_id) AS discovery_cells
   FROM found GROUP BY 1)
 SELECT uniq.*, discovery_cells FROM uniq JOIN places USING (source_listing_id)""")
 def deduped_discoveries(t):
@@ -326,36 +326,47 @@ def _search_corpus(t):
             F.array_join(F.transform("c", lambda x: x["card"]), ""), F.lit("</body></html>")).alias("html"))
 
 
-@query("search_page_states", """SELECT l_orderkey AS page_id, CASE l_orderkey % 20 WHEN 3 THEN 'captcha'
-    WHEN 7 THEN 'blocked' WHEN 9 THEN 'login_challenge' ELSE 'ok' END AS state,
-  CASE WHEN l_orderkey % 20 IN (3, 7, 9) THEN 0 ELSE count(*) FILTER (l_linenumber <> 4) END AS cards,
-  CASE WHEN l_orderkey % 20 IN (3, 7, 9) THEN 0 ELSE count(*) FILTER (l_linenumber = 4) END AS malformed_count
-FROM lineitem GROUP BY 1""")
+# A page whose text shows 429 anywhere counts as blocked, ids and prices included.
+_SEARCH_STATES_SQL = """page_state AS (
+  SELECT l_orderkey AS page_id, CASE WHEN l_orderkey % 20 = 3 THEN 'captcha' WHEN l_orderkey % 20 = 9 THEN 'login_challenge'
+    WHEN l_orderkey % 20 = 7 OR bool_or(contains(l_partkey || '|' || CAST(floor(l_extendedprice) AS BIGINT), '429'))
+      THEN 'blocked' ELSE 'ok' END AS state,
+    count(*) FILTER (l_linenumber <> 4) AS good, count(*) FILTER (l_linenumber = 4) AS bad
+  FROM lineitem GROUP BY 1)"""
+
+
+@query("search_page_states", f"""WITH {_SEARCH_STATES_SQL}
+SELECT page_id, state, CASE WHEN state = 'ok' THEN good ELSE 0 END AS card_count,
+  CASE WHEN state = 'ok' THEN bad ELSE 0 END AS malformed_count FROM page_state""")
 def search_page_states(t):
     return html.search_pages(_search_corpus(t)).select(
-        "page_id", "state", F.size("cards").cast("bigint").alias("cards"), "malformed_count")
+        "page_id", "state", "card_count", "malformed_count")
 
 
-@query("search_page_cards", """SELECT l_orderkey AS page_id, CAST(l_partkey AS VARCHAR) AS source_listing_id,
+@query("search_page_cards", f"""WITH {_SEARCH_STATES_SQL}
+SELECT page_id, CAST(l_partkey AS VARCHAR) AS source_listing_id,
   'Room ' || l_partkey AS title, CAST('4.' || (l_orderkey % 10) AS DOUBLE) AS rating,
   CAST(l_quantity AS BIGINT) AS review_count, CAST(CAST(floor(l_extendedprice) AS BIGINT) AS VARCHAR) AS displayed_price,
-  '/rooms/plus/' || l_partkey || '?x=1' AS canonical_url, CAST(NULL AS VARCHAR) AS area FROM lineitem
-WHERE l_linenumber <> 4 AND l_orderkey % 20 NOT IN (3, 7, 9)""")
+  '/rooms/plus/' || l_partkey || '?x=1' AS canonical_url, CAST(NULL AS VARCHAR) AS area
+FROM lineitem JOIN page_state ON page_id = l_orderkey WHERE l_linenumber <> 4 AND state = 'ok'""")
 def search_page_cards(t):
-    return html.cards(html.search_pages(_search_corpus(t)), "page_id").select(
+    return html.cards(_search_corpus(t), "page_id").select(
         "page_id", "source_listing_id", "title", "rating", "review_count", "displayed_price",
         "canonical_url", "area")
 
 
-@query("detail_pages", """SELECT p_partkey AS page_id, CASE WHEN p_partkey % 9 = 4 THEN 'access_denied' ELSE 'ok' END AS state,
-  CASE WHEN p_partkey % 9 = 4 THEN 'blocked' ELSE 'collected' END AS observed_status,
-  CAST(p_partkey AS VARCHAR) AS source_listing_id,
-  CASE WHEN p_partkey % 9 <> 4 THEN 'A ' || p_name || ' to rent' END AS description,
-  CASE WHEN p_partkey % 9 <> 4 THEN p_type END AS property_type,
-  CASE WHEN p_partkey % 9 <> 4 THEN CAST(p_size AS DOUBLE) END AS bedrooms,
-  CASE WHEN p_partkey % 9 <> 4 THEN p_partkey % 2 = 0 END AS is_superhost,
-  CASE WHEN p_partkey % 9 <> 4 THEN 'Pool,' || p_brand ELSE '' END AS amenities,
-  CASE WHEN p_partkey % 9 <> 4 THEN 'a' || p_partkey || '.jpg,b.jpg' ELSE '' END AS photos FROM part""")
+@query("detail_pages", """WITH shown AS (
+  SELECT *, CASE WHEN p_partkey % 9 = 4 THEN 'access_denied'
+    WHEN contains(concat_ws('|', p_partkey, p_size, p_brand, p_type, p_name), '429') THEN 'blocked' ELSE 'ok' END AS state
+  FROM part)
+SELECT p_partkey AS page_id, state, CASE state WHEN 'access_denied' THEN 'blocked' WHEN 'ok' THEN 'collected' END AS observed_status,
+  CASE WHEN state <> 'blocked' THEN CAST(p_partkey AS VARCHAR) END AS source_listing_id,
+  CASE state WHEN 'ok' THEN 'A ' || p_name || ' to rent' END AS description,
+  CASE state WHEN 'ok' THEN p_type END AS property_type,
+  CASE state WHEN 'ok' THEN CAST(p_size AS DOUBLE) END AS bedrooms,
+  CASE state WHEN 'ok' THEN p_partkey % 2 = 0 END AS is_superhost,
+  CASE state WHEN 'ok' THEN 'Pool,' || p_brand WHEN 'access_denied' THEN '' END AS amenities,
+  CASE state WHEN 'ok' THEN 'a' || p_partkey || '.jpg,b.jpg' WHEN 'access_denied' THEN '' END AS photos FROM shown""")
 def detail_pages(t):
     k = F.col("p_partkey")
     key = k.cast("string")

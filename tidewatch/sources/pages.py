@@ -28,7 +28,7 @@ STATE_PHRASES = (
     ("blocked", r"temporarily blocked|too many requests|rate limit|429"),
     ("no_results", r"no exact matches|no results found|0 results"),
 )
-CARD = r'(?i)<article\b([^>]*\bdata-testid="listing-card"[^>]*)>([\s\S]*?)</article>'
+CARD = r'(?i)<article\b[^>]*\bdata-testid="listing-card"[^>]*>[\s\S]*?</article>'
 DETAIL = r'(?i)<main\b([^>]*\bdata-testid="listing-detail"[^>]*)>([\s\S]*?)</main>'
 ANCHOR = r'(?i)<a\b([^>]*\bhref="[^"]*"[^>]*)>([\s\S]*?)</a>'
 
@@ -39,11 +39,12 @@ def _first(c: Column, pattern: str, group: int = 1) -> Column:
 
 
 def _attr(tag: Column, name: str) -> Column:
-    return F.nullif(tx.strip(_first(tag, rf'(?i)\b{name}="([^"]*)"')), F.lit(""))
+    return F.nullif(tx.strip(F.regexp_extract(tag, rf'(?i)\b{name}="([^"]*)"', 1)), F.lit(""))
 
 
 def _meta(html: Column, name: str) -> Column:
-    return tx.strip(_first(html, rf'(?i)<meta[^>]*name="{name}"[^>]*content="([^"]*)"'))
+    found = F.regexp_extract(html, rf'(?i)<meta[^>]*name="{name}"[^>]*content="([^"]*)"', 1)
+    return F.nullif(tx.strip(found), F.lit(""))
 
 
 def plain_text(c: Column) -> Column:
@@ -75,15 +76,55 @@ def is_blocking(state: Column | str) -> Column:
     return state.isin(*MANUAL_ACTION_REASONS)
 
 
-def _card(block: Column) -> Column:
-    tag, inner = F.regexp_extract(block, CARD, 1), F.regexp_extract(block, CARD, 2)
-    url = F.coalesce(_first(inner, r'(?i)href="([^"]*)"'), _attr(tag, "data-canonical-url"))
-    return F.struct(
-        F.coalesce(normalize_listing_id(_attr(tag, "data-listing-id")),
-                   listing_id_from_url(url)).alias("source_listing_id"),
-        url.alias("canonical_url"),
-        F.coalesce(plain_text(_first(inner, r"(?i)<a\b[^>]*>([\s\S]*?)</a>")),
-                   _attr(tag, "data-title")).alias("title"),
+def _blocks(pages: DataFrame, state_meta: str) -> DataFrame:
+    """Add the page state and, for readable pages, the card blocks of the markup."""
+    df = pages.withColumn("state", page_state("html", state_meta))
+    found = F.regexp_extract_all("html", F.lit(CARD), F.lit(0))
+    return df.withColumn("__blocks", F.when(
+        F.col("state").isin("ok", "no_results"), found).otherwise(
+        F.array().cast("array<string>")))
+
+
+def _block_listing(block: Column) -> Column:
+    named = F.regexp_extract(block, r'(?i)^<article\b[^>]*\bdata-listing-id="([^"]*)"', 1)
+    return F.coalesce(normalize_listing_id(named), listing_id_from_url(_block_url(block)))
+
+
+def _block_url(block: Column) -> Column:
+    link = r'(?i)^<article\b[^>]*>[\s\S]*?href="([^"]*)"'
+    canonical = r'(?i)^<article\b[^>]*\bdata-canonical-url="([^"]*)"'
+    return F.coalesce(_first(block, link),
+                      F.nullif(tx.strip(F.regexp_extract(block, canonical, 1)), F.lit("")))
+
+
+def search_pages(pages: DataFrame, state_meta: str = STATE_META) -> DataFrame:
+    """Add state, card_count and malformed_count to a table with an html column."""
+    df = _blocks(pages, state_meta)
+    named = F.size(F.filter("__blocks", lambda b: _block_listing(b).isNotNull()))
+    empty = (F.col("state") == "ok") & (F.size("__blocks") == 0)
+    return df.withColumn("card_count", named.cast("bigint")).withColumns({
+        "malformed_count": F.size("__blocks") - F.col("card_count"),
+        "state": F.when(empty, "no_results").otherwise(F.col("state")),
+    }).drop("__blocks")
+
+
+def cards(pages: DataFrame, *keep: str, state_meta: str = STATE_META) -> DataFrame:
+    """One row per usable card, with its position on the page.
+
+    Blocks become rows first, so tag and content are cut out once per card.
+    """
+    block, tag, inner = F.col("block"), F.col("open_tag"), F.col("__inner")
+    df = _blocks(pages, state_meta).select(*keep, F.posexplode("__blocks").alias(
+        "position", "block")).withColumns({
+            "open_tag": F.regexp_extract(block, r"(?i)^<article\b([^>]*)>", 1),
+            "__inner": F.regexp_extract(block, r"(?i)^<article\b[^>]*>([\s\S]*)</article>$", 1),
+            "source_listing_id": _block_listing(block),
+            "canonical_url": _block_url(block),
+        }).filter(F.col("source_listing_id").isNotNull())
+    title = plain_text(F.regexp_extract(inner, r"(?i)<a\b[^>]*>([\s\S]*?)</a>", 1))
+    return df.select(
+        *keep, "position", "source_listing_id", "canonical_url",
+        F.coalesce(title, _attr(tag, "data-title")).alias("title"),
         _attr(tag, "data-area").alias("area"),
         tx.leading_number(_attr(tag, "data-rating")).alias("rating"),
         tx.leading_integer(_attr(tag, "data-review-count")).alias("review_count"),
@@ -93,45 +134,22 @@ def _card(block: Column) -> Column:
         tx.leading_integer(_attr(tag, "data-bedrooms")).alias("bedrooms"),
         _attr(tag, "data-image").alias("image_url"),
         tx.leading_number(_attr(tag, "data-lat")).alias("latitude"),
-        tx.leading_number(_attr(tag, "data-lng")).alias("longitude"),
-        tag.alias("open_tag"),
-    )
-
-
-def search_pages(pages: DataFrame, state_meta: str = STATE_META) -> DataFrame:
-    """Add state, cards (array) and malformed_count to a table with an html column."""
-    df = pages.withColumn("__declared", page_state("html", state_meta))
-    readable = F.col("__declared").isin("ok", "no_results")
-    blocks = F.when(readable, F.regexp_extract_all("html", F.lit(CARD), F.lit(0))).otherwise(
-        F.array().cast("array<string>"))
-    df = df.withColumn("__cards", F.transform(blocks, _card))
-    cards = F.filter("__cards", lambda c: c["source_listing_id"].isNotNull())
-    empty = (F.col("__declared") == "ok") & (F.size("__cards") == 0)
-    return df.withColumns({
-        "cards": cards,
-        "malformed_count": (F.size("__cards") - F.size(cards)).cast("bigint"),
-        "state": F.when(empty, "no_results").otherwise(F.col("__declared")),
-    }).drop("__cards", "__declared")
-
-
-def cards(searched: DataFrame, *keep: str) -> DataFrame:
-    """One row per card, with its position on the page."""
-    return searched.select(*keep, F.posexplode("cards").alias("position", "c")).select(
-        *keep, "position", "c.*")
+        tx.leading_number(_attr(tag, "data-lng")).alias("longitude"), "open_tag")
 
 
 def _items(inner: Column, block: str, item: str) -> Column:
-    held = F.coalesce(_first(inner, block), F.lit(""))
-    return F.regexp_extract_all(held, F.lit(item), F.lit(1))
+    return F.regexp_extract_all(F.regexp_extract(inner, block, 1), F.lit(item), F.lit(1))
 
 
 def detail_pages(pages: DataFrame, state_meta: str = STATE_META, id_meta: str = ID_META,
                  url_meta: str = URL_META) -> DataFrame:
     """Add state and the detail record; the record is NULL when no listing is named."""
     html = F.col("html")
-    df = pages.withColumn("state", page_state("html", state_meta))
-    block = _first(html, DETAIL, 0)
-    tag, inner = F.regexp_extract(block, DETAIL, 1), F.regexp_extract(block, DETAIL, 2)
+    df = pages.withColumns({
+        "state": page_state("html", state_meta),
+        "__tag": F.regexp_extract(html, DETAIL, 1), "__inner": F.regexp_extract(html, DETAIL, 2),
+    })
+    tag, inner = F.col("__tag"), F.col("__inner")
     ok = F.col("state") == "ok"
     blocked = is_blocking("state") & (F.col("state") != "navigation_error")
     observed = F.when(ok, "collected").when(F.col("state") == "no_results", "unavailable").when(
@@ -139,7 +157,7 @@ def detail_pages(pages: DataFrame, state_meta: str = STATE_META, id_meta: str =
     listing = F.when(ok, F.coalesce(
         normalize_listing_id(_attr(tag, "data-listing-id")),
         listing_id_from_url(_attr(tag, "data-canonical-url")))).otherwise(F.coalesce(
-            F.nullif(normalize_listing_id(_meta(html, id_meta)), F.lit("")),
+            normalize_listing_id(_meta(html, id_meta)),
             listing_id_from_url(_meta(html, url_meta))))
 
     def seen(value: Column) -> Column:
@@ -154,7 +172,8 @@ def detail_pages(pages: DataFrame, state_meta: str = STATE_META, id_meta: str =
     nothing = F.array().cast("array<string>")
     record = F.struct(
         listing.alias("source_listing_id"), observed.alias("observed_status"),
-        seen(plain_text(_first(inner, r'(?i)data-testid="description"[^>]*>([\s\S]*?)<')))
+        seen(plain_text(F.regexp_extract(
+            inner, r'(?i)data-testid="description"[^>]*>([\s\S]*?)<', 1)))
         .alias("description"),
         seen(_attr(tag, "data-property-type")).alias("property_type"),
         seen(tx.leading_number(_attr(tag, "data-bedrooms"))).alias("bedrooms"),
@@ -168,7 +187,7 @@ def detail_pages(pages: DataFrame, state_meta: str = STATE_META, id_meta: str =
         F.coalesce(seen(photos), nothing).alias("photo_urls"),
     )
     return df.withColumn("__d", record).withColumn("detail", F.when(
-        F.col("__d.source_listing_id").isNotNull(), F.col("__d"))).drop("__d")
+        F.col("__d.source_listing_id").isNotNull(), F.col("__d"))).drop("__d", "__tag", "__inner")
 
 
 def listing_links(pages: DataFrame, base_url: str, marker: str = "/rooms/") -> DataFrame:
