@@ -81,39 +81,39 @@ def hot_keys(df: DataFrame, keys: Sequence[str], at: str | None = None) -> DataF
     """
     limit = rows_per_group(df)
     position = F.col(at) if at else F.lit(0)
-    aggs = [F.count(F.lit(1)).alias("__n"),
-            F.min(position).cast("long").alias("__lo"),
-            F.max(position).cast("long").alias("__hi")]
+    aggs = [F.count(F.lit(1)).alias("__hot_n"),
+            F.min(position).cast("long").alias("__hot_lo"),
+            F.max(position).cast("long").alias("__hot_hi")]
     found = (
         df.groupBy(*keys).agg(*aggs)
-        .filter(F.col("__n") > limit)
-        .orderBy(F.desc("__n")).limit(MAX_HOT_KEYS)
+        .filter(F.col("__hot_n") > limit)
+        .orderBy(F.desc("__hot_n")).limit(MAX_HOT_KEYS)
     )
     rows = found.collect()
     if not rows:
         return None
     table = df.sparkSession.createDataFrame(rows, found.schema)
-    return table.withColumn("__parts", F.ceil(F.col("__n") / F.lit(limit)) * 2)
+    return table.withColumn("__hot_parts", F.ceil(F.col("__hot_n") / F.lit(limit)) * 2)
 
 
 def _match(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, Column]:
-    renamed = hot.select(*[F.col(k).alias(f"__hot_{k}") for k in keys],
+    renamed = hot.select(*[F.col(k).alias(f"__key_{k}") for k in keys],
                          *[c for c in hot.columns if c not in keys])
     condition = F.lit(True)
     for k in keys:
-        condition = condition & F.col(k).eqNullSafe(F.col(f"__hot_{k}"))
+        condition = condition & F.col(k).eqNullSafe(F.col(f"__key_{k}"))
     return renamed, condition
 
 
 def mark_segments(df: DataFrame, keys: Sequence[str], at: str, hot: DataFrame) -> DataFrame:
     """Add the segment number of hot rows; NULL marks a row of an ordinary key."""
     table, condition = _match(df, hot, keys)
-    span = F.col("__hi") - F.col("__lo") + F.lit(1.0)
-    part = F.floor((F.col(at) - F.col("__lo")) / span * F.col("__parts")).cast("long")
+    span = F.col("__hot_hi") - F.col("__hot_lo") + F.lit(1.0)
+    part = F.floor((F.col(at) - F.col("__hot_lo")) / span * F.col("__hot_parts")).cast("long")
     return (
         df.join(F.broadcast(table), condition, "left")
         .withColumn(SEGMENT, part)
-        .drop("__n", "__lo", "__hi", "__parts", *[f"__hot_{k}" for k in keys])
+        .drop(*table.columns)
     )
 
 
