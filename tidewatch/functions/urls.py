@@ -18,12 +18,15 @@ from pyspark.sql.types import StringType
 from tidewatch.constants import TRACKING_PARAMS
 from tidewatch.functions.text import strip
 
+# Every "/" opens the next repetition, so a mismatch is found without backtracking.
 _PLAIN = (
-    r"^(?i:https?)://[A-Za-z0-9-]*[A-Za-z][A-Za-z0-9.-]*(:[0-9]{1,5})?"
-    r"(/([A-Za-z0-9_~!$&()*+,;=:@-][A-Za-z0-9_.~!$&()*+,;=:@-]*/*)*)?"
-    r"(\?[A-Za-z0-9_.*-]*(=[A-Za-z0-9_.*-]*)?(&[A-Za-z0-9_.*-]*(=[A-Za-z0-9_.*-]*)?)*)?"
-    r"(#[A-Za-z0-9_.~!$&()*+,;=:@/?-]*)?$"
+    r"^(?i:https?)://[A-Za-z0-9.-]+(?::[0-9]{1,5})?"
+    r"(?:/[A-Za-z0-9_.~!$&()*+,;=:@-]*+)*+"
+    r"(?:\?[A-Za-z0-9_.*-]*+(?:=[A-Za-z0-9_.*-]*+)?(?:&[A-Za-z0-9_.*-]*+(?:=[A-Za-z0-9_.*-]*+)?)*+)?"
+    r"(?:#[A-Za-z0-9_.~!$&()*+,;=:@/?-]*+)?$"
 )
+# Dot segments and all-numeric hosts need more than string surgery.
+_SPECIAL = r"(?:/\.{1,2}(?:[/?#]|$))|(?:^[A-Za-z]+://[0-9.]+(?:[:/?#]|$))"
 _PARTS = r"^([A-Za-z]+)://([^/?#:]+)(?::([0-9]+))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 _PATH_SAFE = "/!$&'()*+,;=:@~%-._|[]^"
 
@@ -134,9 +137,9 @@ def normalize_url(c: Column | str, edge_cases: bool = True) -> Column:
     return _with_rest(c, built, _normalize_rest, edge_cases)
 
 
-def parse_http_url(c: Column | str, edge_cases: bool = True) -> Column:
+def parse_http_url(c: Column | str, edge_cases: bool = True, trimmed: bool = False) -> Column:
     """The URL as a browser would print it, nothing removed; NULL when not http(s)."""
-    c = strip(c)
+    c = _col(c) if trimmed else strip(c)
     piece = _pieces(c)
     built = F.concat(
         piece["base"], F.when(piece["path"] == "", "/").otherwise(piece["path"]),
@@ -145,7 +148,7 @@ def parse_http_url(c: Column | str, edge_cases: bool = True) -> Column:
 
 
 def _with_rest(c: Column, built: Column, rest, edge_cases: bool) -> Column:
-    plain = c.rlike(_PLAIN)
+    plain = c.rlike(_PLAIN) & ~c.rlike(_SPECIAL)
     if not edge_cases:
         return F.when(plain, built)
     return F.when(plain, built).otherwise(rest(F.when(~plain, c)))

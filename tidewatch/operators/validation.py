@@ -60,18 +60,18 @@ def validate_rows(
         approved = given["source_key"].isin(list(approved_sources))
 
     value = {c: F.when(given[c] != "", given[c]) for c in CSV_COLUMNS}
-    # Parsed once, referenced by checks and by the typed row.
-    df = df.withColumn("__p", F.struct(
-        parse_timestamp(given["observed_at"]).alias("at"),
-        tx.parse_decimal(value["rating"]).alias("rating"),
-        tx.parse_integer(value["review_count"]).alias("reviews"),
-        tx.parse_decimal(value["latitude"]).alias("lat"),
-        tx.parse_decimal(value["longitude"]).alias("lng"),
-        F.upper(value["observed_price_currency"]).alias("currency"),
-        *[parse_http_url(value[c], edge_cases).alias(c) for c in _URLS],
-    ))
-    p = {f: F.col(f"__p.{f}") for f in
-         ("at", "rating", "reviews", "lat", "lng", "currency", *_URLS)}
+    # Parsed once as columns of their own, used by the checks and by the typed row.
+    parsed = {
+        "at": parse_timestamp(given["observed_at"]),
+        "rating": tx.parse_decimal(value["rating"]),
+        "reviews": tx.parse_integer(value["review_count"]),
+        "lat": tx.parse_decimal(value["latitude"]),
+        "lng": tx.parse_decimal(value["longitude"]),
+        "currency": F.upper(value["observed_price_currency"]),
+        **{c: parse_http_url(value[c], edge_cases, trimmed=True) for c in _URLS},
+    }
+    df = df.withColumns({f"__p_{name}": column for name, column in parsed.items()})
+    p = {name: F.col(f"__p_{name}") for name in parsed}
     has_place = value["latitude"].isNotNull() | value["longitude"].isNotNull()
     place_ok = valid_point(p["lat"], p["lng"])
     covered = F.coalesce(within_coverage(p["lat"], p["lng"], coverage), F.lit(False))
@@ -119,7 +119,8 @@ def validate_rows(
         *[value[c].alias(c) for c in _TEXTS],
     )
     rejections = F.filter(F.array(*checks), lambda r: r.isNotNull())
-    return df.withColumns({"rejections": rejections, "row": typed}).drop("__p", "__approved")
+    return df.withColumns({"rejections": rejections, "row": typed}).drop(
+        "__approved", *[f"__p_{name}" for name in parsed])
 
 
 def row_signature(columns: Sequence[str]) -> Column:

@@ -32,13 +32,17 @@ def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     Every part file starts with the header.  ``single_file`` is for reports of bounded
     size (a page, a digest); large exports stay in many part files.
     """
-    # csv() quotes on its own rules, so lines are built here and written as text.
-    header = csv_header(df.columns)
-    lines = csv_lines(df)
+    header, lines = csv_header(df.columns), csv_lines(df)
     if single_file:
-        lines = lines.coalesce(1)
-    with_header = lines.mapInArrow(_prepend(header), "value string")
-    with_header.write.option("lineSep", "\r\n").mode("overwrite").text(path)
+        first = df.sparkSession.createDataFrame([(header,)], "value string")
+        out = first.unionAll(lines).coalesce(1)
+    else:
+        # The low 33 bits of this id count rows inside a part, so 0 is its first row.
+        offset = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        out = lines.select(F.when(offset == 0, F.concat(
+            F.lit(header + "\r\n"), "value")).otherwise(F.col("value")).alias("value"))
+    # csv() would quote by its own rules, so finished lines are written as text.
+    out.write.option("lineSep", "\r\n").mode("overwrite").text(path)
 
 
 def csv_header(columns: Sequence[str]) -> str:
@@ -50,16 +54,6 @@ def csv_header(columns: Sequence[str]) -> str:
     return ",".join(cells)
 
 
-def _prepend(header: str):
-    def add(batches):
-        import pyarrow as pa
-
-        yield pa.RecordBatch.from_arrays([pa.array([header])], names=["value"])
-        yield from batches
-
-    return add
-
-
 def csv_document(df: DataFrame, limit: int = SYNC_EXPORT_LIMIT) -> str:
     """The whole document as text, for downloads of at most ``limit`` rows."""
     rows = csv_lines(df.limit(limit + 1)).collect()
