@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.constants import FIXTURE_PARSER_VERSION
@@ -42,3 +42,25 @@ def fixture_observations(listings: DataFrame, source_key: str, requested_at: str
         "evidence": F.struct(F.lit("fixture").alias("method"),
                              F.lit("controlled fixture data").alias("notes")),
     })
+
+
+def demo_listings(spark: SparkSession, listings: int = 25, properties: int = 20,
+                  prefix: str = "demo") -> DataFrame:
+    """A small catalogue for trying things out; later listings share early properties."""
+    n = F.col("n")
+    home = (n - 1) % properties + 1
+    label = lambda kind, c: F.md5(F.concat(
+        F.lit(f"{prefix}-{kind}-"), c.cast("string")))
+    code = F.concat(F.lit("demo-"), F.lpad(n.cast("string"), 3, "0"))
+    return spark.range(1, listings + 1).withColumnRenamed("id", "n").select(
+        label("listing", n).alias("listing_id"), label("property", home).alias("property_id"),
+        code.alias("external_id"), F.lit("active").alias("observation_status"),
+        F.concat(F.lit("Demo Villa "), home.cast("string")).alias("title"),
+        F.concat(F.lit("https://fixture.local/listing/"), code).alias("source_url"),
+        F.round(F.lit(-8.60) - (n % 10) * 0.02, 3).alias("latitude"),
+        F.round(F.lit(115.10) + (n % 12) * 0.02, 3).alias("longitude"),
+        F.round(F.lit(4.5) + (n % 5) * 0.1, 2).alias("rating"),
+        (50 + n * 3).alias("review_count"),
+        (2_000_000 + n * 100_000).cast("string").alias("price_amount"),
+        F.lit("IDR").alias("price_currency"), F.lit("night").alias("price_unit"),
+    )
