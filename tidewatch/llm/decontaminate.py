@@ -68,8 +68,11 @@ def build_index(docs: DataFrame, items: DataFrame, broadcast_terms: int = BROADC
     end = docs.sparkSession.createDataFrame([("", -1)], "word string, term long")
     known = terms.union(end)
     known = F.broadcast(known) if small else known
+    # The row number is given before the words are dealt out, one for each document.
     postings = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
+        "text").select(
+        "row", "doc_id",
         F.posexplode(F.concat(_words("text"), F.array(F.lit("")))).alias("pos", "w"),
     ).withColumn("word", _lower(F.col("w"))).join(known, "word").select(
         "row", F.when(F.col("term") == -1, F.col("doc_id")).alias("doc_id"), "pos", "term")
