@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,8 +26,26 @@ def build_session(app: str = "tidewatch", master: str | None = None, **conf: str
     return prepare(builder.getOrCreate())
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, wherever the driver was started."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tidewatch_shipped", False):
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="spark-"), "tidewatch.zip")
+    with zipfile.ZipFile(target, "w") as archive:
+        for folder, _, names in os.walk(home):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    archive.write(path, os.path.relpath(path, os.path.dirname(home)))
+    sc.addPyFile(target)
+    sc._tidewatch_shipped = True
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Timestamps are UTC at rest; everything else keeps the caller's settings."""
+    ship_package(spark)
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
