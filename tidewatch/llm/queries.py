@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import common, decontaminate, exact_dedup, simhash
+import public_tokenizers
+
+from tidewatch.llm import (
+    common, decontaminate, exact_dedup, packing, personal_data, simhash, substring_dedup, token_files,
+)
 from tidewatch.session import prepare
 
 
@@ -12,16 +16,36 @@ def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.deduplicate(common.documents(prepare(spark), folder))
 
 
+def op3_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_data.personal_data(common.documents(prepare(spark), folder))
+
+
 def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(common.documents(prepare(spark), folder))
 
 
+def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(common.documents(prepare(spark), folder),
+                        public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     items = spark.read.parquet(f"{folder}/benchmark.parquet")
     return decontaminate.contamination(common.documents(prepare(spark), folder), items).drop("n_near")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op5_simhash, op7_decontamination)}
+def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.remove_repeats(common.documents(prepare(spark), folder))
+
+
+def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files.tokens_in_files(common.documents(prepare(spark), folder),
+                                       public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_exact_dedup, op3_personal_data, op5_simhash, op6_packing, op7_decontamination,
+    op9_substring_dedup, op10_token_files)}
 
 SQL: dict[str, str] = {
     "op1_exact_dedup": r"""
