@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import public_tokenizers
 
 from tidewatch.llm import (
-    common, decontaminate, exact_dedup, packing, personal_data, simhash, substring_dedup, token_files,
+    chat, common, decontaminate, exact_dedup, language, packing, personal_data, simhash,
+    substring_dedup, token_files,
 )
 from tidewatch.session import prepare
 
@@ -20,6 +22,24 @@ def op3_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return personal_data.personal_data(common.documents(prepare(spark), folder))
 
 
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and pages: documents train the text model and are told by text and source,
+    pages by text, markup, suffix and host."""
+    docs = common.documents(prepare(spark), folder)
+    languages, table = language.train(docs)
+    columns = ["doc_id", "page_id", "lang", "confidence", "text_lang", "kept"]
+    parts = []
+    for view, key in (
+        (language.document_evidence(docs.select("doc_id", "text", "source")), "doc_id"),
+        (language.page_evidence(spark.read.parquet(f"{folder}/pages.parquet")), "page_id"),
+    ):
+        scored = common.stored(language.score_text(view, table).drop("text"), "text-evidence")
+        told = language.fuse(scored, languages)
+        other = "page_id" if key == "doc_id" else "doc_id"
+        parts.append(told.withColumn(other, F.lit(None).cast("long")).select(*columns))
+    return parts[0].union(parts[1])
+
+
 def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(common.documents(prepare(spark), folder))
 
@@ -34,6 +54,11 @@ def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(common.documents(prepare(spark), folder), items).drop("n_near")
 
 
+def op8_preference_chat(spark: SparkSession, folder: str) -> DataFrame:
+    turns = prepare(spark).read.parquet(f"{folder}/conversations.parquet")
+    return chat.preference_pairs(*chat.variants(turns))
+
+
 def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.remove_repeats(common.documents(prepare(spark), folder))
 
@@ -44,8 +69,8 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_exact_dedup, op3_personal_data, op5_simhash, op6_packing, op7_decontamination,
-    op9_substring_dedup, op10_token_files)}
+    op1_exact_dedup, op3_personal_data, op4_language_id, op5_simhash, op6_packing,
+    op7_decontamination, op8_preference_chat, op9_substring_dedup, op10_token_files)}
 
 SQL: dict[str, str] = {
     "op1_exact_dedup": r"""
@@ -54,6 +79,38 @@ SQL: dict[str, str] = {
       g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
       SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256
       FROM n JOIN g USING (t)""",
+    "op8_preference_chat": r"""
+      WITH n AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
+            coalesce(text, '')) - 1 AS k FROM conversations WHERE conv_id IS NOT NULL),
+      e AS (SELECT conv_id, max(k) AS final, arg_min(text, k) AS reply FROM n
+        WHERE role = 'assistant' GROUP BY conv_id),
+      c AS (SELECT n.conv_id AS pair_id, k, role, text, k = e.final AS is_last,
+          coalesce(f.reply, '') AS other
+        FROM n JOIN e ON n.conv_id = e.conv_id AND n.k <= e.final
+        LEFT JOIN e f ON f.conv_id = e.conv_id + 1),
+      r AS (SELECT *, CASE WHEN is_last THEN other ELSE text END AS bad FROM c),
+      p AS (SELECT pair_id, coalesce(min(CASE WHEN text <> bad THEN k END), max(k) + 1) AS pre
+        FROM r GROUP BY pair_id),
+      t AS (SELECT r.*, pre, '<|' || role || '|>' || chr(10) AS head,
+          '<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10) AS good_r,
+          '<|' || role || '|>' || chr(10) || bad || chr(10) || '<|end|>' || chr(10) AS bad_r
+        FROM r JOIN p USING (pair_id)),
+      o AS (SELECT *, coalesce(sum(CASE WHEN k >= pre THEN length(good_r) END) OVER w, 0) AS gs,
+          coalesce(sum(CASE WHEN k >= pre THEN length(bad_r) END) OVER w, 0) AS bs
+        FROM t WINDOW w AS (PARTITION BY pair_id ORDER BY k
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+      SELECT pair_id, CAST(pre AS BIGINT) AS prefix_turns,
+        coalesce(string_agg(good_r, '' ORDER BY k) FILTER (k < pre), '') AS prompt,
+        coalesce(string_agg(good_r, '' ORDER BY k) FILTER (k >= pre), '') AS chosen,
+        coalesce(string_agg(CAST(gs + length(head) AS BIGINT) || ':'
+            || CAST(gs + length(good_r) AS BIGINT), ',' ORDER BY k)
+          FILTER (k >= pre AND role = 'assistant'), '') AS chosen_mask,
+        coalesce(string_agg(bad_r, '' ORDER BY k) FILTER (k >= pre), '') AS rejected,
+        coalesce(string_agg(CAST(bs + length(head) AS BIGINT) || ':'
+            || CAST(bs + length(bad_r) AS BIGINT), ',' ORDER BY k)
+          FILTER (k >= pre AND role = 'assistant'), '') AS rejected_mask
+      FROM o GROUP BY pair_id, pre""",
     "op7_decontamination": r"""
       WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
