@@ -111,7 +111,9 @@ def matches(index: Index, run: int = RUN, slack: int = SLACK) -> DataFrame:
         "row", "item", "p1", "p2", "t2", (F.col("pos") - F.col("p1")).alias("diagonal"))
     second = first.withColumn("shift", _shifts(slack)).withColumn(
         "pos", F.col("diagonal") + F.col("p2") + F.col("shift"))
-    kept = second.join(index.postings.withColumnRenamed("term", "t2"), ["row", "pos", "t2"]).select(
+    seconds = index.postings.join(
+        index.sized(anchors.select(F.col("t2").alias("term")).distinct()), "term", "left_semi")
+    kept = second.join(seconds.withColumnRenamed("term", "t2"), ["row", "pos", "t2"]).select(
         "row", "item", "p1", "p2", "diagonal").distinct()
     places = kept.join(index.sized(views.drop("t1", "t2")), ["item", "p1", "p2"]).select(
         "row", "item", "start", "length", "diagonal")
