@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from tidewatch.llm import (
-    chat, common, decontaminate, exact_dedup, language, packing, personal_data, simhash,
+    chat, common, decontaminate, exact_dedup, language, maxent, packing, personal_data, simhash,
     substring_dedup, token_files,
 )
 from tidewatch.session import prepare
@@ -18,6 +18,10 @@ def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.deduplicate(common.documents(prepare(spark), folder))
 
 
+def op2_maxent_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return maxent.score(common.documents(prepare(spark), folder))
+
+
 def op3_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return personal_data.personal_data(common.documents(prepare(spark), folder))
 
@@ -69,7 +73,7 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_exact_dedup, op3_personal_data, op4_language_id, op5_simhash, op6_packing,
+    op1_exact_dedup, op2_maxent_scores, op3_personal_data, op4_language_id, op5_simhash, op6_packing,
     op7_decontamination, op8_preference_chat, op9_substring_dedup, op10_token_files)}
 
 SQL: dict[str, str] = {
