@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import arrow_map, lowered, whole_text
+from tidewatch.llm.common import arrow_map, lowered, stored, whole_text
 
 BUCKETS, BLOCK, MOST_LANGUAGES, BROADCAST_ROWS = 1 << 14, 1 << 20, 500, 100_000
 TEMPER, SMOOTH, STRENGTH, LEAST = 0.3, 0.5, 10.0, 0.3
@@ -128,8 +128,11 @@ def _sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def fuse(scored: DataFrame, languages: list[str]) -> DataFrame:
-    """Add lang, confidence, text_lang and kept to rows with column ``__text`` and evidence."""
+def fuse(scored: DataFrame, languages: list[str], votes_of: DataFrame | None = None) -> DataFrame:
+    """Add lang, confidence, text_lang and kept to rows with column ``__text`` and evidence.
+
+    ``votes_of`` may hold the same rows stored, so that counting does not score texts anew.
+    """
     size = len(languages)
     if not size:
         return scored.drop("__text").withColumns({
@@ -137,14 +140,15 @@ def fuse(scored: DataFrame, languages: list[str]) -> DataFrame:
             "confidence": F.lit(0.0), "kept": F.lit(False)})
     votes = scored.withColumn("text_lang", _best(F.col("__text"), languages))
     cells = [F.sum((F.col("text_lang") == x).cast("long")) for x in languages]
-    seen = votes.filter("text_lang is not null")
+    seen = scored if votes_of is None else votes_of
+    seen = seen.withColumn("text_lang", _best(F.col("__text"), languages)).filter("text_lang is not null")
     total = [n or 0 for n in seen.agg(*cells).first()]
     share = [(n + 1) / (sum(total) + size) for n in total]
 
     def counted(column: str) -> DataFrame:
-        return _sized(seen.filter(F.col(column).isNotNull()).groupBy(
+        return _sized(stored(seen.filter(F.col(column).isNotNull()).groupBy(
             F.col(column).alias(f"__{column}")).agg(F.array(*[
-                F.coalesce(c, F.lit(0)) for c in cells]).alias(f"__n_{column}")))
+                F.coalesce(c, F.lit(0)) for c in cells]).alias(f"__n_{column}")), f"{column}-votes"))
 
     out = votes
     for column in ("markup", "suffix", "host", "domain"):
@@ -182,3 +186,16 @@ def fuse(scored: DataFrame, languages: list[str]) -> DataFrame:
 
 def score_text(evidence: DataFrame, table: np.ndarray) -> DataFrame:
     return evidence.withColumn("__text", likelihood(table)(whole_text()))
+
+
+EVIDENCE = ("markup", "suffix", "host", "domain")
+
+
+def identified(docs: DataFrame, evidence=document_evidence) -> DataFrame:
+    """The rows that are kept, with their own columns unchanged, whatever their names."""
+    languages, table = train(docs)
+    source = docs["source"] if "source" in docs.columns else F.lit(None).cast("string")
+    view = evidence(docs.select(F.struct("*").alias("__row"), "text", source.alias("source")))
+    scored = score_text(view, table)
+    votes = stored(scored.select("__text", *EVIDENCE), "text-evidence")
+    return fuse(scored, languages, votes).filter("kept").select("__row.*")

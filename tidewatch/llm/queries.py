@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import public_tokenizers
+import corpus_pipeline
 
 from tidewatch.llm import (
     chat, common, decontaminate, exact_dedup, language, maxent, packing, personal_data, simhash,
@@ -76,6 +77,9 @@ QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_maxent_scores, op3_personal_data, op4_language_id, op5_simhash, op6_packing,
     op7_decontamination, op8_preference_chat, op9_substring_dedup, op10_token_files)}
 
+# The pipeline stands at the top of the repository and belongs to this package.
+QUERIES["pipeline"] = corpus_pipeline.run
+
 SQL: dict[str, str] = {
     "op1_exact_dedup": r"""
       WITH n AS (SELECT doc_id,
