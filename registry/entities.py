@@ -157,7 +157,7 @@ ranked AS (SELECT *, CASE WHEN distance_m IS NULL THEN similarity
 SELECT property_id, round(similarity, 6) AS similarity, round(distance_m, 2) AS distance_m,
   round(score, 6) AS score FROM ranked""")
 def merge_candidates(t):
-    return resolution.rank_candidates(t.properties, 5, edge_cases=False).select(
+    return resolution.rank_candidates(t.properties, 5).select(
         "property_id", F.round("similarity", 6).alias("similarity"),
         F.round("distance_m", 2).alias("distance_m"), F.round("score", 6).alias("score"))
 
@@ -176,7 +176,7 @@ def merge_candidate_reasons(t):
         "business_whatsapp": F.concat(F.lit("+62 81-"), (k % 19).cast("string")),
     })
     rooms = properties.filter("property_id = 5").select("bedrooms").head()[0]
-    ranked = resolution.rank_candidates(properties, 5, edge_cases=False)
+    ranked = resolution.rank_candidates(properties, 5)
     return resolution.candidate_reasons(
         ranked, "http://villa5.example", "62815", rooms).select(
         "property_id", F.array_join("reasons", ",").alias("reasons"))

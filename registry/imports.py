@@ -111,7 +111,7 @@ def classified(t):
     cells = [c for c in raw.columns if c != "row_number"]
     # Cells arrive trimmed, as the CSV scan delivers them.
     trimmed = raw.withColumn("title", F.trim("title"))
-    checked = validation.validate_rows(trimmed, APPROVED, edge_cases=False)
+    checked = validation.validate_rows(trimmed, APPROVED)
     return validation.classify_rows(checked, cells)
 
 

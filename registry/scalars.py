@@ -27,11 +27,14 @@ _WORDS = """list_sort(list_distinct(list_filter(list_transform(string_split({0},
   lambda x: lower(trim(regexp_replace(x, '\\s+', ' ', 'g')))), lambda x: x <> '')))"""
 
 
-@query("document_sets", f"""SELECT doc_id, CAST(len({_WORDS.format('text', '.')}) AS INTEGER) AS members,
-  sha256(array_to_string({_WORDS.format('text', '.')}, chr(10))) AS set_hash FROM documents""")
+_ACCENTED = "text || '. Caf' || chr(233)"
+
+
+@query("document_sets", f"""SELECT doc_id, CAST(len({_WORDS.format(_ACCENTED, '.')}) AS INTEGER) AS members,
+  sha256(array_to_string({_WORDS.format(_ACCENTED, '.')}, chr(10))) AS set_hash FROM documents""")
 def document_sets(t):
-    """Sentences of each document as a normalised set."""
-    parts = F.split("text", r"\.")
+    """Sentences of each document, and a decomposed one, as a normalised set."""
+    parts = F.split(F.concat("text", F.lit(". Cafe\u0301")), r"\.")
     return t.read("documents").select("doc_id", F.size(tx.normalize_set(parts)).alias("members"),
                                       tx.set_hash(parts).alias("set_hash"))
 

@@ -63,7 +63,7 @@ def snapshot_quality_flags(t):
         "official_website": F.when(n % 47 == 0, "ftp://x.example/a").otherwise(
             F.col("official_website")),
     })
-    return snaps.build_snapshots(bent, edge_cases=False).select(
+    return snaps.build_snapshots(bent).select(
         "snapshot_id", F.array_join("quality_flags", ",").alias("quality_flags"))
 
 

@@ -32,15 +32,16 @@ vals AS (
   SELECT *,
     'v' || CASE WHEN snapshot_id % 11 = 0 THEN '1' ELSE '0' END AS parser_version,
     'Villa ' || (listing_id % 50) || CASE WHEN snapshot_id % 23 = 0 THEN ' Deluxe' ELSE '' END
-      AS title,
+      || CASE WHEN listing_id % 7 = 0 THEN ' Caf' || chr(233) ELSE '' END AS title,
     3 + (snapshot_id % 20) / 10.0 AS rating,
     snapshot_id % 500 AS review_count,
     CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR) AS price_amount,
     CASE WHEN snapshot_id % 5 = 0 THEN 'USD' ELSE 'IDR' END AS price_currency,
     CASE WHEN snapshot_id % 7 = 0 THEN 'stay' ELSE 'night' END AS price_unit,
     'h' || (snapshot_id % 9) AS host_external_id,
-    CASE WHEN snapshot_id % 4 <> 0
-      THEN 'https://site' || (listing_id % 13) || '.example/stay' END AS official_website,
+    CASE WHEN snapshot_id % 4 = 0 THEN NULL
+      WHEN snapshot_id % 19 = 3 THEN 'https://xn--exmple-cua.com/b%20c?q=a+b'
+      ELSE 'https://site' || (listing_id % 13) || '.example/stay' END AS official_website,
     (listing_id % 2 = 0) AS is_superhost,
     snapshot_id % 13 <> 0 AS p_title, snapshot_id % 3 <> 0 AS p_rating,
     snapshot_id % 6 <> 1 AS p_review_count, snapshot_id % 8 <> 3 AS p_price,
@@ -132,22 +133,25 @@ class Tables:
             "region": F.concat(F.lit("region "), (listing % 5).cast("string")),
             "parser_version": F.concat(F.lit("v"), F.when(n % 11 == 0, "1").otherwise("0")),
             "title": F.concat(F.lit("Villa "), (listing % 50).cast("string"),
-                              F.when(n % 23 == 0, " Deluxe").otherwise("")),
+                              F.when(n % 23 == 0, " Deluxe").otherwise(""),
+                              # Decomposed: the accent is a character of its own.
+                              F.when(listing % 7 == 0, " Cafe\u0301").otherwise("")),
             "rating": F.lit(3) + (n % 20) / F.lit(10.0),
             "review_count": n % 500,
             "price_amount": F.round(F.col("value") * 100).cast("bigint").cast("string"),
             "price_currency": F.when(n % 5 == 0, "USD").otherwise("IDR"),
             "price_unit": F.when(n % 7 == 0, "stay").otherwise("night"),
             "host_external_id": F.concat(F.lit("h"), (n % 9).cast("string")),
-            "official_website": F.when(n % 4 != 0, F.concat(
-                F.lit("https://site"), (listing % 13).cast("string"), F.lit(".example/stay"))),
+            "official_website": F.when(n % 4 == 0, None).when(
+                n % 19 == 3, "https://exämple.com/b%20c/?q=a+b&utm_source=x#top").otherwise(F.concat(
+                    F.lit("https://site"), (listing % 13).cast("string"), F.lit(".example/stay"))),
             "is_superhost": listing % 2 == 0,
             "field_presence": snapshots.presence_map(present),
         })
 
     @cached_property
     def snapshots(self) -> DataFrame:
-        return snapshots.build_snapshots(self.valued, edge_cases=False)
+        return snapshots.build_snapshots(self.valued)
 
     @cached_property
     def properties(self) -> DataFrame:

@@ -7,7 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 # The white space that counts as blank (wider than Java's \\s).
 SPACES = (
@@ -26,7 +26,17 @@ def _col(c: Column | str) -> Column:
 def _compose(values: pd.Series) -> pd.Series:
     if values.isna().all():
         return values
-    return values.map(lambda v: unicodedata.normalize("NFC", v), na_action="ignore")
+    return values.map(
+        lambda v: v if unicodedata.is_normalized("NFC", v) else unicodedata.normalize("NFC", v),
+        na_action="ignore")
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _compose_members(values: pd.Series) -> pd.Series:
+    def composed(members):
+        return [None if m is None else unicodedata.normalize("NFC", m) for m in members]
+
+    return values.map(composed, na_action="ignore")
 
 
 def nfc(c: Column | str) -> Column:
@@ -45,21 +55,21 @@ def collapse(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(_col(c), f"{SPACE_CLASS}+", " "))
 
 
-def normalize_text(c: Column | str, compose: bool = True) -> Column:
-    return collapse(nfc(c) if compose else c)
+def normalize_text(c: Column | str) -> Column:
+    return collapse(nfc(c))
 
 
-def text_value(c: Column | str, compose: bool = True) -> Column:
+def text_value(c: Column | str) -> Column:
     """Normalised text; blank counts as no value."""
-    return F.nullif(normalize_text(c, compose), F.lit(""))
+    return F.nullif(normalize_text(c), F.lit(""))
 
 
 def content_hash(c: Column | str) -> Column:
     return F.sha2(_col(c), 256)
 
 
-def normalized_hash(c: Column | str, compose: bool = True) -> Column:
-    return content_hash(normalize_text(c, compose))
+def normalized_hash(c: Column | str) -> Column:
+    return content_hash(normalize_text(c))
 
 
 def photos_hash(c: Column | str) -> Column:
@@ -68,12 +78,14 @@ def photos_hash(c: Column | str) -> Column:
 
 
 def normalize_set(c: Column | str) -> Column:
-    """Lower-cased, distinct, sorted members without blanks.
+    """Composed, lower-cased, distinct, sorted members without blanks.
 
-    Members below U+0300 compose to themselves; wider text should be composed with
-    ``nfc`` first, column by column, because lambdas cannot call Python.
+    Arrays whose members are all below U+0300 are composed already and stay in the JVM.
     """
-    members = F.transform(_col(c), lambda m: F.lower(collapse(m)))
+    c = _col(c)
+    plain = F.forall(c, lambda m: F.coalesce(m.rlike(r"^[\u0000-\u02FF]*$"), F.lit(True)))
+    composed = F.when(plain, c).otherwise(_compose_members(F.when(~plain, c)))
+    members = F.transform(composed, lambda m: F.lower(collapse(m)))
     return F.array_sort(F.array_distinct(F.filter(members, lambda m: m != "")))
 
 
@@ -89,13 +101,13 @@ def set_removed(previous: Column | str, current: Column | str) -> Column:
     return F.array_except(normalize_set(previous), normalize_set(current))
 
 
-def normalize_name(c: Column | str, compose: bool = True) -> Column:
-    c = nfc(c) if compose else _col(c)
+def normalize_name(c: Column | str) -> Column:
+    c = nfc(c)
     return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
 
 
-def name_similarity(a: Column | str, b: Column | str, compose: bool = True) -> Column:
-    return similarity_of_normalized(normalize_name(a, compose), normalize_name(b, compose))
+def name_similarity(a: Column | str, b: Column | str) -> Column:
+    return similarity_of_normalized(normalize_name(a), normalize_name(b))
 
 
 def similarity_of_normalized(a: Column, b: Column) -> Column:

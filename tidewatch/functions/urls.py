@@ -117,7 +117,7 @@ def _pieces(c: Column) -> dict[str, Column]:
             "path": part(4), "query": part(5), "fragment": part(6)}
 
 
-def normalize_url(c: Column | str, edge_cases: bool = True) -> Column:
+def normalize_url(c: Column | str) -> Column:
     """Canonical http(s) URL without tracking parameters; NULL when it is not one."""
     c = strip(c)
     piece = _pieces(c)
@@ -134,23 +134,21 @@ def normalize_url(c: Column | str, edge_cases: bool = True) -> Column:
     built = F.concat(
         piece["base"], F.when(path == "", "/").otherwise(path),
         F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
-    return _with_rest(c, built, _normalize_rest, edge_cases)
+    return _with_rest(c, built, _normalize_rest)
 
 
-def parse_http_url(c: Column | str, edge_cases: bool = True, trimmed: bool = False) -> Column:
+def parse_http_url(c: Column | str, trimmed: bool = False) -> Column:
     """The URL as a browser would print it, nothing removed; NULL when not http(s)."""
     c = _col(c) if trimmed else strip(c)
     piece = _pieces(c)
     built = F.concat(
         piece["base"], F.when(piece["path"] == "", "/").otherwise(piece["path"]),
         F.regexp_extract(c, r"(\?[^#]*)", 1), F.regexp_extract(c, r"(#.*)$", 1))
-    return _with_rest(c, built, _parse_rest, edge_cases)
+    return _with_rest(c, built, _parse_rest)
 
 
-def _with_rest(c: Column, built: Column, rest, edge_cases: bool) -> Column:
+def _with_rest(c: Column, built: Column, rest) -> Column:
     plain = c.rlike(_PLAIN) & ~c.rlike(_SPECIAL)
-    if not edge_cases:
-        return F.when(plain, built)
     return F.when(plain, built).otherwise(rest(F.when(~plain, c)))
 
 

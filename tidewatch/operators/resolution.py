@@ -223,11 +223,10 @@ def incoming_merges(redirects: DataFrame, property_id) -> DataFrame:
 
 # --- ranking likely duplicates -----------------------------------------------
 
-def score_candidates(candidates: DataFrame, name, lat: float | None, lng: float | None,
-                     edge_cases: bool = True) -> DataFrame:
+def score_candidates(candidates: DataFrame, name, lat: float | None, lng: float | None) -> DataFrame:
     """Score every candidate against one target: a projection, so it scales linearly."""
-    target_name = normalize_name(F.lit(name), edge_cases)
-    similarity = similarity_of_normalized(target_name, normalize_name("name", edge_cases))
+    target_name = normalize_name(F.lit(name))
+    similarity = similarity_of_normalized(target_name, normalize_name("name"))
     if lat is None or lng is None:
         distance = F.lit(None).cast("double")
     else:
@@ -240,8 +239,7 @@ def score_candidates(candidates: DataFrame, name, lat: float | None, lng: float
             F.col("similarity") * NAME_WEIGHT + proximity * (1 - NAME_WEIGHT)))
 
 
-def rank_candidates(properties: DataFrame, target_id, limit: int | None = None,
-                    edge_cases: bool = True) -> DataFrame:
+def rank_candidates(properties: DataFrame, target_id, limit: int | None = None) -> DataFrame:
     """Other properties of the target's dataset, most likely duplicate first.
 
     Reads the one target row, then scores all candidates exactly in a single scan.
@@ -253,7 +251,7 @@ def rank_candidates(properties: DataFrame, target_id, limit: int | None = None,
     others = properties.filter(
         (F.col("dataset_id") == target.dataset_id) & (F.col("property_id") != target_id))
     ranked = score_candidates(
-        others, target.name, target.latitude, target.longitude, edge_cases
+        others, target.name, target.latitude, target.longitude
     ).orderBy(F.desc("score"), "property_id")
     return ranked if limit is None else ranked.limit(limit)
 

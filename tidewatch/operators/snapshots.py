@@ -75,12 +75,12 @@ def import_rows_from_adapter(observations: DataFrame) -> DataFrame:
     }).drop("observed_price", "region_name")
 
 
-def quality_flags(edge_cases: bool = True) -> Column:
+def quality_flags() -> Column:
     """Sorted data-quality flags of one observation (before normalisation)."""
     bad_url = F.lit(False)
     for name in ("official_website", "direct_booking_url"):
         given = F.col(name).isNotNull() & (F.col(name) != "")
-        bad_url = bad_url | (given & normalize_url(name, edge_cases).isNull())
+        bad_url = bad_url | (given & normalize_url(name).isNull())
     price_given = F.col("price_amount").isNotNull() & F.col("price_currency").isNotNull()
     flags = F.array(
         F.when(bad_url, F.lit("invalid_url")),
@@ -124,12 +124,11 @@ def fingerprint() -> Column:
     ), 256)
 
 
-def build_snapshots(observations: DataFrame, edge_cases: bool = True) -> DataFrame:
+def build_snapshots(observations: DataFrame) -> DataFrame:
     """Normalise observations into comparable snapshots, one output row per input row.
 
     Two projections, no shuffle.  Needs observed_at, observation_status,
     parser_version, field_presence; any missing value column counts as NULL.
-    ``edge_cases`` off keeps text and URLs entirely in column expressions.
     """
     df = observations
     df = df.withColumns({
@@ -139,19 +138,19 @@ def build_snapshots(observations: DataFrame, edge_cases: bool = True) -> DataFra
     amenities_seen = F.col("field_presence").getItem("amenities")
     priced = F.col("price_amount").isNotNull() & F.col("price_currency").isNotNull()
     df = df.withColumns({
-        "quality_flags": quality_flags(edge_cases),
-        "title_hash": tx.normalized_hash("title", edge_cases),
-        "description_hash": tx.normalized_hash("description", edge_cases),
+        "quality_flags": quality_flags(),
+        "title_hash": tx.normalized_hash("title"),
+        "description_hash": tx.normalized_hash("description"),
         "photos_hash": tx.photos_hash("photos"),
         "amenities_hash": tx.set_hash("amenities"),
         "amenities": F.when(amenities_seen, F.coalesce(
             tx.normalize_set("amenities"), F.array().cast("array<string>"))),
-        "title": tx.text_value("title", edge_cases),
-        "property_type": tx.text_value("property_type", edge_cases),
-        "host_external_id": tx.text_value("host_external_id", edge_cases),
-        "business_whatsapp": tx.text_value("business_whatsapp", edge_cases),
-        "official_website": normalize_url("official_website", edge_cases),
-        "direct_booking_url": normalize_url("direct_booking_url", edge_cases),
+        "title": tx.text_value("title"),
+        "property_type": tx.text_value("property_type"),
+        "host_external_id": tx.text_value("host_external_id"),
+        "business_whatsapp": tx.text_value("business_whatsapp"),
+        "official_website": normalize_url("official_website"),
+        "direct_booking_url": normalize_url("direct_booking_url"),
         "latitude": round_coordinate("latitude"),
         "longitude": round_coordinate("longitude"),
         "price_amount": F.when(priced, F.col("price_amount")),

@@ -38,7 +38,6 @@ def validate_rows(
     raw: DataFrame,
     approved_sources: Sequence[str] | DataFrame,
     coverage: Coverage = Coverage(),
-    edge_cases: bool = True,
 ) -> DataFrame:
     """Add typed columns under ``row`` and the list of ``rejections`` to raw text rows.
 
@@ -68,7 +67,7 @@ def validate_rows(
         "lat": tx.parse_decimal(value["latitude"]),
         "lng": tx.parse_decimal(value["longitude"]),
         "currency": F.upper(value["observed_price_currency"]),
-        **{c: parse_http_url(value[c], edge_cases, trimmed=True) for c in _URLS},
+        **{c: parse_http_url(value[c], trimmed=True) for c in _URLS},
     }
     df = df.withColumns({f"__p_{name}": column for name, column in parsed.items()})
     p = {name: F.col(f"__p_{name}") for name in parsed}
@@ -163,10 +162,10 @@ def classify_rows(validated: DataFrame, signature_columns: Sequence[str],
 
 
 def process_import(raw: DataFrame, approved_sources, coverage: Coverage = Coverage(),
-                   scope: Sequence[str] = (), edge_cases: bool = True) -> DataFrame:
+                   scope: Sequence[str] = ()) -> DataFrame:
     """Validate and classify raw rows (text columns plus row_number)."""
     cells = [c for c in raw.columns if c not in ("row_number", "file_path", *scope)]
-    return classify_rows(validate_rows(raw, approved_sources, coverage, edge_cases), cells, scope)
+    return classify_rows(validate_rows(raw, approved_sources, coverage), cells, scope)
 
 
 def accepted_rows(classified: DataFrame, keep: Sequence[str] = ()) -> DataFrame:

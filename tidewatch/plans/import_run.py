@@ -31,7 +31,6 @@ class Policy:
     predecessor: str = "snapshot"  # or "field"
     blank_means_null_when_active: bool = False
     assess_health: bool = False
-    edge_cases: bool = True
 
 
 @dataclass
@@ -69,7 +68,7 @@ def snapshots_of(accepted: DataFrame, dataset_id: str, run_id: str, policy: Poli
         "run_id": F.lit(run_id), "parser_version": F.lit(IMPORT_PARSER_VERSION),
         "snapshot_id": F.sha2(F.concat_ws("\u0001", "listing_id", F.lit(run_id)), 256),
     })
-    return snapshots.build_snapshots(seen, policy.edge_cases)
+    return snapshots.build_snapshots(seen)
 
 
 def derive_events(history: DataFrame, run_id: str | None, known: DataFrame | None,
@@ -101,8 +100,7 @@ def run_import(spark: SparkSession, raw: DataFrame, store: Store, dataset_id: st
     instead of being recomputed.
     """
     stage = f"{store.root}/_stage/{run_id}"
-    classified = validation.process_import(raw, approved_sources, policy.coverage,
-                                           edge_cases=policy.edge_cases)
+    classified = validation.process_import(raw, approved_sources, policy.coverage)
     classified.write.mode("overwrite").parquet(f"{stage}/classified")
     classified = spark.read.parquet(f"{stage}/classified")
     tag = F.lit(run_id).alias("run_id")
