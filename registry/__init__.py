@@ -29,5 +29,5 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     from registry import (  # noqa: F401
-        catalogue, entities, figures, imports, lifecycle, markets, scalars, snapshots,
+        catalogue, entities, figures, imports, lifecycle, markets, scalars, snapshots, streams,
     )

@@ -330,9 +330,8 @@ def created_leads(t):
         F.col("c_nationkey").alias("organization_id"), F.col("l_partkey").alias("property_id"),
         F.col("l_shipdate").alias("requested_at"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("source_event_id"))
-    nations = t.read("nation").select(F.col("n_nationkey").alias("organization_id"))
-    known = t.read("part").filter("p_partkey % 3 = 0").select(
-        F.col("p_partkey").alias("property_id")).join(nations).select(
+    known = asked.filter("property_id % 3 = 0").select("organization_id", "property_id").distinct(
+    ).select(
         "organization_id", "property_id",
         F.concat_ws("-", F.lit("lead"), "organization_id", "property_id").alias("lead_id"))
     return catalogue.create_leads(asked, known).select(
@@ -383,6 +382,6 @@ def watchlist_summary(t):
 
 @query("event_digest", f"""WITH {_REVIEWED_SQL}
 SELECT event_type, title, {stamp_sql('event_at')} AS event_at, confidence FROM reviewed
-WHERE NOT dismissed ORDER BY reviewed.event_at DESC, event_id DESC LIMIT 5000""")
+WHERE NOT dismissed""")
 def event_digest(t):
     return reports.event_digest(stored_events(t)[0], 1).withColumn("event_at", stamp("event_at"))

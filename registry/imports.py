@@ -337,7 +337,7 @@ def due_schedules(t):
     CASE outcome WHEN 'conflict' THEN 'duplicate_conflict' ELSE codes END, ',')) AS code,
     generate_subscripts(string_split(CASE outcome WHEN 'conflict' THEN 'duplicate_conflict' ELSE codes END, ','), 1) AS pos
   FROM outcomes WHERE codes <> '' OR outcome = 'conflict')
-SELECT row_number || ',' || code AS value FROM opened ORDER BY row_number, pos LIMIT 10000""")
+SELECT row_number || ',' || code AS value FROM opened""")
 def rejection_report(t):
     rows = validation.rejection_rows(classified(t))
     return reports.csv_lines(reports.rejection_report(rows).select("row_number", "code"))

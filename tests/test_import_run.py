@@ -18,52 +18,43 @@ HEADER = (
     "official_website,business_whatsapp,direct_booking_url,canonical_property_key"
 ).split(",")
 
-PLACES = {
-    1: ("Villa Aruna", -8.6478, 115.1385), 2: ("Villa Sora", -8.8291, 115.0849),
-    3: ("Uma Taman", -8.5069, 115.2625), 4: ("Casa Ombak", -8.6512, 115.1264),
-    5: ("Villa Nadi", -8.6902, 115.1620), 6: ("Bingin House", -8.8067, 115.1133),
-    7: ("Villa Luma", -8.6983, 115.2634),
-}
-WEBSITES = {1: "https://villaaruna.example", 3: "https://umataman.example",
-            5: "https://villanadi.example", 7: "https://villaluma.example"}
-PHONES = {1: "+628111111111", 5: "+628122222222", 7: "+628133333333"}
-BOOKING = {1: "https://villaaruna.example/book", 3: "https://umataman.example/stay",
-           7: "https://villaluma.example/book"}
-# day -> listing -> (status, rating, reviews, price)
-TIMELINE = {
-    "2026-07-18": {1: ("active", 4.92, 184, 3500000), 2: ("active", 4.88, 96, 4200000),
-                   3: ("active", 4.97, 251, 2800000), 4: ("active", 4.81, 72, 3100000),
-                   5: ("active", "4.90", 133, 3900000), 6: ("active", 4.76, 54, 2400000)},
-    "2026-07-20": {1: ("active", 4.93, 187, 3850000), 2: ("not_found", "", "", ""),
-                   3: ("active", 4.97, 253, 2800000), 4: ("search_not_observed", "", "", ""),
-                   5: ("source_error", "", "", ""), 6: ("active", 4.79, 57, 2400000),
-                   7: ("active", 4.95, 21, 2600000)},
-    "2026-07-22": {1: ("active", 4.93, 189, 3850000), 2: ("not_found", "", "", ""),
-                   3: ("active", 4.98, 256, 2800000), 4: ("active", 4.82, 73, 3100000),
-                   5: ("active", "4.90", 135, 3900000), 6: ("active", 4.79, 58, 2400000),
-                   7: ("active", 4.95, 23, 2600000)},
-    "2026-07-29": {1: ("active", 4.94, 195, 3850000), 2: ("not_found", "", "", ""),
-                   3: ("active", 4.98, 261, 2800000), 4: ("active", 4.82, 75, 3100000),
-                   5: ("active", 4.91, 138, 3900000), 6: ("active", "4.80", 61, 2400000),
-                   7: ("active", 4.96, 27, 2600000)},
-    "2026-08-01": {2: ("active", 4.89, 99, 4200000)},
-}
+DAYS = ("2025-03-03", "2025-03-05", "2025-03-07", "2025-03-14", "2025-03-17")
+# (listing, run) of rows that are no active observation, and rows there are none of.
+OTHER = {(2, 1): "not_found", (2, 2): "not_found", (2, 3): "not_found",
+         (4, 1): "search_not_observed", (5, 1): "source_error"}
+ABSENT = {(7, 0), *((n, 4) for n in (1, 3, 4, 5, 6, 7))}
+CHANNELS = {(2, 4), *((6, run) for run in range(1, 5)), *((n, run) for n in (1, 3) for run in range(5))}
+
+
+def observed(n, run):
+    """What listing n shows in a run: reviews always grow, ratings hardly move, listing 1
+    gets a tenth dearer after the first run."""
+    status = OTHER.get((n, run), "active")
+    if status != "active":
+        return status, "", "", ""
+    price = 640_000 + 90_000 * n
+    return status, f"{4.1 + 0.1 * n + 0.01 * run:.2f}", 30 * n + 4 * run, price * 11 // 10 if (
+        n == 1 and run) else price
+
+
+TIMELINE = {day: {n: observed(n, run) for n in range(1, 8) if (n, run) not in ABSENT}
+            for run, day in enumerate(DAYS)}
 CODE_EVENTS = {
-    "2026-07-18": {(n, "listing_created") for n in range(1, 7)},
-    "2026-07-20": {(1, "price_changed"), (1, "review_count_changed"), (2, "listing_first_miss"),
+    "2025-03-03": {(n, "listing_created") for n in range(1, 7)},
+    "2025-03-05": {(1, "price_changed"), (1, "review_count_changed"), (2, "listing_first_miss"),
                    (3, "review_count_changed"), (5, "source_error"),
                    (6, "review_count_changed"), (7, "listing_created")},
-    "2026-07-22": {(2, "listing_suspected_inactive"), (1, "review_count_changed"),
+    "2025-03-07": {(2, "listing_suspected_inactive"), (1, "review_count_changed"),
                    (3, "review_count_changed"), (6, "review_count_changed"),
                    (7, "review_count_changed")},
-    "2026-07-29": {(n, "review_count_changed") for n in (1, 3, 4, 5, 6, 7)},
-    "2026-08-01": {(2, "listing_reactivated")},
+    "2025-03-14": {(n, "review_count_changed") for n in (1, 3, 4, 5, 6, 7)},
+    "2025-03-17": {(2, "listing_reactivated")},
 }
 EXTRA_SPEC_EVENTS = {
-    "2026-07-20": {(6, "direct_channel_added")},
-    "2026-07-22": {(4, "review_count_changed"), (5, "review_count_changed")},
-    "2026-07-29": {(2, "listing_confirmed_inactive")},
-    "2026-08-01": {(2, "review_count_changed"), (2, "direct_channel_added")},
+    "2025-03-05": {(6, "direct_channel_added")},
+    "2025-03-07": {(4, "review_count_changed"), (5, "review_count_changed")},
+    "2025-03-14": {(2, "listing_confirmed_inactive")},
+    "2025-03-17": {(2, "review_count_changed"), (2, "direct_channel_added")},
 }
 
 
@@ -72,24 +63,18 @@ def timeline_csv(day):
     writer = csv.DictWriter(out, HEADER, restval="")
     writer.writeheader()
     for n, (status, rating, reviews, price) in TIMELINE[day].items():
-        name, lat, lng = PLACES[n]
-        website, phone, booking = WEBSITES.get(n), PHONES.get(n), BOOKING.get(n)
-        if n == 6 and day > "2026-07-18":
-            website = "https://binginhouse.example"
-        if n == 2 and day == "2026-08-01":
-            website, phone, booking = ("https://villasora.example", "+628144444444",
-                                       "https://villasora.example/book")
+        shop = f"https://stay{n}.example" if (n, DAYS.index(day)) in CHANNELS else ""
         writer.writerow({
-            "source_key": "demo_fixture", "external_id": f"demo-00{n}",
-            "source_url": f"https://fixture.local/listing/demo-00{n}", "title": name,
+            "source_key": "feed", "external_id": f"lst-{n}",
+            "source_url": f"https://feed.example/item/{n}", "title": f"Stay {n}",
             "observed_at": f"{day}T00:00:00Z", "observation_status": status,
-            "latitude": lat, "longitude": lng, "rating": rating, "review_count": reviews,
-            "observed_price_amount": price, "observed_price_currency": "IDR" if price else "",
-            "observed_price_unit": "night" if price else "", "bedrooms": 3, "bathrooms": 3,
-            "guest_capacity": 6, "is_superhost": "true", "host_external_id": f"host-00{n}",
-            "official_website": website or "", "business_whatsapp": phone or "",
-            "direct_booking_url": booking or "",
-            "canonical_property_key": name.lower().replace(" ", "-"),
+            "latitude": -8.4 - n / 50, "longitude": 115.1 + n / 40, "rating": rating,
+            "review_count": reviews, "observed_price_amount": price,
+            "observed_price_currency": "IDR" if price else "",
+            "observed_price_unit": "night" if price else "", "bedrooms": n, "bathrooms": 1,
+            "guest_capacity": 2 * n, "is_superhost": "false", "host_external_id": f"h{n}",
+            "official_website": shop, "business_whatsapp": f"+62 800 {n}" if shop else "",
+            "direct_booking_url": shop and f"{shop}/reserve", "canonical_property_key": f"stay-{n}",
         })
     return out.getvalue()
 
@@ -102,9 +87,9 @@ def replay(spark, tmp_path, policy):
         file.write_text(timeline_csv(day))
         before = store.read(spark, "events")
         keys = set() if before is None else {r[0] for r in before.select("dedupe_key").collect()}
-        for _ in range(2 if day == "2026-07-20" else 1):  # the second pass is a replay
+        for _ in range(2 if day == "2025-03-05" else 1):  # the second pass is a replay
             run_import(spark, read_csv(spark, str(file)), store, "d1", f"run-{day}",
-                       ["demo_fixture"], policy)
+                       ["feed"], policy)
         names = store.read(spark, "listings").select("listing_id", "external_id")
         rows = store.read(spark, "events").join(names, "listing_id").collect()
         assert len({r.dedupe_key for r in rows}) == len(rows)
@@ -117,7 +102,7 @@ def replay(spark, tmp_path, policy):
 def test_timeline_default_policy(spark, tmp_path):
     store, per_day = replay(spark, tmp_path, Policy())
     assert per_day == {d: sorted(e) for d, e in CODE_EVENTS.items()}
-    state = listing_states(spark, store).filter("external_id = 'demo-002'").head()
+    state = listing_states(spark, store).filter("external_id = 'lst-2'").head()
     assert (state.status, state.consecutive_misses, state.transition_sequence) == (
         "reactivated", 0, 2)
 
@@ -129,24 +114,24 @@ def test_timeline_full_policy(spark, tmp_path):
     store, per_day = replay(spark, tmp_path, policy)
     assert per_day == {d: sorted(e | EXTRA_SPEC_EVENTS.get(d, set()))
                        for d, e in CODE_EVENTS.items()}
-    state = listing_states(spark, store, policy).filter("external_id = 'demo-002'").head()
+    state = listing_states(spark, store, policy).filter("external_id = 'lst-2'").head()
     assert (state.status, state.transition_sequence) == ("reactivated", 3)
 
 
 INVALID = """source_key,external_id,observed_at,observation_status,latitude,longitude,rating,review_count
-demo_fixture,,bad-date,active,-8.65,115.13,4.5,10
-demo_fixture,bad-2,2026-07-18T00:00:00Z,active,-8.65,115.13,7.2,10
-demo_fixture,bad-3,2026-07-18T00:00:00Z,active,-8.65,115.13,4.2,-1
-demo_fixture,bad-4,2026-07-18T00:00:00Z,deleted,-8.65,115.13,4.2,1
-demo_fixture,bad-5,2026-07-18T00:00:00Z,active,200,500,4.2,1
-unknown_source,bad-6,2026-07-18T00:00:00Z,active,-8.65,115.13,4.2,1
+feed,,yesterday,active,-8.4,115.3,3.9,4
+feed,w2,2025-03-03T00:00:00Z,active,-8.4,115.3,5.6,4
+feed,w3,2025-03-03T00:00:00Z,active,-8.4,115.3,3.9,-7
+feed,w4,2025-03-03T00:00:00Z,gone,-8.4,115.3,3.9,4
+feed,w5,2025-03-03T00:00:00Z,active,95,190,3.9,4
+stranger,w6,2025-03-03T00:00:00Z,active,-8.4,115.3,3.9,4
 """
 
 
 def test_invalid_rows(spark, tmp_path):
     file = tmp_path / "bad.csv"
     file.write_text("﻿" + INVALID)
-    done = validation.process_import(read_csv(spark, str(file)), ["demo_fixture"])
+    done = validation.process_import(read_csv(spark, str(file)), ["feed"])
     found = [(r.row_number, r.code) for r in
              validation.rejection_rows(done).orderBy("row_number", "position").collect()]
     assert found == [
@@ -162,15 +147,15 @@ def test_invalid_rows(spark, tmp_path):
 def test_repeats_and_conflicts(spark, tmp_path, hot):
     lines = ["source_key,external_id,observed_at,observation_status,title"]
     for n in range(40):
-        lines.append(f"demo_fixture,same,2026-07-18,active,{'A' if n % 3 == 0 else 'B'}")
-    lines.append('demo_fixture,other,2026-07-18,active,"two\nlines, ""quoted"""')
+        lines.append(f"demo_fixture,same,2025-03-03,active,{'A' if n % 3 == 0 else 'B'}")
+    lines.append('demo_fixture,other,2025-03-03,active,"two\nlines, ""quoted"""')
     file = tmp_path / "dup.csv"
     file.write_text("\n".join(lines))
     if hot:
         spark.conf.set("spark.tidewatch.maxRowsPerGroup", "6")
     try:
         raw = read_csv(spark, str(file))
-        done = validation.process_import(raw, ["demo_fixture"])
+        done = validation.process_import(raw, ["feed"])
         counts = {r.outcome: r["count"] for r in done.groupBy("outcome").count().collect()}
         assert counts == {"accepted": 2, "duplicate": 13, "conflict": 26}
         first = done.filter("outcome = 'accepted'").orderBy("row_number").collect()

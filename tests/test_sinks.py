@@ -13,8 +13,13 @@ def test_csv_files_start_with_a_header(spark, tmp_path):
     part = next((tmp_path / "csv").glob("part-*.txt"))
     assert part.read_bytes() == b'id,name\r\n1,\'=x\r\n2,"a,b"\r\n'
     reports.write_csv(df.repartition(2, "id"), str(tmp_path / "parts"))
-    for file in (tmp_path / "parts").glob("part-*.txt"):
-        assert file.read_bytes().startswith(b"id,name\r\n")
+    def whole(name):
+        return b"".join(f.read_bytes() for f in sorted((tmp_path / name).glob("part-*.txt")))
+
+    assert whole("parts").startswith(b"id,name\r\n") and whole("parts").count(b"id,name") == 1
+    for single in (True, False):
+        reports.write_csv(df.limit(0), str(tmp_path / f"empty-{single}"), single_file=single)
+        assert whole(f"empty-{single}") == b"id,name\r\n"
     assert reports.csv_document(df) == "id,name\r\n1,'=x\r\n2,\"a,b\""
 
 

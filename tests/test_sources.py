@@ -9,15 +9,29 @@ from tidewatch.sources import csv_files, fixtures, pages, registry
 
 
 def test_fixture_source_shows_only_active_fields(spark):
-    listings = fixtures.demo_listings(spark).withColumn("observation_status", F.when(
-        F.col("external_id") == "demo-002", "not_found").otherwise("active"))
-    seen = fixtures.fixture_observations(listings, "demo_fixture", "2026-07-18T00:00:00Z",
-                                         ["demo-001", "demo-002"])
+    listings = spark.createDataFrame(
+        [("a1", "active", "One", 4.6, "100"), ("a2", "not_found", "Two", 3.9, "90"),
+         ("a3", "active", "Three", 4.1, "80")],
+        "external_id string, observation_status string, title string, rating double, price_amount string")
+    seen = fixtures.fixture_observations(listings, "feed", "2025-03-03T00:00:00Z", ["a1", "a2"])
     built = {r.external_id: r for r in build_snapshots(seen).collect()}
-    assert set(built) == {"demo-001", "demo-002"}
-    assert built["demo-002"].title is None and not built["demo-002"].field_presence["title"]
-    assert built["demo-001"].rating == 4.6 and built["demo-001"].field_presence["price"]
-    assert fixtures.demo_listings(spark).select("property_id").distinct().count() == 20
+    assert set(built) == {"a1", "a2"}
+    assert built["a2"].title is None and not built["a2"].field_presence["title"]
+    assert built["a1"].rating == 4.6 and built["a1"].field_presence["price"]
+
+
+HEAD = "source_key,external_id,observed_at,observation_status"
+
+
+def test_files_with_their_own_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(f"{HEAD},title\ns,1,t,active,One\ns,2,t,active,Two\n")
+    (tmp_path / "b.csv").write_text("title,observation_status,observed_at,external_id,source_key,rating\n"
+                                    "Three,active,t,3,s,4.5\n")
+    (tmp_path / "c.csv").write_text(f'{HEAD},title\ns,4,t,active,"over\ntwo lines"\ns,5,t,active,Five\n')
+    rows = csv_files.read_csv(spark, [str(tmp_path / f"{n}.csv") for n in "abc"]).collect()
+    assert sorted((r.external_id, r.title, r.rating, r.row_number) for r in rows) == [
+        ("1", "One", None, 1), ("2", "Two", None, 2), ("3", "Three", "4.5", 1),
+        ("4", "over\ntwo lines", None, 1), ("5", "Five", None, 2)]
 
 
 def test_gate(spark):

@@ -1,5 +1,7 @@
 """The stream gives the batch's rows, and replays add nothing."""
 
+import datetime as dt
+
 from test_lifecycle import SCHEMA, random_rows
 
 from tidewatch.operators.lifecycle import lifecycle_rows
@@ -9,44 +11,49 @@ COLUMNS = ("snapshot_id", "status", "previous_status", "consecutive_misses",
            "transition_sequence", "event_type", "dedupe_key")
 
 
+def run(writer):
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = random_rows(31, listings=25, longest=16)
     whole = spark.createDataFrame(rows, SCHEMA)
     times = sorted(r[3] for r in rows)
     cuts = [times[0], times[len(times) // 2], None]
-    folder = str(tmp_path / "in")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
-                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    out = str(tmp_path / "out")
-    events = str(tmp_path / "events")
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
     for low, high in zip(cuts, cuts[1:]):
         part = whole.filter(whole.observed_at >= low)
         if high is not None:
             part = part.filter(part.observed_at < high)
         part.coalesce(1).write.mode("append").parquet(folder)
-        live = stream.stream_lifecycle(stream.observation_files(spark, folder))
-
-        def sink(batch, _):
-            batch.write.mode("append").parquet(out)
-            for _again in range(2):  # a replayed batch
-                from tidewatch.sinks.append import append_new
-
-                append_new(batch.filter("event_type is not null"), events, ["dedupe_key"])
-
-        live.writeStream.foreachBatch(sink).option(
-            "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    got = {r[0]: tuple(r) for r in spark.read.parquet(out).select(*COLUMNS).collect()}
+        for again in ("cp", f"cp-{high}"):  # a new checkpoint is a replay from the start
+            live = stream.observation_files(spark, folder, files_per_batch=1)
+            run(stream.write_lifecycle(live, out, str(tmp_path / again)))
+    got = {r[0]: tuple(r) for r in spark.read.parquet(f"{out}/rows").select(*COLUMNS).collect()}
     want = {r[0]: tuple(r) for r in lifecycle_rows(whole).select(*COLUMNS).collect()}
     assert got == want
-    stored = [r[0] for r in spark.read.parquet(events).select("dedupe_key").collect()]
+    stored = [r[0] for r in spark.read.parquet(f"{out}/events").select("dedupe_key").collect()]
     assert sorted(stored) == sorted({v[-1] for v in want.values() if v[-1]})
 
 
-def test_run_health_stream(spark, tmp_path):
-    rows = random_rows(5, listings=10, longest=8)
-    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "in"))
-    counts = stream.stream_run_health(stream.observation_files(spark, str(tmp_path / "in")))
-    query = counts.writeStream.format("memory").queryName("health").outputMode("complete").trigger(
-        availableNow=True).start()
-    query.awaitTermination()
-    assert spark.sql("select sum(total) from health").head()[0] == len(rows)
+def test_run_health_over_midnight_sources_and_lone_runs(spark, tmp_path):
+    night = dt.datetime(2025, 3, 3, 23, 0)
+
+    def rows(source, run_id, start, n):
+        return [("d", source, run_id, f"l{k}", f"{source}{run_id}{k}", start + dt.timedelta(minutes=20 * k),
+                 "active") for k in range(n)]
+
+    schema = ("dataset_id string, source_key string, run_id string, listing_id string, "
+              "snapshot_id string, observed_at timestamp, observation_status string")
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    later = night + dt.timedelta(days=2)
+    for part in (rows("a", "r1", night, 9)[:4], rows("a", "r1", night, 9)[4:] + rows("b", "r1", night, 40),
+                 rows("a", "r2", later, 2)):  # r2 comes alone
+        frame = spark.createDataFrame(part, schema)
+        frame.coalesce(1).write.mode("append").parquet(folder)
+        live = stream.observation_files(spark, folder, frame.schema, files_per_batch=1)
+        run(stream.write_run_counts(live, out, str(tmp_path / "cp")))
+    got = {(r.source_key, r.run_id): (r.total, r.degraded, list(r.reasons))
+           for r in stream.stream_run_health(spark, out).collect()}
+    assert got == {("a", "r1"): (9, False, []), ("b", "r1"): (40, False, []),
+                   ("a", "r2"): (2, True, ["valid_observation_drop"])}

@@ -131,23 +131,30 @@ def confidence_rank(c: Column) -> Column:
     return F.array_position(names, c)
 
 
+BROADCAST_RULES = 100_000
+
+
 def notifications(events: DataFrame, rules: DataFrame, items: DataFrame | None = None) -> DataFrame:
     """(rule, event) matches: type in the rule's list, confidence high enough, in scope.
 
-    Rules are opened to one row per event type, so matching is an equi-join on
-    (dataset, type).  A rule with a watchlist only sees that list's properties.
+    Rules are opened to one row per event type.  A rule with a watchlist is opened further
+    to that list's properties, so it meets its events by property and nothing else.  Rules
+    without one match every event of their type; they are broadcast while their counted
+    number allows, so that no type's events are shuffled to one task.
     """
     opened = rules.filter("enabled").select(
         "rule_id", "dataset_id", "minimum_confidence", "watchlist_id",
         F.explode(F.array_distinct("event_types")).alias("event_type"))
-    hits = events.join(opened, ["dataset_id", "event_type"]).filter(
-        confidence_rank(F.col("confidence")) >= confidence_rank(F.col("minimum_confidence")))
-    free = hits.filter(F.col("watchlist_id").isNull())
+    sure = confidence_rank(F.col("confidence")) >= confidence_rank(F.col("minimum_confidence"))
+    general = opened.filter(F.col("watchlist_id").isNull())
+    if general.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
+        general = F.broadcast(general)
+    free = events.join(general, ["dataset_id", "event_type"]).filter(sure)
     if items is None:
         return free
-    scoped = hits.filter(F.col("watchlist_id").isNotNull()).join(
-        items.select("watchlist_id", "property_id").distinct(),
-        ["watchlist_id", "property_id"], "left_semi")
+    listed = opened.filter(F.col("watchlist_id").isNotNull()).join(
+        items.select("watchlist_id", "property_id").distinct(), "watchlist_id")
+    scoped = events.join(listed, ["dataset_id", "event_type", "property_id"]).filter(sure)
     return free.unionByName(scoped.select(*free.columns))
 
 

@@ -11,8 +11,6 @@ from tidewatch.functions.csvcells import csv_line
 from tidewatch.functions.times import iso_utc
 
 SYNC_EXPORT_LIMIT = 10_000
-DIGEST_LIMIT = 5_000
-REJECTION_LIMIT = 10_000
 PROPERTY_COLUMNS = ("id", "canonical_name", "region_id", "lifecycle_status", "property_type",
                     "last_observed_at")
 
@@ -29,18 +27,17 @@ def csv_lines(df: DataFrame) -> DataFrame:
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     """Write header and rows with CRLF line ends.
 
-    Every part file starts with the header.  ``single_file`` is for reports of bounded
-    size (a page, a digest); large exports stay in many part files.
+    The header is the first part file, with or without rows after it, so the part files
+    in order are one document.  ``single_file`` is for reports of at most
+    ``SYNC_EXPORT_LIMIT`` rows; larger ones are refused and stay in many part files.
     """
-    header, lines = csv_header(df.columns), csv_lines(df)
+    lines = csv_lines(df)
+    first = df.sparkSession.range(0, 1, 1, 1).select(F.lit(csv_header(df.columns)).alias("value"))
+    out = first.unionAll(lines)
     if single_file:
-        first = df.sparkSession.createDataFrame([(header,)], "value string")
-        out = first.unionAll(lines).coalesce(1)
-    else:
-        # The low 33 bits of this id count rows inside a part, so 0 is its first row.
-        offset = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-        out = lines.select(F.when(offset == 0, F.concat(
-            F.lit(header + "\r\n"), "value")).otherwise(F.col("value")).alias("value"))
+        if lines.limit(SYNC_EXPORT_LIMIT + 1).count() > SYNC_EXPORT_LIMIT:
+            raise TooLarge(f"more than {SYNC_EXPORT_LIMIT} rows")
+        out = out.coalesce(1)
     # csv() would quote by its own rules, so finished lines are written as text.
     out.write.option("lineSep", "\r\n").mode("overwrite").text(path)
 
@@ -103,17 +100,24 @@ def watchlist_summary(items: DataFrame, properties: DataFrame, watchlist_id) ->
         "last_observed_at").orderBy("canonical_name", "id")
 
 
-def event_digest(events: DataFrame, dataset_id, limit: int = DIGEST_LIMIT) -> DataFrame:
-    """The newest events that were not dismissed."""
-    return events.filter(
+def _cut(df: DataFrame, limit: int | None) -> DataFrame:
+    """All rows, or the first ``limit`` with the full count beside them."""
+    if limit is None:
+        return df
+    return df.limit(limit).withColumn("total_rows", F.lit(df.count()).cast("bigint"))
+
+
+def event_digest(events: DataFrame, dataset_id, limit: int | None = None) -> DataFrame:
+    """The events that were not dismissed, newest first."""
+    return _cut(events.filter(
         (F.col("dataset_id") == dataset_id) & F.col("dismissed_at").isNull()
     ).select("event_type", "title", "event_at", "confidence", "event_id").orderBy(
-        F.desc("event_at"), F.desc("event_id")).limit(limit).drop("event_id")
+        F.desc("event_at"), F.desc("event_id")), limit).drop("event_id")
 
 
-def rejection_report(rejections: DataFrame, limit: int = REJECTION_LIMIT) -> DataFrame:
-    return rejections.select("row_number", "position", "code", "message").orderBy(
-        "row_number", "position").limit(limit).drop("position")
+def rejection_report(rejections: DataFrame, limit: int | None = None) -> DataFrame:
+    return _cut(rejections.select("row_number", "position", "code", "message").orderBy(
+        "row_number", "position"), limit).drop("position")
 
 
 def output_record(spark: SparkSession, output_id: str, row_count: int,

@@ -14,22 +14,43 @@ from tidewatch.functions.text import strip
 RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in CSV_COLUMNS])
 
 
-def has_multiline_cells(spark: SparkSession, path: str | Sequence[str]) -> bool:
-    """Does any line hold an odd number of quotes (a cell running over lines)?"""
+def file_shapes(spark: SparkSession, paths: Sequence[str]) -> list[tuple[str, bool, list[str]]]:
+    """(header line, cells run over lines, files): files that can be read alike.
+
+    A line with an odd number of quotes belongs to such a cell.  One row per file reaches
+    the driver, which lists the files anyway.
+    """
     quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    return not spark.read.text(path).filter(quotes % 2 == 1).limit(1).isEmpty()
+    lines = spark.read.text(list(paths)).select(
+        "value", (quotes % 2 == 1).alias("odd"), F.col("_metadata.file_path").alias("file"),
+        F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("place"))
+    shapes: dict[tuple[str, bool], list[str]] = {}
+    for row in lines.groupBy("file").agg(
+            F.min_by("value", "place").alias("header"), F.max("odd").alias("odd")).collect():
+        shapes.setdefault((row.header, row.odd), []).append(row.file)
+    return [(header, odd, sorted(files)) for (header, odd), files in sorted(shapes.items())]
 
 
 def read_csv(spark: SparkSession, path: str | Sequence[str],
              multiline: bool | None = None) -> DataFrame:
     """All cells as trimmed text, header keyed, with file and 1-based row number.
 
-    Files without cells that run over lines are split across tasks.  ``multiline``
-    None looks for such cells first.
+    Every file is keyed by its own header; columns a file lacks are NULL.  Only files with
+    cells that run over lines are read whole, all others are split across tasks, unless
+    ``multiline`` settles it for all.
     """
     paths = [path] if isinstance(path, str) else list(path)
-    if multiline is None:
-        multiline = has_multiline_cells(spark, paths)
+    tables = [_read_alike(spark, files, odd if multiline is None else multiline)
+              for _, odd, files in file_shapes(spark, paths)]
+    if not tables:
+        assert_required_headers([])
+    table = tables[0]
+    for more in tables[1:]:
+        table = table.unionByName(more, allowMissingColumns=True)
+    return number_rows(table)
+
+
+def _read_alike(spark: SparkSession, paths: list[str], multiline: bool) -> DataFrame:
     reader = (
         spark.read.option("header", True).option("multiLine", multiline).option("escape", '"')
         .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
@@ -40,13 +61,12 @@ def read_csv(spark: SparkSession, path: str | Sequence[str],
     assert_required_headers(names)
     schema = T.StructType([T.StructField(h, T.StringType()) for h in header])
     scanned = reader.schema(schema).csv(paths)
-    table = scanned.select(
+    return scanned.select(
         *[strip(F.col(f"`{h}`")).alias(n) for h, n in zip(header, names)],
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("__block"),
         F.monotonically_increasing_id().alias("__id"),
     )
-    return number_rows(table)
 
 
 def number_rows(table: DataFrame) -> DataFrame:
@@ -57,8 +77,7 @@ def number_rows(table: DataFrame) -> DataFrame:
         Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
     return (
-        # One row per file split, so far fewer rows than tasks can hold.
-        table.join(F.broadcast(blocks.drop("__n")), ["file_path", "__block"])
+        table.join(blocks.drop("__n"), ["file_path", "__block"])
         .withColumn("row_number", F.col("__id") - F.col("__first") + F.col("__before") + 1)
         .drop("__id", "__block", "__first", "__before")
     )

@@ -1,18 +1,20 @@
-"""Observation streams: file source, stateful life cycle, idempotent event sink."""
+"""Observation streams: file source, life cycle with stored state, event sink, run health.
 
-from __future__ import annotations
+Every micro-batch is folded by the same DataFrame operators as a batch job, from the state
+the batches before it have stored.  Each batch writes folders named by its number and
+overwrites them if it is run again, so a replay after a failure changes nothing.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tidewatch.config import LifecycleRules
+from tidewatch.config import LifecycleRules, RunHealth
 from tidewatch.operators import health
-from tidewatch.sinks.append import append_new
+from tidewatch.operators.lifecycle import lifecycle_rows, lifecycle_state
+from tidewatch.sinks.append import append_new, read_stored
 
 OBSERVATION_SCHEMA = T.StructType([
     T.StructField("listing_id", T.StringType()),
@@ -23,11 +25,6 @@ OBSERVATION_SCHEMA = T.StructType([
     T.StructField("high_confidence_not_found", T.BooleanType()),
     T.StructField("run_degraded", T.BooleanType()),
 ])
-_STATE = ("status string, misses long, start timestamp, runs long, last_run string, "
-          "strong boolean, transitions long, observed timestamp")
-_OUTPUT = ("listing_id string, snapshot_id string, run_id string, observed_at timestamp, "
-           "status string, previous_status string, consecutive_misses long, "
-           "transition_sequence long, event_type string, dedupe_key string")
 
 
 def observation_files(spark: SparkSession, path: str, schema: T.StructType = OBSERVATION_SCHEMA,
@@ -37,116 +34,55 @@ def observation_files(spark: SparkSession, path: str, schema: T.StructType = OBS
         "maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-class ListingLifecycle(StatefulProcessor):
-    """One listing's state between micro-batches; a batch is folded in time order."""
-
-    def __init__(self, rules: LifecycleRules):
-        self.rules = rules
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("lifecycle", _STATE)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["observed_at", "snapshot_id"])
-        kept = self.state.get()
-        status, misses, start, runs, last_run, strong, moves, _ = kept or (
-            "active", 0, None, 0, None, False, 0, None)
-        rules, out = self.rules, []
-        for row in batch.itertuples(index=False):
-            before, event = status, None
-            seen, at = row.observation_status, row.observed_at
-            counted = seen == "not_found" or (seen == "unavailable" and rules.count_unavailable)
-            if row.run_degraded is True or row.run_degraded == 1:
-                pass
-            elif seen == "source_error":
-                event = "source_error_observed"
-            elif seen == "active":
-                returns = status in ("suspected_inactive", "confirmed_inactive")
-                status = "reactivated" if returns else "active"
-                event = "reactivated" if returns else None
-                misses, start, runs, last_run, strong = 0, None, 0, None, False
-            elif counted:
-                misses, start = misses + 1, start if start is not None else at
-                runs, last_run = runs + (last_run != row.run_id), row.run_id
-                high = rules.direct_not_found_is_high_confidence or bool(
-                    row.high_confidence_not_found)
-                strong = strong or (seen == "not_found" and high)
-                hours = (pd.Timestamp(at) - pd.Timestamp(start)).total_seconds() / 3600
-                if (strong and seen == "not_found" and misses >= rules.confirmed_min_misses
-                        and hours >= rules.confirmed_min_days * 24):
-                    level = "confirmed_inactive"
-                elif (misses >= rules.suspected_min_misses and runs >= rules.suspected_min_runs
-                        and hours >= rules.suspected_min_hours):
-                    level = "suspected_inactive"
-                else:
-                    level = "first_miss"
-                rank = ("first_miss", "suspected_inactive", "confirmed_inactive")
-                if status not in rank or rank.index(level) > rank.index(status):
-                    status = event = level
-            moves += event in ("reactivated", "suspected_inactive", "confirmed_inactive")
-            out.append((key[0], row.snapshot_id, row.run_id, at, status, before, misses, moves,
-                        event, self._key(key[0], row, event, moves)))
-        self.state.update((status, misses, start, runs, last_run, strong, moves,
-                           batch["observed_at"].iloc[-1]))
-        names = [part.split()[0] for part in _OUTPUT.split(", ")]
-        yield pd.DataFrame(out, columns=names)
-
-    def _key(self, listing: str, row, event: str | None, moves: int) -> str | None:
-        by_kind = {
-            "first_miss": ("listing_first_miss", row.snapshot_id),
-            "suspected_inactive": ("listing_suspected_inactive", moves),
-            "confirmed_inactive": ("listing_confirmed_inactive", moves),
-            "reactivated": ("listing_reactivated", row.snapshot_id),
-            "source_error_observed": ("source_error", row.run_id),
-        }
-        if event is None:
-            return None
-        kind, discriminator = by_kind[event]
-        return f"{kind}:{listing}:{discriminator}:{self.rules.version}"
-
-    def close(self) -> None:
-        pass
-
-
-def stream_lifecycle(observations: DataFrame, rules: LifecycleRules = LifecycleRules()) -> DataFrame:
-    """Life-cycle rows of an observation stream, state kept per listing.
-
-    Batches must arrive in event-time order; inside one batch any order works.
-    """
-    return observations.groupBy("listing_id").transformWithStateInPandas(
-        statefulProcessor=ListingLifecycle(rules), outputStructType=_OUTPUT,
-        outputMode="append", timeMode="none")
+def _before(spark: SparkSession, path: str, batch: int) -> DataFrame | None:
+    """What earlier batches stored under ``path``; a failed try of this batch is left out."""
+    stored = read_stored(spark, path)
+    return None if stored is None else stored.filter(F.col("batch") < batch)
+
 
+def latest_states(states: DataFrame) -> DataFrame:
+    """One row per listing: the state its last batch left."""
+    kept = [c for c in states.columns if c not in ("listing_id", "batch")]
+    return states.groupBy("listing_id").agg(
+        F.max_by(F.struct(*kept), "batch").alias("s")).select("listing_id", "s.*")
 
-def distinct_events(rows: DataFrame, delay: str = "7 days") -> DataFrame:
-    """Events of the stream, repeats within the delay dropped by key."""
-    return rows.filter(F.col("event_type").isNotNull()).withWatermark(
-        "observed_at", delay).dropDuplicatesWithinWatermark(["dedupe_key"])
 
+def write_lifecycle(observations: DataFrame, path: str, checkpoint: str,
+                    rules: LifecycleRules = LifecycleRules()):
+    """Life-cycle rows under ``path``/rows, states of touched listings under ``path``/states,
+    new events under ``path``/events.
 
-def write_events(rows: DataFrame, path: str, checkpoint: str):
-    """Append events whose key is not stored; replayed batches add nothing."""
-    def sink(batch: DataFrame, _: int) -> None:
-        append_new(batch.filter(F.col("event_type").isNotNull()), path, ["dedupe_key"])
+    Batches must arrive in event-time order; inside one batch any order works.  A batch
+    resumes from the states of its own listings, never from their history.
+    """
+    def sink(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        states = _before(spark, f"{path}/states", number)
+        prior = None if states is None else latest_states(states)
+        target = f"{path}/rows/batch={number}"
+        lifecycle_rows(batch, rules, prior_state=prior).write.mode("overwrite").parquet(target)
+        rows = spark.read.parquet(target)
+        lifecycle_state(rows).write.mode("overwrite").parquet(f"{path}/states/batch={number}")
+        append_new(rows.filter(F.col("event_type").isNotNull()), f"{path}/events", ["dedupe_key"])
+
+    return observations.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
 
-    return rows.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
 
+def write_run_counts(observations: DataFrame, path: str, checkpoint: str):
+    """Counts per (dataset, source, run) of every micro-batch, for ``stream_run_health``."""
+    def sink(batch: DataFrame, number: int) -> None:
+        health.run_counts(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-def stream_run_health(observations: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Counts per run and day; a run's line is final once the watermark passes it."""
-    status = F.col("observation_status")
-    return observations.withWatermark("observed_at", delay).groupBy(
-        F.window("observed_at", "1 day"), "run_id"
-    ).agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(~status.isin("source_error", "blocked", "unknown")).alias("valid"),
-        F.count_if(status == "source_error").alias("errors"),
-        F.count_if(status == "blocked").alias("blocked"),
-    ).select("run_id", F.col("window.start").alias("started_at"), "total", "valid", "errors",
-             "blocked")
+    return observations.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
 
 
-def assess_batch(counts: DataFrame, **rules) -> DataFrame:
-    """Health of the runs finished in one micro-batch (for foreachBatch)."""
-    return health.assess(counts.withColumns({
-        "dataset_id": F.lit("stream"), "source_key": F.lit("stream")}), **rules)
+def stream_run_health(spark: SparkSession, path: str, rules: RunHealth = RunHealth()) -> DataFrame:
+    """Health of all runs so far, however batches cut them.
+
+    A run's parts are added up whenever they came, also over midnight, and it is compared
+    with the previous full run of its own dataset and source.
+    """
+    counts = spark.read.parquet(path).groupBy("dataset_id", "source_key", "run_id").agg(
+        F.min("started_at").alias("started_at"),
+        *[F.sum(c).alias(c) for c in ("total", "valid", "errors", "blocked")])
+    return health.assess(counts, rules)
