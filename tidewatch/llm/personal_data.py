@@ -32,8 +32,8 @@ EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-CANDIDATE = r"(?<![^\s,;|])(?=[^\s,;|]*+[0-9])[A-Za-z0-9+(#][^\s,;|]{4,}(?<=[A-Za-z0-9])"
-_PART = "0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+CANDIDATE = r"(?<![^\s,;|])(?=[^\s,;|0-9]*+[0-9])[A-Za-z0-9+(#][^\s,;|]{4,}(?<=[A-Za-z0-9])"
+_PART = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 
 
 def _digits(value: Column) -> Column:
