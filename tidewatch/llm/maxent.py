@@ -39,10 +39,10 @@ from tidewatch.llm.common import arrow_map, stored, whole_text
 
 ADD = 0.1
 KNOWN, CLUSTERED, ANCHORS, REACH = 1 << 18, 1 << 14, 64, 3
-GROUPS, BANDS = 8, 5
+GROUPS, BANDS = 8, 3
 CLASSES = GROUPS * BANDS + GROUPS
 SLOTS, FEATURES = 1 << 16, 4
-ROUNDS, STEP, MINI, SLICE = 2, 0.5, 8192, 1 << 17
+ROUNDS, STEP, MINI, SLICE = 2, 0.5, 4096, 1 << 17
 END = b"\n"  # no word: white space never is
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -106,9 +106,12 @@ class Lexicon:
         memo = self.memo
         if len(memo) > 400_000:
             memo.clear()
-        for word in {*held} - memo.keys():
-            memo[word] = self._code(word)
-        return held, np.fromiter(map(memo.__getitem__, held), np.int64, len(held))
+        found = list(map(memo.get, held))
+        if None in found:
+            for word in {w for w, c in zip(held, found) if c is None}:
+                memo[word] = self._code(word)
+            found = [memo[w] if c is None else c for w, c in zip(held, found)]
+        return held, np.fromiter(found, np.int64, len(held))
 
 
 RANK, KIND = (1 << 20) - 1, 255
