@@ -144,3 +144,26 @@ def test_events_carry_keys_and_text(spark):
     assert suspected.previous_status == "first_miss"
     assert events["listing_reactivated:a:s5:lifecycle-state:v1"].previous_status == \
         "confirmed_inactive"
+
+
+def test_ranges_are_even_for_bursts_outliers_and_nulls(spark):
+    from pyspark.sql import functions as F
+
+    from tidewatch.operators import scans
+
+    n = F.col("id")
+    # One early outlier, then 19 999 rows within two minutes, for one key.
+    burst = spark.range(20_000).select(
+        F.lit("hot").alias("k"), F.when(n == 0, 0).otherwise(10**15 + n % 120).alias("at"), n.alias("seq"))
+    cut = scans.even_segments(burst, ["k"], ["at", "seq"], 40)
+    sizes = [r[1] for r in cut.groupBy(scans.SEGMENT).count().collect()]
+    assert sum(sizes) == 20_000 and max(sizes) < 2 * 20_000 / 40
+    left = spark.range(20_000).select(F.when(n % 10 == 0, n % 7).alias("k"), n.alias("v"))
+    right = spark.range(5).select(n.alias("k"), (n * 10).alias("w"))
+    spread = left.withColumn("s", scans._spread_nulls(left, ["k"]))
+    assert spread.filter("k is null").groupBy("s").count().agg(F.max("count")).first()[0] < 40
+    for how in ("left", "left_semi", "left_anti", "inner"):
+        def rows(df):
+            return sorted(map(tuple, df.select(*sorted(df.columns)).collect()), key=repr)
+
+        assert rows(scans.lookup(left, right, ["k"], how)) == rows(left.join(right, ["k"], how))

@@ -99,7 +99,7 @@ def with_previous(
 
     if sized_by is not None:
         sized_by = sized_by.withColumn("__at", micros("observed_at"))
-    return by_key(df, ["listing_id"], "__at", body, sized_by)
+    return by_key(df, ["listing_id"], ["__at"], body, sized_by)
 
 
 def field_diffs(

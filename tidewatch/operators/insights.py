@@ -47,7 +47,7 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> D
         return running(part, keys, ["__value"], [Scan("__cum", "sum", F.col("__n"))],
                        segment=segment)
 
-    cumulative = by_key(counts, keys, "__value", body)
+    cumulative = by_key(counts, keys, ["__value"], body)
     totals = counts.groupBy(*keys).agg(F.sum("__n").alias("__total"))
     lower = F.floor((F.col("__total") - 1) / 2)
     upper = F.floor(F.col("__total") / 2)

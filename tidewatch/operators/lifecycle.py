@@ -67,7 +67,7 @@ def lifecycle_rows(
 
     if sized_by is not None:
         sized_by = sized_by.withColumn("__at", micros("observed_at"))
-    return by_key(df, ["listing_id"], "__at", body, sized_by)
+    return by_key(df, ["listing_id"], _ORDER, body, sized_by)
 
 
 def _seed_rows(prior: DataFrame, like: DataFrame) -> DataFrame:

@@ -1,14 +1,14 @@
 """Ordered running values per key that stay correct and bounded under skew.
 
 ``running`` computes prefix sums/maxima/firsts/lasts per key, optionally
-restarted at reset rows.  A key of ordinary size is one window group.  A hot
-key (say a third of all rows) is cut into time segments: each segment is
-scanned on its own, one small summary row per segment is carried forward, and
-the carry is added back to the segment's rows.  Results do not depend on the
-cut.
-
-Which keys are hot is decided from exact counts.  At most ``MAX_HOT_KEYS`` keys
-are ever listed: any key beyond the largest 2000 holds under 1/2000 of the rows.
+restarted at reset rows.  A key of ordinary size is one window group.  The rows of
+hot keys (say a third of all rows) are dealt into even ranges of key and order, whatever
+the shape of a key's history: each range is scanned on its own, one small summary row
+per key and range is carried forward, and the carry is added back to the rows.  Results
+do not depend on the cut.
+
+Which keys are hot is decided from exact counts.  A hot key has more rows than the limit,
+so there are at most rows / limit of them; they stay in a table.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ from pyspark.sql import types as T
 
 from tidewatch.session import cut_lineage
 
-MAX_HOT_KEYS = 2000
+BROADCAST_KEYS = 500_000
+NULL_PARTS = 4096
 ROWS_PER_GROUP_CONF = "spark.tidewatch.maxRowsPerGroup"
 DEFAULT_ROWS_PER_GROUP = 2_000_000
 SEGMENT = "__segment"
@@ -73,27 +74,19 @@ def rows_per_group(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(ROWS_PER_GROUP_CONF, str(DEFAULT_ROWS_PER_GROUP)))
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], at: str | None = None) -> DataFrame | None:
-    """Keys with more rows than one task should hold, or None.
+def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+    """Keys with more rows than one task should hold, with their counts, or None.
 
-    Reads only the key (and order) columns and combines map-side.  The returned
-    table has at most MAX_HOT_KEYS rows, so it is safe to broadcast.
+    Reads only the key columns and combines map-side.
     """
-    limit = rows_per_group(df)
-    position = F.col(at) if at else F.lit(0)
-    aggs = [F.count(F.lit(1)).alias("__hot_n"),
-            F.min(position).cast("long").alias("__hot_lo"),
-            F.max(position).cast("long").alias("__hot_hi")]
-    found = (
-        df.groupBy(*keys).agg(*aggs)
-        .filter(F.col("__hot_n") > limit)
-        .orderBy(F.desc("__hot_n")).limit(MAX_HOT_KEYS)
-    )
-    rows = found.collect()
-    if not rows:
-        return None
-    table = df.sparkSession.createDataFrame(rows, found.schema)
-    return table.withColumn("__hot_parts", F.ceil(F.col("__hot_n") / F.lit(limit)) * 2)
+    found = cut_lineage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__hot_n")).filter(
+        F.col("__hot_n") > rows_per_group(df)))
+    return None if found.isEmpty() else found
+
+
+def _sized(table: DataFrame) -> DataFrame:
+    """Broadcast while the counted rows allow; beyond, Spark joins by shuffle."""
+    return F.broadcast(table) if table.count() <= BROADCAST_KEYS else table
 
 
 def _match(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, Column]:
@@ -105,37 +98,39 @@ def _match(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> tuple[DataFram
     return renamed, condition
 
 
-def mark_segments(df: DataFrame, keys: Sequence[str], at: str, hot: DataFrame) -> DataFrame:
-    """Add the segment number of hot rows; NULL marks a row of an ordinary key."""
-    table, condition = _match(df, hot, keys)
-    span = F.col("__hot_hi") - F.col("__hot_lo") + F.lit(1.0)
-    part = F.floor((F.col(at) - F.col("__hot_lo")) / span * F.col("__hot_parts")).cast("long")
-    return (
-        df.join(F.broadcast(table), condition, "left")
-        .withColumn(SEGMENT, part)
-        .drop(*table.columns)
-    )
+def even_segments(df: DataFrame, keys: Sequence[str], order: Sequence[str], ranges: int) -> DataFrame:
+    """Add the number of the row's range, one task each, and write the rows down.
+
+    Bounds are sampled over the whole of ``keys`` and ``order``, so ranges are even for
+    bursts and outliers too, and number along the order within each key.
+    """
+    dealt = df.repartitionByRange(ranges, *keys, *order)
+    return cut_lineage(dealt.withColumn(SEGMENT, F.spark_partition_id().cast("long")))
 
 
 def by_key(
     df: DataFrame,
     keys: Sequence[str],
-    at: str,
+    order: Sequence[str],
     body: Callable[[DataFrame, str | None], DataFrame],
     sized_by: DataFrame | None = None,
 ) -> DataFrame:
-    """Run ``body`` over all rows, cutting hot keys into segments along ``at``.
+    """Run ``body`` over all rows, the rows of hot keys cut into ranges of ``order``.
 
-    ``sized_by`` may name a cheaper table whose per-key row counts bound those of
-    ``df`` (the raw scan the rows were aggregated from).
+    Rows equal in ``order`` stay together.  ``sized_by`` may name a cheaper table whose
+    per-key row counts bound those of ``df`` (the raw scan the rows were aggregated from).
     """
-    hot = hot_keys(df if sized_by is None else sized_by, keys, at)
+    hot = hot_keys(df if sized_by is None else sized_by, keys)
     if hot is None:
         return body(df, None)
-    marked = mark_segments(df, keys, at, hot)
-    ordinary = body(marked.filter(F.col(SEGMENT).isNull()).drop(SEGMENT), None)
-    segmented = body(cut_lineage(marked.filter(F.col(SEGMENT).isNotNull())), SEGMENT)
-    return ordinary.unionByName(segmented.drop(SEGMENT))
+    rows = hot.agg(F.sum("__hot_n")).first()[0]
+    ranges = 2 * -(-rows // rows_per_group(df))
+    table, condition = _match(df, hot, keys)
+    marked = df.join(_sized(table), condition, "left")
+    is_hot = F.col("__hot_n").isNotNull()
+    ordinary = body(marked.filter(~is_hot).drop(*table.columns), None)
+    cut = even_segments(marked.filter(is_hot).drop(*table.columns), keys, order, ranges)
+    return ordinary.unionByName(body(cut, SEGMENT).drop(SEGMENT))
 
 
 def running(
@@ -193,8 +188,8 @@ def running(
     condition = F.col(segment) == F.col("__k_segment")
     for k in keys:
         condition = condition & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    # One row per segment: bounded by rows / rows-per-group, whatever the data.
-    joined = local.join(F.broadcast(carry), condition, "left")
+    # One row per key and segment, both already keyed by them; AQE decides how to join.
+    joined = local.join(carry, condition, "left")
     untouched = F.col(island) == 0 if reset else F.lit(True)
     joined = joined.withColumns({
         s.name: F.when(untouched, s.combine(F.col(f"__in_{s.name}"), F.col(s.name)))
@@ -206,21 +201,33 @@ def running(
     return joined.drop(*helper)
 
 
+def _spread_nulls(df: DataFrame, keys: Sequence[str]) -> Column:
+    """0 for rows that can match; rows with a NULL key are spread over other values."""
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    plain = [c for c, kind in df.dtypes if not kind.startswith(("map", "struct", "array"))]
+    return F.when(known, 0).otherwise(F.pmod(F.xxhash64(*plain), F.lit(NULL_PARTS)) + 1)
+
+
 def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join a fact table with a table that has at most one row per key.
 
-    Rows of hot keys meet their (at most MAX_HOT_KEYS) partner rows by broadcast;
-    the rest joins normally, so no task receives a whole hot key.
+    Rows with a NULL key match nothing and are spread over many tasks.  Rows of hot keys
+    meet their partner rows, at most rows / limit of them, by broadcast while its counted
+    size allows; the rest joins normally, so no task receives a whole hot key.
     """
-    hot = hot_keys(left, keys)
+    on = [*keys, "__spread"]
+    hot = hot_keys(left.dropna(subset=list(keys)), keys)
+    left = left.withColumn("__spread", _spread_nulls(left, keys).cast("long"))
+    right = right.withColumn("__spread", F.lit(0).cast("long"))
     if hot is None:
-        return left.join(right, list(keys), how)
-    hot = hot.select(*keys)
-    warm_right = right.join(F.broadcast(hot), list(keys), "left_semi")
-    warm = left.join(F.broadcast(hot), list(keys), "left_semi").join(
-        F.broadcast(warm_right), list(keys), how)
-    cold = left.join(F.broadcast(hot), list(keys), "left_anti").join(right, list(keys), how)
-    return cold.unionByName(warm)
+        return left.join(right, on, how).drop("__spread")
+    hot = _sized(hot.select(*keys))
+    warm_right = _sized(right.join(hot, list(keys), "left_semi"))
+    warm = left.join(hot, list(keys), "left_semi").join(warm_right, on, how)
+    cold = left.join(hot, list(keys), "left_anti").join(right, on, how)
+    return cold.unionByName(warm).drop("__spread")
 
 
 def micros(column: Column | str) -> Column:

@@ -144,7 +144,7 @@ def classify_rows(validated: DataFrame, signature_columns: Sequence[str],
         return running(part, keys, ["row_number"], [Scan("__first", "first", F.col("__mine"))],
                        segment=segment)
 
-    df = by_key(df, keys, "row_number", body, sized_by)
+    df = by_key(df, keys, ["row_number"], body, sized_by)
     first, mine = F.col("__first"), F.col("__mine")
     outcome = (
         F.when(~valid, "rejected")
