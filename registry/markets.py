@@ -138,7 +138,13 @@ def market_checksums(t):
     return market.multiset_checksum(_order_fingerprints(t), ["collection_id"])
 
 
-@query("market_checksums_fnv")
+@query("market_checksums_fnv", """WITH rows AS (SELECT CAST(l_suppkey AS VARCHAR) AS collection_id, concat_ws('|', l_orderkey, l_linenumber, '',
+    CAST(l_quantity AS INTEGER), l_returnflag) AS fingerprint FROM lineitem),
+joined AS (SELECT collection_id, string_agg(fingerprint, chr(10) ORDER BY fingerprint) AS s FROM rows GROUP BY 1),
+hashed AS (SELECT collection_id, list_reduce(list_prepend(CAST('14695981039346656037' AS HUGEINT),
+    list_transform(string_split(s, ''), lambda c: CAST(ascii(c) AS HUGEINT))),
+    lambda h, c: (xor(h, c) * CAST(1099511628211 AS HUGEINT)) % CAST('18446744073709551616' AS HUGEINT)) AS h FROM joined)
+SELECT collection_id, printf('%016x', CAST(h AS UBIGINT)) AS checksum FROM hashed""")
 def market_checksums_fnv(t):
     return market.fnv_checksum(_order_fingerprints(t))
 

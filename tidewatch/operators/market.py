@@ -303,6 +303,7 @@ def multiset_checksum(rows: DataFrame, by: Sequence[str]) -> DataFrame:
 # 64-bit FNV-1a over the sorted fingerprints joined with newlines.
 _FNV_START = np.uint64(0xCBF29CE484222325)
 _FNV_PRIME = np.uint64(0x100000001B3)
+_ROWS = 2048  # texts hashed side by side
 _PIECE = "collection_id string, first string, scale binary, shift binary"
 
 
@@ -318,14 +319,39 @@ def _units(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-16-le", "surrogatepass"), dtype="<u2")
 
 
-def _summaries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Hash effect of each sorted run of fingerprints, for any state it may start from.
+def _row_effects(texts: list[str], leading: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(scale, shift[256]) of every text, with a line break before it where ``leading``.
 
-    A step xors into the low byte and multiplies, so the effect of a run on state x is
-    x * scale + shift[low byte of x]: 256 numbers describe it completely.
+    A step xors into the low byte and multiplies, so the effect of a text on state x is
+    x * scale + shift[low byte of x].  All texts advance together, one code unit a turn.
     """
+    units = [_units(("\n" if lead else "") + text) for text, lead in zip(texts, leading)]
+    sizes = np.array([len(u) for u in units])
+    order = np.argsort(-sizes, kind="stable")
+    grid = np.zeros((len(units), sizes.max(initial=0)), "<u2")
+    for at, k in enumerate(order):
+        grid[at, :sizes[k]] = units[k]
+    lows = np.arange(256, dtype=np.uint64)
+    lanes = np.tile(lows, (len(units), 1))
+    scale = np.ones(len(units), np.uint64)
+    for j in range(grid.shape[1]):
+        n = int((sizes[order] > j).sum())  # longest first, so the open ones lead
+        unit = grid[:n, j].astype(np.uint64)
+        lanes[:n] = (lanes[:n] ^ (unit & np.uint64(0xFF))[:, None]) * _FNV_PRIME
+        scale[:n] *= _FNV_PRIME
+        wide = np.flatnonzero(unit >> np.uint64(8))
+        if len(wide):
+            lanes[wide] = (lanes[wide] ^ (unit[wide] >> np.uint64(8))[:, None]) * _FNV_PRIME
+            scale[wide] *= _FNV_PRIME
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    return scale[back], (lanes - lows * scale[:, None])[back]
+
+
+def _summaries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Hash effect of each sorted run of fingerprints, for any state it may start from."""
     lows = np.arange(256, dtype=np.uint64)
-    group, first, lanes, scale = None, None, None, None
+    group, first, lanes, scale = None, None, lows, np.uint64(1)
 
     def piece() -> pd.DataFrame:
         return pd.DataFrame([{
@@ -333,18 +359,19 @@ def _summaries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             "shift": (lanes - lows * scale).astype("<u8").tobytes()}])
 
     with np.errstate(over="ignore"):
-        for frame in frames:
-            for owner, text in zip(frame["collection_id"], frame["fingerprint"]):
-                units = _units(text)
-                if owner != group:
-                    if group is not None:
-                        yield piece()
-                    group, first, lanes, scale = owner, text, lows.copy(), np.uint64(1)
-                else:
-                    units = np.concatenate([[10], units])
-                lanes = _absorb(units, lanes)
-                steps = len(units) + int((units >> 8 > 0).sum())
-                scale = scale * np.uint64(pow(int(_FNV_PRIME), steps, 2**64))
+        for whole in frames:
+            for at in range(0, len(whole), _ROWS):
+                frame = whole.iloc[at:at + _ROWS]
+                owners, texts = frame["collection_id"].tolist(), frame["fingerprint"].tolist()
+                leading = np.array([a == b for a, b in zip(owners, [group, *owners[:-1]])])
+                scales, shifts = _row_effects(texts, leading)
+                for owner, text, lead, s, shift in zip(owners, texts, leading, scales, shifts):
+                    if not lead:
+                        if group is not None:
+                            yield piece()
+                        group, first, lanes, scale = owner, text, lows, np.uint64(1)
+                    lanes = lanes * s + shift[lanes & np.uint64(0xFF)]
+                    scale = scale * s
         if group is not None:
             yield piece()
 
@@ -367,7 +394,8 @@ def fnv_checksum(rows: DataFrame, partitions: int | None = None) -> DataFrame:
     """64-bit FNV-1a checksum of each collection's sorted fingerprints.
 
     The hash is sequential, yet a range-partitioned sort lets every task hash its own
-    run; only one 2 KB summary per run and collection is chained at the end.
+    run; only one 2 KB summary per run and collection is chained at the end.  Fingerprints
+    sort by code point.
     """
     sorted_rows = rows.select(F.col("collection_id").cast("string"), "fingerprint")
     order = ["collection_id", "fingerprint"]
