@@ -406,7 +406,7 @@ _PAGE_STATE_SQL = r"""CASE
     WHEN 'login_challenge' THEN 'login_challenge' WHEN 'access_denied' THEN 'access_denied'
     WHEN 'blocked' THEN 'blocking_page' END AS manual_action_reason FROM pages""")
 def page_states(t):
-    return t.read("pages").select("page_id", html.page_state("html").alias("state")).withColumn(
+    return html.with_state(t.read("pages")).select("page_id", "state").withColumn(
         "manual_action_reason", html.manual_action_reason("state"))
 
 

@@ -13,9 +13,9 @@ _COLLAPSED = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
 @query("document_hashes", f"""SELECT doc_id, length({_COLLAPSED}) AS n_chars, sha256({_COLLAPSED}) AS text_hash FROM documents""")
 def document_hashes(t):
     """Whole texts, normalised and hashed (fingerprints of equal texts agree)."""
-    return t.read("documents").select(
-        "doc_id", F.length(tx.normalize_text("text")).cast("bigint").alias("n_chars"),
-        tx.normalized_hash("text").alias("text_hash"))
+    normal = t.read("documents").select("doc_id", tx.normalize_text("text").alias("normal"))
+    return normal.select("doc_id", F.length("normal").cast("bigint").alias("n_chars"),
+                         tx.content_hash("normal").alias("text_hash"))
 
 
 @query("document_names", """SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS name FROM documents""")

@@ -52,12 +52,18 @@ def plain_text(c: Column) -> Column:
     return F.nullif(tx.collapse(F.regexp_replace(c, "<[^>]*>", "")), F.lit(""))
 
 
-def page_state(html: Column | str, state_meta: str = STATE_META) -> Column:
-    """A declared state wins; otherwise the first phrase list that matches."""
+def page_state(html: Column | str, state_meta: str = STATE_META,
+               lowered: Column | None = None) -> Column:
+    """A declared state wins; otherwise the first phrase list that matches.
+
+    ``lowered`` may be a column that already holds the page in lower case.  Most pages
+    hold no phrase at all, which one pass over all lists tells.
+    """
     html = F.col(html) if isinstance(html, str) else html
     declared = _meta(html, state_meta)
-    lowered = F.lower(html)
+    lowered = F.lower(html) if lowered is None else lowered
     state = F.when(declared.isin(*PAGE_STATES), declared)
+    state = state.when(~lowered.rlike("|".join(f"(?:{p})" for _, p in STATE_PHRASES)), "ok")
     for name, phrases in STATE_PHRASES:
         state = state.when(lowered.rlike(phrases), name)
     return state.otherwise("ok")
@@ -76,9 +82,15 @@ def is_blocking(state: Column | str) -> Column:
     return state.isin(*MANUAL_ACTION_REASONS)
 
 
+def with_state(pages: DataFrame, state_meta: str = STATE_META) -> DataFrame:
+    """Add the page state; the page is put in lower case once."""
+    df = pages.withColumn("__lower", F.lower("html"))
+    return df.withColumn("state", page_state("html", state_meta, F.col("__lower"))).drop("__lower")
+
+
 def _blocks(pages: DataFrame, state_meta: str) -> DataFrame:
     """Add the page state and, for readable pages, the card blocks of the markup."""
-    df = pages.withColumn("state", page_state("html", state_meta))
+    df = with_state(pages, state_meta)
     found = F.regexp_extract_all("html", F.lit(CARD), F.lit(0))
     return df.withColumn("__blocks", F.when(
         F.col("state").isin("ok", "no_results"), found).otherwise(
@@ -145,8 +157,7 @@ def detail_pages(pages: DataFrame, state_meta: str = STATE_META, id_meta: str =
                  url_meta: str = URL_META) -> DataFrame:
     """Add state and the detail record; the record is NULL when no listing is named."""
     html = F.col("html")
-    df = pages.withColumns({
-        "state": page_state("html", state_meta),
+    df = with_state(pages, state_meta).withColumns({
         "__tag": F.regexp_extract(html, DETAIL, 1), "__inner": F.regexp_extract(html, DETAIL, 2),
     })
     tag, inner = F.col("__tag"), F.col("__inner")
