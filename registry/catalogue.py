@@ -287,7 +287,8 @@ SELECT event_id, event_type, {stamp_sql('event_at')} AS event_at, evidence_type,
 def property_timeline(t):
     rows = all_events(t).withColumn("property_id", F.col("listing_id") % 20)
     evidence = events.evidence_table(rows)
-    plain = events.event_table(rows.select("*")).withColumn("property_id", F.col("listing_id") % 20)
+    owners = rows.select("listing_id", "property_id").distinct()
+    plain = events.event_table(rows.drop("property_id"), "d1", owners)
     return catalogue.timeline(plain, evidence, 5).select(
         "event_id", "event_type", stamp("event_at").alias("event_at"), "evidence_type", "run_id",
         "current_snapshot_id")

@@ -290,11 +290,13 @@ TITLE_SQL = """CASE event_type WHEN 'listing_created' THEN 'Listing first observ
 
 
 @query("all_events", "WITH " + all_events_sql() + f"""
-SELECT md5(dedupe_key) AS event_id, listing_id, event_type, {stamp_sql('event_at')} AS event_at,
-  confidence, {TITLE_SQL} AS title, dedupe_key FROM evts""")
+SELECT md5(dedupe_key) AS event_id, 'd1' AS dataset_id, listing_id % 20 AS property_id, listing_id, event_type,
+  {stamp_sql('event_at')} AS event_at, confidence, {TITLE_SQL} AS title, dedupe_key FROM evts""")
 def all_events_query(t):
-    return events.event_table(all_events(t)).select(
-        "event_id", "listing_id", "event_type", stamp("event_at").alias("event_at"), "confidence",
+    owners = t.observations.select("listing_id").distinct().withColumn(
+        "property_id", F.col("listing_id") % 20)
+    return events.event_table(all_events(t), "d1", owners).select(
+        "event_id", "dataset_id", "property_id", "listing_id", "event_type", stamp("event_at").alias("event_at"), "confidence",
         "title", "dedupe_key")
 
 

@@ -93,6 +93,7 @@ def replay(spark, tmp_path, policy):
         names = store.read(spark, "listings").select("listing_id", "external_id")
         rows = store.read(spark, "events").join(names, "listing_id").collect()
         assert len({r.dedupe_key for r in rows}) == len(rows)
+        assert all(r.dataset_id == "d1" and r.property_id for r in rows)
         per_day[day] = sorted((int(r.external_id[-1]), r.event_type)
                               for r in rows if r.dedupe_key not in keys)
         assert store.read(spark, "evidence").count() == len(rows)
@@ -147,8 +148,8 @@ def test_invalid_rows(spark, tmp_path):
 def test_repeats_and_conflicts(spark, tmp_path, hot):
     lines = ["source_key,external_id,observed_at,observation_status,title"]
     for n in range(40):
-        lines.append(f"demo_fixture,same,2025-03-03,active,{'A' if n % 3 == 0 else 'B'}")
-    lines.append('demo_fixture,other,2025-03-03,active,"two\nlines, ""quoted"""')
+        lines.append(f"feed,same,2025-03-03,active,{'A' if n % 3 == 0 else 'B'}")
+    lines.append('feed,other,2025-03-03,active,"two\nlines, ""quoted"""')
     file = tmp_path / "dup.csv"
     file.write_text("\n".join(lines))
     if hot:

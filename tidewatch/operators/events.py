@@ -144,9 +144,12 @@ def all_events(created: DataFrame, changed: DataFrame, transitions: DataFrame) -
     })
 
 
-def event_table(events: DataFrame) -> DataFrame:
-    return events.select(
-        "event_id", "listing_id", "event_type", "event_at", "confidence", "title", "summary",
+def event_table(events: DataFrame, dataset_id: str, owners: DataFrame) -> DataFrame:
+    """Events as stored, with their dataset and the property that owns the listing
+    (``owners``: listing_id, property_id, at most one row per listing)."""
+    owned = events.join(owners.select("listing_id", "property_id"), "listing_id", "left")
+    return owned.withColumn("dataset_id", F.lit(dataset_id)).select(
+        "event_id", "dataset_id", "property_id", "listing_id", "event_type", "event_at", "confidence", "title", "summary",
         "previous_value", "current_value", "rule_version", "dedupe_key")
 
 

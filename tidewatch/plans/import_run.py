@@ -141,7 +141,11 @@ def run_import(spark: SparkSession, raw: DataFrame, store: Store, dataset_id: st
 
     store.append(spark.read.parquet(f"{stage}/diffs"), "diffs")
     found = spark.read.parquet(f"{stage}/events")
-    store.append(events.event_table(found), "events")
+    owners = resolved.select("listing_id", "property_id")
+    if known is not None:
+        owners = owners.unionByName(known.select("listing_id", "property_id").join(
+            touched.distinct(), "listing_id", "left_semi")).dropDuplicates(["listing_id"])
+    store.append(events.event_table(found, dataset_id, owners), "events")
     store.append(events.evidence_table(found), "evidence")
     properties = resolution.new_properties(resolved)
     store.append(properties, "properties")
