@@ -43,6 +43,7 @@ GROUPS, BANDS = 8, 3
 CLASSES = GROUPS * BANDS + GROUPS
 SLOTS, FEATURES = 1 << 16, 4
 ROUNDS, STEP, MINI, SLICE = 2, 0.5, 4096, 1 << 17
+TASK_TOKENS = 2_000_000
 END = b"\n"  # no word: white space never is
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -125,13 +126,21 @@ def signatures(train: DataFrame, place: dict[bytes, int]) -> np.ndarray:
 
     def body(batch):
         get = near.value.get
-        total = np.zeros(size, np.int64)
-        for text in _texts(batch):
-            at = np.array([get(w, -1) for w in words(text)], np.int64)
+        total, apart = np.zeros(size, np.int64), [-1] * REACH
+        held: list[int] = []
+        texts = _texts(batch)
+        for i, text in enumerate(texts):
+            held += [get(w, -1) for w in words(text)]
+            held += apart
+            if len(held) < SLICE and i + 1 < len(texts):
+                continue
+            at = np.array(held, np.int64)
+            held, pairs = [], []
             for d in range(1, REACH + 1):
                 for a, b in ((at[d:], at[:-d]), (at[:-d], at[d:])):
                     good = (a >= 0) & (b >= 0) & (b < ANCHORS)
-                    np.add.at(total, a[good] * ANCHORS + b[good], 1)
+                    pairs.append(a[good] * ANCHORS + b[good])
+            total += np.bincount(np.concatenate(pairs), minlength=size)
         cell = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays(
             [pa.array(cell, pa.int64()), pa.array(total[cell], pa.int64())], ["cell", "n"])
@@ -227,7 +236,8 @@ def _features(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     prime = np.uint64(0x9E3779B97F4A7C15)
 
     def slot(x, salt):
-        return (((x + np.uint64(salt)) * prime) >> np.uint64(48)).astype(np.int64)
+        # SLOTS is 2**16; integers of 16 bits also sort fastest.
+        return (((x + np.uint64(salt)) * prime) >> np.uint64(48)).astype(np.uint16)
 
     history = (kind[at - 1] << np.uint64(16)) | (kind[at - 2] << np.uint64(8)) | kind[at - 3]
     return np.stack([slot(w1, 1 << 40), slot(w1 * np.uint64(31) + w2, 2 << 40), slot(w2, 3 << 40),
@@ -255,8 +265,12 @@ def _sliced(lex: Lexicon, texts: list[bytes]):
         yield held
 
 
-def round_of_updates(train: DataFrame, lex, weights: np.ndarray, bias: np.ndarray):
-    """One round: tasks step from the given weights, Spark averages what they changed."""
+def round_of_updates(train: DataFrame, lex, weights: np.ndarray, bias: np.ndarray, tasks: int):
+    """One round: tasks step from the given weights, Spark averages what they changed.
+
+    A task sends a row for every slot it has used, so tiny partitions are put together
+    until ``tasks`` are left, about TASK_TOKENS tokens each.
+    """
     sc = train.sparkSession.sparkContext
     given = sc.broadcast((weights, bias))
     names = [f"d{k}" for k in range(CLASSES)]
@@ -278,7 +292,8 @@ def round_of_updates(train: DataFrame, lex, weights: np.ndarray, bias: np.ndarra
                         rows, n = f[first], np.diff(np.append(first, len(f)))
                         used[rows] += n
                         step = np.add.reduceat(grad[order], first, axis=0)
-                        w[rows] += (STEP / np.sqrt(1 + used[rows]) / np.sqrt(n))[:, None] * step
+                        rate = (STEP / np.sqrt((1 + used[rows]) * n)).astype(np.float32)
+                        w[rows] += rate[:, None] * step
         at = np.flatnonzero(used)
         delta = (w[at] - w0[at]) * used[at, None]
         yield pa.RecordBatch.from_arrays(
@@ -287,7 +302,7 @@ def round_of_updates(train: DataFrame, lex, weights: np.ndarray, bias: np.ndarra
             ["slot", "n", *names])
 
     schema = "slot int, n double, " + ", ".join(f"{x} float" for x in names)
-    moved = train.select("text").mapInArrow(run, schema).groupBy("slot").agg(
+    moved = train.select("text").coalesce(tasks).mapInArrow(run, schema).groupBy("slot").agg(
         F.sum("n").alias("n"), *[F.sum(x).cast("float").alias(x) for x in names])
     out = weights.copy()
     for batch in moved.toArrow().to_batches():  # at most SLOTS rows
@@ -307,9 +322,11 @@ def score(docs: DataFrame) -> DataFrame:
     lex, c = lexicon(train, counts)
     mass = class_mass(counts, lex, c, total, types)
     held = spark.sparkContext.broadcast(lex)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total // TASK_TOKENS))
     weights, bias = np.zeros((SLOTS, CLASSES), np.float32), (mass * math.log(10)).astype(np.float32)
     for r in range(ROUNDS):
-        weights = round_of_updates(train.filter((F.col("part") % ROUNDS) == r), held, weights, bias)
+        weights = round_of_updates(
+            train.filter((F.col("part") % ROUNDS) == r), held, weights, bias, tasks)
     model = spark.sparkContext.broadcast((weights, bias))
     floor = math.log10(total + ADD * (types + 1))
     base = np.concatenate(([0.0], np.log10(c + ADD) - floor))  # by rank + 1; rarer words come later
