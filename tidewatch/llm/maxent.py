@@ -12,8 +12,8 @@ Classes come from the corpus too.  The frequent words are grouped by the frequen
 around them, counted over all training texts, and each group is cut into bands of frequency;
 rarer words take the group of frequent words that end alike.
 
-Word counts are exact and stay in Spark.  The ``KNOWN`` most frequent words are a table of
-fixed size in each worker; counts of all others are joined by word, after each text has
+Word counts are exact and stay in Spark.  The most frequent words, at most ``KNOWN``, are a
+table in each worker; counts of all others are joined by word, after each text has
 merged its own repeats.
 
 Defined cases: null text is empty, and a text without words is its end alone; a null doc_id
@@ -170,11 +170,26 @@ def group_words(near: np.ndarray, mass: np.ndarray, passes: int = 20) -> np.ndar
     return groups
 
 
+def frequent(counts: DataFrame, known: int = KNOWN) -> DataFrame:
+    """Words above a count that at most ``known`` words reach, found from a histogram of
+    counts in eighths of powers of two: no task sorts or gathers the vocabulary."""
+    level = F.floor(F.log2("c") * 8)
+    least, held = 1 << 20, 0
+    levels = counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()
+    for row in sorted(levels, reverse=True):  # at most 512 rows
+        held += row.n
+        if held > known:
+            break
+        least = row.level
+    return counts.filter(level >= least)
+
+
 def lexicon(train: DataFrame, counts: DataFrame) -> tuple[Lexicon, np.ndarray]:
     """The known words with their classes, and their counts by rank."""
-    top = counts.orderBy(F.desc("c"), "word").limit(KNOWN).toArrow()
-    names = [bytes(w) for w in top.column("word").to_pylist()]
-    c = np.array(top.column("c").to_pylist(), float)
+    top = frequent(counts).toArrow()
+    ranked = sorted(zip(top.column("c").to_pylist(), top.column("word").to_pylist()),
+                    key=lambda x: (-x[0], x[1]))
+    names, c = [bytes(w) for _, w in ranked], np.array([n for n, _ in ranked], float)
     place = {w: r for r, w in enumerate(names)}
     clustered = min(len(names), CLUSTERED)
     groups = np.zeros(len(names), np.int64)
