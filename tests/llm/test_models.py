@@ -107,3 +107,11 @@ def test_pages_fuse_their_evidence(spark, labelled):
     assert got[101].lang is not None and not got[101].kept
     assert got[102].lang == "de" and got[102].kept
     assert language.fuse(scored, []).filter("kept or lang is not null").count() == 0
+
+
+def test_frequent_words_are_bounded(spark):
+    counts = spark.createDataFrame([(f"w{k}".encode(), 1 + 100 // (k + 1)) for k in range(300)], "word binary, c long")
+    got = [r.c for r in maxent.frequent(counts, 30).collect()]
+    assert 20 < len(got) <= 30 and min(got) > max(c for c in (1 + 100 // (k + 1) for k in range(300)) if c not in got)
+    assert maxent.frequent(counts, 5000).count() == 300
+    assert maxent.frequent(counts.filter("c = 1"), 3).count() == 0
