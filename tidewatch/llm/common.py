@@ -40,14 +40,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+ROWS = 256  # texts that are Python objects at once
+
+
+def slices(batch: pa.RecordBatch, rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def arrow_map(df: DataFrame, body: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]],
-              schema: str) -> DataFrame:
-    """Run ``body`` on each Arrow batch.  Spark bounds a batch by rows and by bytes."""
+              schema: str, rows: int | None = None) -> DataFrame:
+    """Run ``body`` on each Arrow batch, or on slices of ``rows`` rows of it.  Spark bounds a
+    batch by rows and by bytes; slices keep few of its texts as Python objects."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                yield from body(batch)
+                for part in slices(batch, rows or batch.num_rows):
+                    yield from body(part)
 
     return df.mapInArrow(run, schema)
 

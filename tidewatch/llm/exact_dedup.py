@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import SPACE, arrow_map, same_key, stored, whole_text
+from tidewatch.llm.common import ROWS, SPACE, arrow_map, same_key, stored, whole_text
 
 WINDOW_STEPS = 5  # doublings: the rolling hash sees 2**5 bytes
 AVERAGE = 2048  # bytes of a chunk, a power of two
@@ -94,7 +94,7 @@ def chunks(texts: DataFrame, seed: int, name=chunk_name) -> DataFrame:
             [pa.array([name(c, seed) for c in content], pa.binary()),
              pa.array(content, pa.binary())], ["name", "content"])
 
-    return arrow_map(texts, body, "name binary, content binary")
+    return arrow_map(texts, body, "name binary, content binary", ROWS)
 
 
 def recipes(texts: DataFrame, seed: int, name=chunk_name) -> DataFrame:
@@ -111,7 +111,7 @@ def recipes(texts: DataFrame, seed: int, name=chunk_name) -> DataFrame:
              pa.array([hashlib.sha256(t).hexdigest() for t in data], pa.string()),
              pa.array(made, pa.binary())], ["doc_id", "text_sha256", "recipe"])
 
-    return arrow_map(texts, body, RECIPE)
+    return arrow_map(texts, body, RECIPE, ROWS)
 
 
 def is_verified(texts: DataFrame, seed: int, name=chunk_name) -> bool:

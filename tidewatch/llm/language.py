@@ -21,13 +21,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import arrow_map, lowered, stored, whole_text
+from tidewatch.llm.common import arrow_map, lowered, slices, stored, whole_text
 
 BUCKETS, BLOCK, MOST_LANGUAGES, BROADCAST_ROWS = 1 << 14, 1 << 20, 500, 100_000
 TEMPER, SMOOTH, STRENGTH, LEAST = 0.3, 0.5, 10.0, 0.3
@@ -55,10 +54,11 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
 
     def body(batch):
         votes: dict[str, np.ndarray] = {}
-        for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
-            counts = votes.setdefault(lang, np.zeros(BUCKETS, np.int64))
-            for found in _trigrams(_folded(text)):
-                counts += np.bincount(found, minlength=BUCKETS)
+        for part in slices(batch):
+            for text, lang in zip(part.column("text").to_pylist(), part.column("lang").to_pylist()):
+                counts = votes.setdefault(lang, np.zeros(BUCKETS, np.int64))
+                for found in _trigrams(_folded(text)):
+                    counts += np.bincount(found, minlength=BUCKETS)
         for lang, counts in votes.items():
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays(
@@ -84,17 +84,17 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
 def likelihood(table: np.ndarray):
     """A column function: tempered log likelihood per language; null without a letter."""
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             out = []
-            for text in texts:
+            for value in texts:  # one text is a Python object at a time
                 total, n = np.zeros(table.shape[1]), 0
-                for found in _trigrams(_folded(text)):
+                for found in _trigrams(_folded(value.as_py())):
                     total += table[found].sum(axis=0, dtype=np.float64)
                     n += len(found)
                 out.append((total * TEMPER).tolist() if n else None)
-            yield pd.Series(out)
+            yield pa.array(out, pa.list_(pa.float64()))
 
     return score
 

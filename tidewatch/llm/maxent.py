@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from zlib import crc32
 
@@ -35,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import arrow_map, stored, whole_text
+from tidewatch.llm.common import arrow_map, slices, stored, whole_text
 
 ADD = 0.1
 KNOWN, CLUSTERED, ANCHORS, REACH = 1 << 18, 1 << 14, 64, 3
@@ -61,8 +62,9 @@ def corpus(docs: DataFrame) -> DataFrame:
         F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10, F.lit(1)).cast("int").alias("part"))
 
 
-def _texts(batch: pa.RecordBatch) -> list[bytes]:
-    return pc.cast(batch.column("text"), pa.binary()).to_pylist()
+def _texts(batch: pa.RecordBatch) -> Iterator[bytes]:
+    for part in slices(batch):
+        yield from pc.cast(part.column("text"), pa.binary()).to_pylist()
 
 
 def vocabulary(train: DataFrame) -> DataFrame:
@@ -105,7 +107,7 @@ class Lexicon:
         """Words and their codes: hash, class and rank + 1 (0: not known) in one integer."""
         held = words(text)
         memo = self.memo
-        if len(memo) > 400_000:
+        if len(memo) > 300_000:
             memo.clear()
         found = list(map(memo.get, held))
         if None in found:
@@ -128,19 +130,22 @@ def signatures(train: DataFrame, place: dict[bytes, int]) -> np.ndarray:
         get = near.value.get
         total, apart = np.zeros(size, np.int64), [-1] * REACH
         held: list[int] = []
-        texts = _texts(batch)
-        for i, text in enumerate(texts):
-            held += [get(w, -1) for w in words(text)]
-            held += apart
-            if len(held) < SLICE and i + 1 < len(texts):
-                continue
-            at = np.array(held, np.int64)
-            held, pairs = [], []
+
+        def count():
+            at, pairs = np.array(held, np.int64), []
             for d in range(1, REACH + 1):
                 for a, b in ((at[d:], at[:-d]), (at[:-d], at[d:])):
                     good = (a >= 0) & (b >= 0) & (b < ANCHORS)
                     pairs.append(a[good] * ANCHORS + b[good])
-            total += np.bincount(np.concatenate(pairs), minlength=size)
+            held.clear()
+            return np.bincount(np.concatenate(pairs), minlength=size)
+
+        for text in _texts(batch):
+            held += [get(w, -1) for w in words(text)]
+            held += apart
+            if len(held) >= SLICE:
+                total += count()
+        total += count()
         cell = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays(
             [pa.array(cell, pa.int64()), pa.array(total[cell], pa.int64())], ["cell", "n"])
@@ -267,7 +272,7 @@ def _log_softmax(weights: np.ndarray, bias: np.ndarray, slots: np.ndarray) -> np
     return scores - np.log(np.exp(scores).sum(axis=1, keepdims=True))
 
 
-def _sliced(lex: Lexicon, texts: list[bytes]):
+def _sliced(lex: Lexicon, texts: Iterable[bytes]):
     """Groups of (words, codes) of whole texts, each with about SLICE tokens."""
     held, size = [], 0
     for text in texts:

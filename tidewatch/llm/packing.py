@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import stored, whole_text
+from tidewatch.llm.common import slices, stored, whole_text
 from tidewatch.llm.tokens import encoder, tokenizer_file
 
 WINDOW, END, STEPS = 1024, 0, 6000
@@ -42,7 +42,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END
 
     def run(batches):
         encode, part, seen = encoder(json.value).encode, TaskContext.get().partitionId(), {}
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             columns = [[] for _ in names]
             texts = batch.column("text").to_pylist()
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(texts)):

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import arrow_map, same_key, stored, whole_text
+from tidewatch.llm.common import ROWS, arrow_map, same_key, stored, whole_text
 from tidewatch.llm.components import components
 
 BITS, REACH, WORDS, CROWD, BLOCK = 64, 2, 3, 65, 8
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                                          ["doc_id", "fp"])
 
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                                 whole_text().alias("text")), body, "doc_id long, fp long")
+                                 whole_text().alias("text")), body, "doc_id long, fp long", ROWS)
 
 
 def _bits(batch: pa.RecordBatch) -> np.ndarray:

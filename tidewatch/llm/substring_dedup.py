@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import arrow_map, same_key, stored, whole_text
+from tidewatch.llm.common import ROWS, arrow_map, same_key, stored, whole_text
 
 SENTENCES, LEAST, LONG, CLAUSE = 2, 10, 24, 8
 
@@ -93,7 +93,7 @@ def span_table(docs: DataFrame) -> DataFrame:
             ["doc_id", "text_key", "firsts", "sizes", "names"])
 
     return arrow_map(docs, body, "doc_id long, text_key long, firsts array<int>, "
-                                 "sizes array<int>, names array<binary>")
+                                 "sizes array<int>, names array<binary>", ROWS)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -148,4 +148,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
              pa.array(rows["clean_text"], pa.string())], list(rows))
 
     return arrow_map(joined, body, "doc_id long, n_sentences long, n_removed long, "
-                                   "removed string, clean_text string")
+                                   "removed string, clean_text string", ROWS)

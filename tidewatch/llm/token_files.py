@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import table_path, whole_text
+from tidewatch.llm.common import slices, table_path, whole_text
 from tidewatch.llm.tokens import encoder, tokenizer_file
 
 END = 1
@@ -39,7 +39,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = END) ->
 
     def run(batches):
         encode, part, at = encoder(json.value).encode, TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             coded = [i + np.array([end], "<u4").tobytes()
                      for i in encode(batch.column("text").to_pylist())]
             sizes = np.array([len(i) // 4 for i in coded], np.int64)
