@@ -18,7 +18,7 @@ import numpy as np
 # white space that does not begin with an ASCII one is no place to cut.
 PIECE = re.compile(r"\s*(?:[A-Za-z\u00df-\u00f6\u00f8-\u00ff]+(?=[.,;:!?%#$&*|])"
                    r"|\S+(?:(?![ \t-\r])\s+\S*)*)|\s+")
-KEPT, KEPT_LENGTH = 700_000, 48  # entries of a worker's table and characters of an entry
+KEPT, KEPT_LENGTH = 700_000, 48  # entries of a worker's tables and characters of an entry
 
 _encoders: dict[int, Encoder] = {}
 
@@ -29,7 +29,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(json)
+        # Pieces of two generations: what the new one lacks moves up from the old one, so
+        # frequent pieces stay when the old one is given up.
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _learn(self, fresh: list[str]) -> dict[str, bytes]:
         got = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
@@ -39,13 +42,15 @@ class Encoder:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         out = []
         for i in range(0, len(texts), 256):
-            if len(self.known) > KEPT:
-                self.known.clear()
+            if len(self.known) > KEPT // 2:
+                self.old, self.known = self.known, {}
             cut = [PIECE.findall(t) for t in texts[i:i + 256]]
             got = [list(map(self.known.get, pieces)) for pieces in cut]
             open_ = [k for k, ids in enumerate(got) if None in ids]
             fresh = {p for k in open_ for p, b in zip(cut[k], got[k]) if b is None}
-            learnt = self._learn(list(fresh)) if fresh else {}
+            learnt = {p: self.old[p] for p in fresh if p in self.old}
+            fresh -= learnt.keys()
+            learnt.update(self._learn(list(fresh)) if fresh else {})
             self.known.update((p, b) for p, b in learnt.items() if len(p) <= KEPT_LENGTH)
             for k in open_:
                 got[k] = [learnt[p] if b is None else b for p, b in zip(cut[k], got[k])]
