@@ -40,6 +40,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Have Spark cut Arrow batches at BATCH_BYTES, unless the session asks for less: both
+    sides hold whole batches, and texts are long."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(key).rstrip("bB")) <= BATCH_BYTES:
+        conf.set(key, f"{BATCH_BYTES}b")
+    return df
+
+
 ROWS = 256  # texts that are Python objects at once
 
 
@@ -59,7 +72,13 @@ def arrow_map(df: DataFrame, body: Callable[[pa.RecordBatch], Iterator[pa.Record
                 for part in slices(batch, rows or batch.num_rows):
                     yield from body(part)
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
+
+
+def arrow_fold(df: DataFrame, body: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+               schema: str) -> DataFrame:
+    """Run ``body`` once for all batches of a task, for sums of a fixed size."""
+    return small_batches(df).mapInArrow(body, schema)
 
 
 def same_key(left: DataFrame, right: DataFrame, keys: dict[str, str]) -> Column:

@@ -26,7 +26,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import arrow_map, lowered, slices, stored, whole_text
+from tidewatch.llm.common import (
+    arrow_fold, lowered, slices, small_batches, stored, whole_text,
+)
 
 BUCKETS, BLOCK, MOST_LANGUAGES, BROADCAST_ROWS = 1 << 14, 1 << 20, 500, 100_000
 TEMPER, SMOOTH, STRENGTH, LEAST = 0.3, 0.5, 10.0, 0.3
@@ -52,9 +54,9 @@ def _folded(text: str | None) -> bytes:
 def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """(languages, log probabilities by bucket and language) from columns text and lang."""
 
-    def body(batch):
+    def body(batches):
         votes: dict[str, np.ndarray] = {}
-        for part in slices(batch):
+        for part in (part for batch in batches for part in slices(batch)):
             for text, lang in zip(part.column("text").to_pylist(), part.column("lang").to_pylist()):
                 counts = votes.setdefault(lang, np.zeros(BUCKETS, np.int64))
                 for found in _trigrams(_folded(text)):
@@ -65,7 +67,7 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
                 [pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()),
                  pa.array(counts[at], pa.int64())], ["lang", "bucket", "n"])
 
-    rows = arrow_map(labelled.filter("lang is not null").select("text", "lang"), body,
+    rows = arrow_fold(labelled.filter("lang is not null").select("text", "lang"), body,
                      "lang string, bucket int, n long").groupBy("lang", "bucket").agg(
         F.sum("n").alias("n"))
     # One array per language, at most MOST_LANGUAGES times BUCKETS numbers.
@@ -185,7 +187,7 @@ def fuse(scored: DataFrame, languages: list[str], votes_of: DataFrame | None = N
 
 
 def score_text(evidence: DataFrame, table: np.ndarray) -> DataFrame:
-    return evidence.withColumn("__text", likelihood(table)(whole_text()))
+    return small_batches(evidence).withColumn("__text", likelihood(table)(whole_text()))
 
 
 EVIDENCE = ("markup", "suffix", "host", "domain")

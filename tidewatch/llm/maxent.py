@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import arrow_map, slices, stored, whole_text
+from tidewatch.llm.common import arrow_fold, slices, small_batches, stored, whole_text
 
 ADD = 0.1
 KNOWN, CLUSTERED, ANCHORS, REACH = 1 << 18, 1 << 14, 64, 3
@@ -44,7 +44,7 @@ GROUPS, BANDS = 8, 3
 CLASSES = GROUPS * BANDS + GROUPS
 SLOTS, FEATURES = 1 << 16, 4
 ROUNDS, STEP, MINI, SLICE = 2, 0.5, 4096, 1 << 17
-TASK_TOKENS = 2_000_000
+TASK_TOKENS, HELD = 2_000_000, 300_000
 END = b"\n"  # no word: white space never is
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -57,7 +57,7 @@ def words(text: bytes) -> list[bytes]:
 
 def corpus(docs: DataFrame) -> DataFrame:
     """(doc_id, text, part): part is crc32 of the id modulo 10; 0 is held out."""
-    return docs.select(
+    return small_batches(docs).select(
         F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"),
         F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10, F.lit(1)).cast("int").alias("part"))
 
@@ -70,15 +70,22 @@ def _texts(batch: pa.RecordBatch) -> Iterator[bytes]:
 def vocabulary(train: DataFrame) -> DataFrame:
     """(word, c): exact counts of training tokens."""
 
-    def body(batch):
-        found: Counter[bytes] = Counter()
-        for text in _texts(batch):
-            found.update(words(text))
-        yield pa.RecordBatch.from_arrays(
+    def rows(found):
+        return pa.RecordBatch.from_arrays(
             [pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.int64())],
             ["word", "c"])
 
-    return stored(arrow_map(train.select("text"), body, "word binary, c long").groupBy("word").agg(
+    def body(batches):
+        found: Counter[bytes] = Counter()
+        for batch in batches:
+            for text in _texts(batch):
+                found.update(words(text))
+            if len(found) > HELD:
+                yield rows(found)
+                found = Counter()
+        yield rows(found)
+
+    return stored(arrow_fold(train.select("text"), body, "word binary, c long").groupBy("word").agg(
         F.sum("c").alias("c")), "vocabulary")
 
 
@@ -126,7 +133,7 @@ def signatures(train: DataFrame, place: dict[bytes, int]) -> np.ndarray:
     near = sc.broadcast({w: r for w, r in place.items() if r < CLUSTERED})
     size = CLUSTERED * ANCHORS
 
-    def body(batch):
+    def body(batches):
         get = near.value.get
         total, apart = np.zeros(size, np.int64), [-1] * REACH
         held: list[int] = []
@@ -140,7 +147,7 @@ def signatures(train: DataFrame, place: dict[bytes, int]) -> np.ndarray:
             held.clear()
             return np.bincount(np.concatenate(pairs), minlength=size)
 
-        for text in _texts(batch):
+        for text in (text for batch in batches for text in _texts(batch)):
             held += [get(w, -1) for w in words(text)]
             held += apart
             if len(held) >= SLICE:
@@ -151,7 +158,7 @@ def signatures(train: DataFrame, place: dict[bytes, int]) -> np.ndarray:
             [pa.array(cell, pa.int64()), pa.array(total[cell], pa.int64())], ["cell", "n"])
 
     out = np.zeros(size)
-    summed = arrow_map(train.select("text"), body, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    summed = arrow_fold(train.select("text"), body, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     for row in summed.toArrow().to_batches():  # at most CLUSTERED * ANCHORS cells
         out[row.column(0).to_numpy()] = row.column(1).to_numpy()
     return out.reshape(CLUSTERED, ANCHORS)
@@ -226,12 +233,13 @@ def class_mass(counts: DataFrame, lex: Lexicon, c: np.ndarray, total: int, types
     sc = counts.sparkSession.sparkContext
     held = sc.broadcast(lex)
 
-    def body(batch):
+    def body(batches):
         lex = held.value
         sums = np.zeros((GROUPS, 2))
-        for word, n in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist()):
-            if word not in lex.place:
-                sums[lex.tail_group(word)] += (n, 1)
+        for batch in batches:
+            for word, n in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist()):
+                if word not in lex.place:
+                    sums[lex.tail_group(word)] += (n, 1)
         yield pa.RecordBatch.from_arrays(
             [pa.array(range(GROUPS), pa.int32()), pa.array(sums[:, 0], pa.float64()),
              pa.array(sums[:, 1], pa.float64())], ["g", "n", "v"])
@@ -239,7 +247,7 @@ def class_mass(counts: DataFrame, lex: Lexicon, c: np.ndarray, total: int, types
     mass = np.zeros(CLASSES)
     np.add.at(mass, lex.groups, c + ADD)
     mass[GROUPS * BANDS:] += ADD
-    rows = arrow_map(counts, body, "g int, n double, v double").groupBy("g").agg(F.sum("n"), F.sum("v"))
+    rows = arrow_fold(counts, body, "g int, n double, v double").groupBy("g").agg(F.sum("n"), F.sum("v"))
     for g, n, v in rows.collect():  # GROUPS rows
         mass[GROUPS * BANDS + g] += n + ADD * v
     return np.log10(np.maximum(mass, ADD) / (total + ADD * (types + GROUPS)))

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import slices, stored, whole_text
+from tidewatch.llm.common import slices, small_batches, stored, whole_text
 from tidewatch.llm.tokens import encoder, tokenizer_file
 
 WINDOW, END, STEPS = 1024, 0, 6000
@@ -61,8 +61,8 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, types)], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                       whole_text().alias("text")).mapInArrow(run, PIECES)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"),
+                                      whole_text().alias("text")).mapInArrow(run, PIECES)
 
 
 def combinations(lengths: np.ndarray, window: int) -> np.ndarray:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import ROWS, arrow_map, same_key, stored, whole_text
+from tidewatch.llm.common import ROWS, arrow_fold, arrow_map, same_key, stored, whole_text
 from tidewatch.llm.components import components
 
 BITS, REACH, WORDS, CROWD, BLOCK = 64, 2, 3, 65, 8
@@ -84,14 +84,17 @@ def _bits(batch: pa.RecordBatch) -> np.ndarray:
 def _summed(fps: DataFrame, count, cells: int) -> np.ndarray:
     """Counts of a fixed number of cells over all fingerprints, added up by Spark."""
 
-    def body(batch):
-        n = count(_bits(batch))
+    def body(batches):
+        n = np.zeros(cells, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                n += count(_bits(batch))
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())],
                                          ["cell", "n"])
 
     out = np.zeros(cells)
-    for row in arrow_map(fps, body, "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():
+    for row in arrow_fold(fps, body, "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():
         out[row[0]] = row[1]
     return out
 

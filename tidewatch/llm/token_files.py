@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import slices, table_path, whole_text
+from tidewatch.llm.common import slices, small_batches, table_path, whole_text
 from tidewatch.llm.tokens import encoder, tokenizer_file
 
 END = 1
@@ -54,7 +54,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = END) ->
                 ["part", "doc_id", "local_start", "ids"])
             at += int(stops[-1]) if len(stops) else 0
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     order = ["doc_id", F.xxhash64("text")]
     ranged = texts.repartitionByRange(*order).sortWithinPartitions(*order)
     ranged.mapInArrow(run, ROWS).write.options(**OPTIONS).orc(path)
@@ -80,7 +80,7 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
                  pa.array(np.diff(stops), pa.int64()), pa.array(crc, pa.int64())],
                 ["part", "doc_id", "local_start", "n_tokens", "ids_crc32"])
 
-    files = read_tokens(spark, path)
+    files = small_batches(read_tokens(spark, path))
     # One row per range: sums of the ranges before.
     sums = files.groupBy("part").agg(F.sum(F.size("ids").cast("long")).alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -18,7 +18,7 @@ import numpy as np
 # white space that does not begin with an ASCII one is no place to cut.
 PIECE = re.compile(r"\s*(?:[A-Za-z\u00df-\u00f6\u00f8-\u00ff]+(?=[.,;:!?%#$&*|])"
                    r"|\S+(?:(?![ \t-\r])\s+\S*)*)|\s+")
-KEPT, KEPT_LENGTH = 700_000, 48  # entries of a worker's tables and characters of an entry
+KEPT, KEPT_LENGTH = 500_000, 48  # entries of a worker's tables and characters of an entry
 
 _encoders: dict[int, Encoder] = {}
 
