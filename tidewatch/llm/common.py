@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -53,6 +54,13 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def forget_pieces() -> None:
+    """Give up the token tables this reused worker holds; other operators need the room."""
+    tokens = sys.modules.get("tidewatch.llm.tokens")
+    if tokens is not None:
+        tokens.encoders.clear()
+
+
 ROWS = 256  # texts that are Python objects at once
 
 
@@ -67,6 +75,7 @@ def arrow_map(df: DataFrame, body: Callable[[pa.RecordBatch], Iterator[pa.Record
     batch by rows and by bytes; slices keep few of its texts as Python objects."""
 
     def run(batches):
+        forget_pieces()
         for batch in batches:
             if batch.num_rows:
                 for part in slices(batch, rows or batch.num_rows):
@@ -78,7 +87,11 @@ def arrow_map(df: DataFrame, body: Callable[[pa.RecordBatch], Iterator[pa.Record
 def arrow_fold(df: DataFrame, body: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
                schema: str) -> DataFrame:
     """Run ``body`` once for all batches of a task, for sums of a fixed size."""
-    return small_batches(df).mapInArrow(body, schema)
+    def run(batches):
+        forget_pieces()
+        yield from body(batches)
+
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def same_key(left: DataFrame, right: DataFrame, keys: dict[str, str]) -> Column:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.llm.common import (
-    arrow_fold, lowered, slices, small_batches, stored, whole_text,
+    arrow_fold, forget_pieces, lowered, slices, small_batches, stored, whole_text,
 )
 
 BUCKETS, BLOCK, MOST_LANGUAGES, BROADCAST_ROWS = 1 << 14, 1 << 20, 500, 100_000
@@ -88,6 +88,7 @@ def likelihood(table: np.ndarray):
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        forget_pieces()
         for texts in batches:
             out = []
             for value in texts:  # one text is a Python object at a time

@@ -20,7 +20,7 @@ PIECE = re.compile(r"\s*(?:[A-Za-z\u00df-\u00f6\u00f8-\u00ff]+(?=[.,;:!?%#$&*|])
                    r"|\S+(?:(?![ \t-\r])\s+\S*)*)|\s+")
 KEPT, KEPT_LENGTH = 500_000, 48  # entries of a worker's tables and characters of an entry
 
-_encoders: dict[int, Encoder] = {}
+encoders: dict[int, Encoder] = {}
 
 
 class Encoder:
@@ -61,9 +61,9 @@ class Encoder:
 def encoder(json: str) -> Encoder:
     """This worker's encoder for a tokenizer file's content."""
     key = hash(json)
-    if key not in _encoders:
-        _encoders[key] = Encoder(json)
-    return _encoders[key]
+    if key not in encoders:
+        encoders[key] = Encoder(json)
+    return encoders[key]
 
 
 def tokenizer_file(path: str) -> str:
