@@ -6,12 +6,18 @@ language that texts alone show, counted over the whole input and smoothed.  Host
 smoothed along a hierarchy, host towards domain towards all, from the same grouped counts,
 each row's own vote taken out of them.  The logarithms are added and normalised.
 
+One hypothesis more stands for none of the languages: its trigrams fall on all buckets
+alike, it has a small fixed prior, and markup and suffix say about it what they say overall.
+Trigrams of other languages and of random letters are rarer in every language than that, and
+the evidence grows with the text, so short clean texts stay.
+
 The trigram table and the list of languages have a fixed bound; tables by host, domain,
 markup or suffix value grow with the input and are broadcast only up to ``BROADCAST_ROWS``.
 
 Defined cases: missing markup, suffix or host is no evidence; text without a letter gives
-no text evidence, so such a row gets its language from the rest and is not kept; rows of
-less than ``LEAST`` confidence are not kept; ties go to the language first in the alphabet;
+no text evidence, so such a row gets its language from the rest and is not kept; rows best
+explained by none of the languages have no language and are not kept, nor are rows of less
+than ``LEAST`` confidence; ties go to the language first in the alphabet;
 null labels train nothing, and without labels there is no language; repeated rows are
 separate rows; an empty table gives no rows.
 """
@@ -31,7 +37,7 @@ from tidewatch.llm.common import (
 )
 
 BUCKETS, BLOCK, MOST_LANGUAGES, BROADCAST_ROWS = 1 << 14, 1 << 20, 500, 100_000
-TEMPER, SMOOTH, STRENGTH, LEAST = 0.3, 0.5, 10.0, 0.3
+TEMPER, SMOOTH, STRENGTH, LEAST, NONE_PRIOR = 0.3, 0.5, 10.0, 0.3, 0.01
 
 # Letters to lower case, every other ASCII byte to a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -84,7 +90,8 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
 
 
 def likelihood(table: np.ndarray):
-    """A column function: tempered log likelihood per language; null without a letter."""
+    """A column function: tempered log likelihood per language and, last, of none of them;
+    null without a letter."""
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -96,7 +103,8 @@ def likelihood(table: np.ndarray):
                 for found in _trigrams(_folded(value.as_py())):
                     total += table[found].sum(axis=0, dtype=np.float64)
                     n += len(found)
-                out.append((total * TEMPER).tolist() if n else None)
+                none = -n * np.log(BUCKETS)
+                out.append((np.append(total, none) * TEMPER).tolist() if n else None)
             yield pa.array(out, pa.list_(pa.float64()))
 
     return score
@@ -127,6 +135,12 @@ def _best(scores: Column, languages: list[str]) -> Column:
     return F.get(names, (F.array_position(scores, F.array_max(scores)) - 1).cast("int"))
 
 
+def _text_lang(languages: list[str]) -> Column:
+    """The language of the text alone; null if none of them explains it better."""
+    own, none = F.slice("__text", 1, len(languages)), F.get("__text", F.lit(len(languages)))
+    return F.when(F.array_max(own) >= none, _best(own, languages))
+
+
 def _sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
@@ -141,10 +155,10 @@ def fuse(scored: DataFrame, languages: list[str], votes_of: DataFrame | None = N
         return scored.drop("__text").withColumns({
             "text_lang": F.lit(None).cast("string"), "lang": F.lit(None).cast("string"),
             "confidence": F.lit(0.0), "kept": F.lit(False)})
-    votes = scored.withColumn("text_lang", _best(F.col("__text"), languages))
+    votes = scored.withColumn("text_lang", _text_lang(languages))
     cells = [F.sum((F.col("text_lang") == x).cast("long")) for x in languages]
     seen = scored if votes_of is None else votes_of
-    seen = seen.withColumn("text_lang", _best(F.col("__text"), languages)).filter("text_lang is not null")
+    seen = seen.withColumn("text_lang", _text_lang(languages)).filter("text_lang is not null")
     total = [n or 0 for n in seen.agg(*cells).first()]
     share = [(n + 1) / (sum(total) + size) for n in total]
 
@@ -176,14 +190,26 @@ def fuse(scored: DataFrame, languages: list[str], votes_of: DataFrame | None = N
     scores = [F.coalesce(F.get("__text", F.lit(i)), F.lit(0.0)) + F.log(F.get("__prior", F.lit(i)))
               + told("markup", i) + told("suffix", i) for i in range(size)]
     out = out.withColumn("__scores", F.array(*scores))
+
+    def told_overall(column: str) -> Column:
+        n = sum((F.get(f"__n_{column}", F.lit(i)) - own[i] for i in range(size)), F.lit(0))
+        return F.coalesce(F.log((n + F.lit(SMOOTH)) / F.lit(float(sum(total) + size))), F.lit(0.0))
+
+    # Without text there is no evidence for or against none of the languages.
+    none = F.when(F.col("__text").isNotNull(), F.get("__text", F.lit(size)) + F.lit(float(np.log(
+        NONE_PRIOR))) + told_overall("markup") + told_overall("suffix"))
+    out = out.withColumn("__none", none)
     top = F.array_max("__scores")
     mass = F.aggregate(F.transform("__scores", lambda s: F.exp(s - F.array_max("__scores"))),
                        F.lit(0.0), lambda a, x: a + x)
-    out = out.withColumn("lang", F.when(top.isNotNull(), _best(F.col("__scores"), languages)))
-    out = out.withColumn("confidence", F.lit(1.0) / mass)
-    kept = F.col("__text").isNotNull() & (F.col("confidence") >= LEAST)
+    # The exponent is bounded for exp; none wins at any value above the top.
+    other = F.coalesce(F.exp(F.least(F.col("__none") - top, F.lit(700.0))), F.lit(0.0))
+    known = F.coalesce(F.col("__none") <= top, F.lit(True))
+    out = out.withColumn("lang", F.when(known, _best(F.col("__scores"), languages)))
+    out = out.withColumn("confidence", F.lit(1.0) / (mass + other))
+    kept = F.col("__text").isNotNull() & known & (F.col("confidence") >= LEAST)
     out = out.withColumn("kept", kept)
-    return out.drop("__text", "__scores", "__prior", "__domain_prior", *[
+    return out.drop("__text", "__scores", "__none", "__prior", "__domain_prior", *[
         f"__{p}{c}" for c in ("markup", "suffix", "host", "domain") for p in ("", "n_")])
 
 
