@@ -1,7 +1,9 @@
 """Substring de-duplication over sliding spans of sentences.
 
-A text is cut into sentences; one of more than ``LONG`` words is cut into clauses after words
-picked by their hash, so running text without stops is cut alike wherever it stands.
+A text is cut into sentences, and these into clauses after every word whose hash is the least
+of some ``WINDOW`` words in a row of the sentence.  So a clause has at most ``WINDOW`` words and
+a cut depends only on the words less than ``WINDOW`` away: two texts that share 48 words share
+a span, wherever the passage begins and ends and whatever stands around it.
 From every sentence a span runs on until it has ``SENTENCES`` sentences and ``LEAST`` words, and
 is named by a 128-bit hash of its words.  Spans meet by name over the whole corpus.  The
 first occurrence, by doc_id, then text, then place, stays; every sentence that any other
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import deque
 
 import pyarrow as pa
 import xxhash
@@ -29,12 +32,28 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.common import ROWS, arrow_map, same_key, stored, whole_text
 
-SENTENCES, LEAST, LONG, CLAUSE = 2, 10, 24, 8
+SENTENCES, LEAST, WINDOW = 2, 10, 10
 
 _STOP = re.compile(r"[.!?][^\w\s]*\s+|\n\s*")
 _WORD = re.compile(r"\S+\s*|\s+")
 
 
+def picked(words: list[str]) -> set[int]:
+    """Places of the words after which a sentence is cut: the least hash of each window, the
+    last one of equals."""
+    hashes = [zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words]
+    out, held = set(), deque()  # places in the window with hashes that rise
+    for i, h in enumerate(hashes):
+        while held and hashes[held[-1]] >= h:
+            held.pop()
+        held.append(i)
+        if held[0] <= i - WINDOW:
+            held.popleft()
+        if i >= WINDOW - 1:
+            out.add(held[0])
+    return out
+
+
 def sentences(text: str) -> list[tuple[int, int, list[str]]]:
     """(start, end, words) of the sentences and clauses of a text, which they cover."""
     out, last = [], 0
@@ -42,18 +61,20 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
         if end <= last:
             continue
         words = text[last:end].split()
-        if len(words) <= LONG:
+        if len(words) < WINDOW:
             out.append((last, end, words))
         else:
-            start, at, held = last, last, []
+            start, at, k, done, cut = last, last, 0, 0, picked(words)
             for piece in _WORD.findall(text[last:end]):
                 at += len(piece)
-                held += piece.split()
-                if held and zlib.crc32(held[-1].encode("utf-8", "surrogatepass")) % CLAUSE == 0:
-                    out.append((start, at, held))
-                    start, held = at, []
+                if piece.isspace():
+                    continue
+                k += 1
+                if k - 1 in cut:
+                    out.append((start, at, words[done:k]))
+                    start, done = at, k
             if at > start:
-                out.append((start, at, held))
+                out.append((start, at, words[done:k]))
         last = end
     return out
 
