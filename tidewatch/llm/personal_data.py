@@ -1,6 +1,7 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
-Four plain patterns give the seed entities of a text.  Identifier-like words that no seed
+Four plain patterns give the seed entities of a text.  Identifier-like words, whole runs of two
+to eight digit groups (7 to 19 digits) and addresses with a written "at" or "dot" that no seed
 covers are candidates.  The words around seeds and candidates are lexical patterns (the
 two words before; the word before and the word after), and patterns and distinct values form a
 bipartite graph.  Rounds of scoring follow: a pattern's confidence is the share of its
@@ -12,7 +13,8 @@ add nothing, for only distinct values count.
 Each text is read once; the rows kept from it hold spans and contexts, not text.
 
 Defined cases: null text is empty and has no span; the counts are of seed entities; a
-candidate that overlaps a seed span is none; patterns with fewer than ``SUPPORT`` believed
+candidate that overlaps a seed span is none; of believed candidates one inside another is
+not added; patterns with fewer than ``SUPPORT`` believed
 values never act; rows that repeat are separate rows; an empty table gives no rows; other
 columns are ignored.
 """
@@ -33,6 +35,17 @@ IP = r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 CANDIDATE = r"(?<![^\s,;|])(?=[^\s,;|0-9]*+[0-9])[A-Za-z0-9+(#][^\s,;|]{4,}(?<=[A-Za-z0-9])"
+# Groups of digits: a run that no further group precedes or follows.
+_JOIN = r"(?:\)[\x20./-]?+|[\x20./-]\(?+)"
+_NUMBER = (rf"(?<![^\s,;|])(?<![0-9][\x20])(?=(?:\(?+[0-9]{_JOIN}?+){{7}})(?!(?:\(?+[0-9]{_JOIN}?+){{20}})"
+           rf"\(?+[0-9]++(?:{_JOIN}[0-9]++){{1,7}}+(?!{_JOIN}?[0-9]|[A-Za-z_@]|-[A-Za-z])")
+# Addresses: (at), [dot] and the like, or " at " with " dot ".
+_AT, _DOT = (rf"\x20?[(\[{{{{]\x20?(?i:{w})\x20?[)\]}}}}]\x20?".replace("{{", "{").replace("}}", "}")
+             for w in ("at", "dot"))
+_LABEL = "[A-Za-z0-9-]++"
+_ADDRESS = (rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:(?:@|{_AT}){_LABEL}(?:(?:\.|{_DOT}|\x20(?i:dot)\x20){_LABEL})++"
+            rf"|\x20(?i:at)\x20{_LABEL}(?:\.{_LABEL})*+(?:(?:{_DOT}|\x20(?i:dot)\x20){_LABEL})++)")
+_WRITTEN = r"(?i)[(\[{]\x20?(?:at|dot)\x20?[)\]}]|\x20at\x20\S++\x20dot\x20"
 _PART = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 
 
@@ -119,7 +132,11 @@ def scan(docs: DataFrame) -> DataFrame:
               "card": digits, "phone": digits & F.contains(text, F.lit("+"))}
     for order, (kind, pattern) in enumerate(zip(KINDS, (EMAIL, IP, CARD, PHONE))):
         df = _found(df, kind, pattern, guards[kind], lambda v, kind=kind: _valid(kind, v), order)
-    df = _found(df, "free", CANDIDATE, digits, lambda v: F.lit(True), -1)
+    parts = (("free", CANDIDATE, digits), ("runs", _NUMBER, digits),
+             ("written", _ADDRESS, text.rlike(_WRITTEN)))
+    for name, pattern, guard in parts:
+        df = _found(df, name, pattern, guard, lambda v: F.lit(True), -1)
+    df = df.withColumn("free", F.array_distinct(F.concat(*[p[0] for p in parts]))).drop("runs", "written")
     df = df.withColumn("base", F.sort_array(F.concat(*KINDS))).drop(*KINDS)
     apart = F.filter("free", lambda c: ~F.exists(
         "base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
@@ -177,6 +194,9 @@ def personal_data(docs: DataFrame) -> DataFrame:
     rows = found.select("row", "doc_id", plain.cast("array<struct<start:int,k:int,end:int>>").alias("base"))
     rows = rows.join(added, "row", "left").withColumn(
         "added", F.coalesce(F.col("added").cast("array<struct<start:int,k:int,end:int>>"), none))
+    rows = rows.withColumn("added", F.filter("added", lambda s: ~F.exists(
+        "added", lambda o: (o["start"] <= s["start"]) & (s["end"] <= o["end"])
+        & (o["end"] - o["start"] > s["end"] - s["start"]))))
     order = F.transform("base", lambda s: s["k"])
     counts = [(F.size(order) - F.size(F.array_remove(order, i))).cast("long").alias(f"n_{k}")
               for i, k in enumerate(KINDS)]
