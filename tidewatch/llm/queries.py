@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from tidewatch.llm import (
-    chat, common, decontaminate, exact_dedup, language, maxent, packing, personal_data, simhash,
-    substring_dedup, token_files,
+    chat, common, decontaminate, exact_dedup, language, line_dedup, maxent, packing, personal_data,
+    ranked_search, simhash, substring_dedup, token_files, whitening,
 )
 from tidewatch.session import prepare
 
@@ -73,9 +73,23 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
                                        public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    items = prepare(spark).read.parquet(f"{folder}/benchmark.parquet")
+    return ranked_search.rank(common.documents(spark, folder), items)
+
+
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(prepare(spark).read.parquet(f"{folder}/embeddings.parquet"))
+
+
+def op13_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.drop_frequent_lines(common.documents(prepare(spark), folder), with_text=False)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_maxent_scores, op3_personal_data, op4_language_id, op5_simhash, op6_packing,
-    op7_decontamination, op8_preference_chat, op9_substring_dedup, op10_token_files)}
+    op7_decontamination, op8_preference_chat, op9_substring_dedup, op10_token_files, op11_ranked_search,
+    op12_whitening, op13_line_dedup)}
 
 # The pipeline stands at the top of the repository and belongs to this package.
 QUERIES["pipeline"] = corpus_pipeline.run
@@ -141,4 +155,37 @@ SQL: dict[str, str] = {
         coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
         coalesce(n_hit, 0) > 0 AS contaminated
       FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op11_ranked_search": r"""
+      WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+      i AS (SELECT DISTINCT item_id, coalesce(text, '') AS text FROM benchmark),
+      q AS (SELECT item_id, text, term, count(*) AS reps FROM (
+          SELECT item_id, text, unnest(regexp_extract_all(translate(text,
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM i) GROUP BY ALL),
+      s AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(w)) AS BIGINT) AS words FROM d WHERE len(w) > 0),
+      p AS (SELECT doc_id, n, term, count(*) AS tf FROM (
+          SELECT doc_id, len(w) AS n, translate(unnest(w),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d)
+        WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+      f AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+        FROM p, s GROUP BY term, docs),
+      c AS (SELECT q.item_id, q.text, p.doc_id, CAST(sum(reps * f.w * ((1000000000 * tf)
+            // (1000 * tf + 8 * (25 + (75 * n * docs) // words)))) AS BIGINT) AS score
+        FROM q JOIN p USING (term) JOIN f USING (term), s GROUP BY ALL),
+      r AS (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id) AS k
+        FROM c WHERE score > 0)
+      SELECT item_id, CAST(k AS INTEGER) AS rank, doc_id, score FROM r WHERE k <= 10""",
+    "op13_line_dedup": r"""
+      WITH d AS (SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines
+          FROM documents),
+      l AS (SELECT row, doc_id, i, lines[i] AS line, translate(regexp_replace(lines[i],
+            '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+        FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM d)),
+      f AS (SELECT k FROM l WHERE k <> '' GROUP BY k HAVING count(DISTINCT row) >= 10)
+      SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines,
+        count(*) FILTER (f.k IS NOT NULL) AS n_dropped,
+        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (f.k IS NULL), '')) AS kept_sha256
+      FROM l LEFT JOIN f ON l.k = f.k GROUP BY row""",
 }
