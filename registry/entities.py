@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from registry import query
 from registry.tables import LISTINGS_SQL, PROPERTIES_SQL, stamp, stamp_sql
-from tidewatch.operators import resolution
+from tidewatch.operators import matching, resolution
 
 # Every eighth property merges into its right-hand neighbour.
 MERGES_SQL = """merges AS (SELECT p_partkey AS from_property_id, p_partkey + 1 AS to_property_id FROM part
@@ -162,6 +162,15 @@ def merge_candidates(t):
         F.round("distance_m", 2).alias("distance_m"), F.round("score", 6).alias("score"))
 
 
+def _contacts(t):
+    k = F.col("property_id")
+    return t.properties.withColumns({
+        "official_website": F.concat(F.lit("https://www.Villa"), (k % 13).cast("string"),
+                                     F.lit(".example/a?b=1")),
+        "business_whatsapp": F.concat(F.lit("+62 81-"), (k % 19).cast("string")),
+    })
+
+
 @query("merge_candidate_reasons", f"""WITH {_SCORES_SQL}
 SELECT property_id, concat_ws(',', CASE WHEN similarity >= 0.85 THEN 'similar_name' END,
   CASE WHEN distance_m <= 250 THEN 'near' END,
@@ -169,14 +178,39 @@ SELECT property_id, concat_ws(',', CASE WHEN similarity >= 0.85 THEN 'similar_na
   CASE WHEN property_id % 19 = 5 THEN 'same_phone' END,
   CASE WHEN bedrooms = t_bedrooms THEN 'same_bedrooms' END) AS reasons FROM ranked""")
 def merge_candidate_reasons(t):
-    k = F.col("property_id")
-    properties = t.properties.withColumns({
-        "official_website": F.concat(F.lit("https://www.Villa"), (k % 13).cast("string"),
-                                     F.lit(".example/a?b=1")),
-        "business_whatsapp": F.concat(F.lit("+62 81-"), (k % 19).cast("string")),
-    })
+    properties = _contacts(t)
     rooms = properties.filter("property_id = 5").select("bedrooms").head()[0]
     ranked = resolution.rank_candidates(properties, 5)
     return resolution.candidate_reasons(
         ranked, "http://villa5.example", "62815", rooms).select(
         "property_id", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("all_merge_candidates", f"""WITH {PROPERTIES_SQL},
+n AS (SELECT property_id, latitude, longitude, bedrooms,
+    trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS a FROM props),
+pairs AS (
+  SELECT x.property_id, y.property_id AS candidate_id, x.bedrooms = y.bedrooms AS same_rooms,
+    1 - levenshtein(x.a, y.a) / CAST(greatest(length(x.a), length(y.a)) AS DOUBLE) AS similarity,
+    pow(sin(radians(y.latitude - x.latitude) / 2), 2) + cos(radians(x.latitude)) * cos(radians(y.latitude))
+      * pow(sin(radians(y.longitude - x.longitude) / 2), 2) AS h
+  FROM n x JOIN n y ON x.property_id <> y.property_id),
+measured AS (SELECT *, CASE WHEN h IS NOT NULL THEN 2 * 6371000 * asin(least(1.0, sqrt(h))) END AS distance_m
+  FROM pairs),
+scored AS (SELECT *, CASE WHEN distance_m IS NULL THEN similarity
+    ELSE similarity * 0.7 + greatest(0, 1 - distance_m / 5000) * 0.3 END AS score FROM measured),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY property_id ORDER BY score DESC, candidate_id) AS rank
+  FROM scored WHERE score >= 0.75)
+SELECT property_id, candidate_id, CAST(rank AS INTEGER) AS rank, round(similarity, 6) AS similarity,
+  round(distance_m, 2) AS distance_m, round(score, 6) AS score,
+  concat_ws(',', CASE WHEN similarity >= 0.85 THEN 'similar_name' END,
+    CASE WHEN distance_m <= 250 THEN 'near' END,
+    CASE WHEN property_id % 13 = candidate_id % 13 THEN 'same_domain' END,
+    CASE WHEN property_id % 19 = candidate_id % 19 THEN 'same_phone' END,
+    CASE WHEN same_rooms THEN 'same_bedrooms' END) AS reasons
+FROM ranked WHERE rank <= 10""")
+def all_merge_candidates(t):
+    return matching.candidates_with_reasons(_contacts(t), 0.75, 10).select(
+        "property_id", "candidate_id", "rank", F.round("similarity", 6).alias("similarity"),
+        F.round("distance_m", 2).alias("distance_m"), F.round("score", 6).alias("score"),
+        F.array_join("reasons", ",").alias("reasons"))

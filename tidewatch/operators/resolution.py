@@ -256,19 +256,24 @@ def rank_candidates(properties: DataFrame, target_id, limit: int | None = None)
     return ranked if limit is None else ranked.limit(limit)
 
 
-def candidate_reasons(scored: DataFrame, website: str | None = None, phone: str | None = None,
-                      bedrooms: float | None = None) -> DataFrame:
-    """Further signals in favour of a match, as a list of reasons."""
+def reasons_of_pair(site_a: Column, site_b: Column, phone_a: Column, phone_b: Column,
+                    rooms_a: Column, rooms_b: Column) -> Column:
+    """What speaks for a match, from columns of both sides and ``similarity`` and ``distance_m``."""
     host = lambda c: F.regexp_extract(F.lower(c), r"^https?://(?:www\.)?([^/:?#]+)", 1)
     digits = lambda c: F.regexp_replace(c, "[^0-9]", "")
-    site, number, rooms = (F.lit(v).cast(t) for v, t in (
-        (website, "string"), (phone, "string"), (bedrooms, "double")))
-    return scored.withColumn("reasons", F.filter(F.array(
+    return F.filter(F.array(
         F.when(F.col("similarity") >= 0.85, F.lit("similar_name")),
         F.when(F.col("distance_m") <= 250, F.lit("near")),
-        F.when((host(site) != "") & (host(site) == host(F.col("official_website"))),
-               F.lit("same_domain")),
-        F.when((digits(number) != "") & (digits(number) == digits(F.col("business_whatsapp"))),
-               F.lit("same_phone")),
-        F.when(rooms == F.col("bedrooms"), F.lit("same_bedrooms")),
-    ), lambda r: r.isNotNull()))
+        F.when((host(site_a) != "") & (host(site_a) == host(site_b)), F.lit("same_domain")),
+        F.when((digits(phone_a) != "") & (digits(phone_a) == digits(phone_b)), F.lit("same_phone")),
+        F.when(rooms_a == rooms_b, F.lit("same_bedrooms")),
+    ), lambda r: r.isNotNull())
+
+
+def candidate_reasons(scored: DataFrame, website: str | None = None, phone: str | None = None,
+                      bedrooms: float | None = None) -> DataFrame:
+    """Further signals in favour of a match with one target, as a list of reasons."""
+    site, number, rooms = (F.lit(v).cast(t) for v, t in (
+        (website, "string"), (phone, "string"), (bedrooms, "double")))
+    return scored.withColumn("reasons", reasons_of_pair(
+        site, F.col("official_website"), number, F.col("business_whatsapp"), rooms, F.col("bedrooms")))
