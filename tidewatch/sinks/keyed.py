@@ -212,7 +212,8 @@ class KeyedTable:
         """The table, or some of its buckets; None while it has no rows."""
         return self._read([g for g in self.groups(before) if buckets is None or g.bucket in set(buckets)])
 
-    def _touched(self, df: DataFrame) -> list[int]:
+    def touched(self, df: DataFrame) -> list[int]:
+        """The buckets of the keys of ``df``."""
         return [r[0] for r in df.select(self.bucket()).distinct().collect()]
 
     def groups_for(self, df: DataFrame, before: int | None = None) -> list[Group]:
@@ -291,7 +292,7 @@ class KeyedTable:
         """Put one row per key of ``df`` in place of the stored one; ``merge`` (stored rows of the
         touched buckets, new rows) may combine them instead and must return all rows to keep."""
         number = self.number_for(tag)
-        touched = set(self._touched(df))
+        touched = set(self.touched(df))
         groups = self.groups(number)
         stored = self._read([g for g in groups if g.bucket in touched])
         if stored is not None and merge is not None:
