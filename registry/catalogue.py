@@ -1,11 +1,14 @@
 """Catalogue lists, pages, access, overview, reports."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from registry import query
 from registry.snapshots import TITLE_SQL, all_events, all_events_sql
 from registry.tables import DISCOVERIES_SQL, LISTINGS_SQL, PROPERTIES_SQL, stamp, stamp_sql
-from tidewatch.operators import access, catalogue, events
+from tidewatch.operators import access, catalogue, events, search
+from tidewatch.session import checkpoint_dir
 from tidewatch.sinks import reports
 
 # Tenancy: nations are organisations, customers members, suppliers datasets' grants.
@@ -188,11 +191,25 @@ UNION ALL SELECT 'source', CAST(s_suppkey AS VARCHAR), s_name FROM supplier WHER
 UNION ALL SELECT 'page', CAST(page_id AS VARCHAR), url FROM pages WHERE contains(lower(url), 'ring')
 UNION ALL SELECT 'region', CAST(n_nationkey AS VARCHAR), n_name FROM nation WHERE contains(lower(n_name), 'ring')""")
 def global_search(t):
-    return catalogue.global_search(
-        "Ring", property=(t.properties, "property_id", ["name"]),
-        source=(t.read("supplier"), "s_suppkey", ["s_name"]),
-        page=(t.read("pages"), "page_id", ["url"]),
-        region=(t.read("nation"), "n_nationkey", ["n_name"]))
+    return catalogue.global_search("Ring", **_searched(t))
+
+
+def _searched(t):
+    return {"property": (t.properties, "property_id", ["name"]),
+            "source": (t.read("supplier"), "s_suppkey", ["s_name"]),
+            "page": (t.read("pages"), "page_id", ["url"]),
+            "region": (t.read("nation"), "n_nationkey", ["n_name"])}
+
+
+@query("indexed_search", f"""WITH {PROPERTIES_SQL}
+SELECT 'property' AS entity, CAST(property_id AS VARCHAR) AS id, name AS label FROM props
+  WHERE contains(lower(name), 'l ring')
+UNION ALL SELECT 'source', CAST(s_suppkey AS VARCHAR), s_name FROM supplier WHERE contains(lower(s_name), 'l ring')
+UNION ALL SELECT 'page', CAST(page_id AS VARCHAR), url FROM pages WHERE contains(lower(url), 'l ring')
+UNION ALL SELECT 'region', CAST(n_nationkey AS VARCHAR), n_name FROM nation WHERE contains(lower(n_name), 'l ring')""")
+def indexed_search(t):
+    folder = f"{checkpoint_dir(t.spark).rstrip('/')}/search-{uuid.uuid4().hex}"
+    return search.SearchIndex(t.spark, folder, buckets=16).build(**_searched(t)).find("L ring")
 
 
 @query("dataset_overview", f"""WITH {PROPERTIES_SQL}

@@ -1,10 +1,14 @@
 """Collections: grid, discoveries, outcomes, checksums, verification, pages."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from registry import query
 from registry.tables import DISCOVERIES_SQL
 from tidewatch.operators import market
+from tidewatch.session import checkpoint_dir
+from tidewatch.sinks.keyed import KeyedTable
 from tidewatch.sources import pages as html
 
 FIELDS = ("title", "area", "rating", "review_count", "displayed_price", "currency")
@@ -221,7 +225,11 @@ SELECT source_listing_id, coalesce(old.title, uniq.title) AS title,
 FROM old FULL JOIN uniq USING (source_listing_id) LEFT JOIN places USING (source_listing_id)""")
 def upserted_observations(t):
     found = _unique(t).withColumn("collection_id", F.lit("c1"))
-    return market.upsert_observations(_stored(t), found).select(
+    folder = f"{checkpoint_dir(t.spark).rstrip('/')}/observations-{uuid.uuid4().hex}"
+    table = KeyedTable(t.spark, folder, ["collection_id", "source_listing_id"], buckets=8, blooms=False)
+    table.upsert(_stored(t))
+    table.upsert(found, market.upsert_observations)
+    return table.read().select(
         "source_listing_id", "title", "area", "rating", "review_count", "discovery_count",
         F.size("discovery_cell_ids").alias("n_cells"))
 

@@ -1,5 +1,7 @@
 """Snapshots, predecessors, differences and events."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from registry import query
@@ -8,6 +10,8 @@ from registry.tables import OBS_SQL, VALUES_SQL, stamp, stamp_sql
 from tidewatch.config import Materiality
 from tidewatch.operators import catalogue, diffs, events
 from tidewatch.operators import snapshots as snaps
+from tidewatch.session import checkpoint_dir
+from tidewatch.sinks.keyed import KeyedTable
 
 NUM_TEXT = "CASE WHEN {0} = floor({0}) THEN CAST(CAST({0} AS BIGINT) AS VARCHAR) ELSE CAST({0} AS VARCHAR) END"
 RATING_TEXT = NUM_TEXT.format("rating")
@@ -318,10 +322,25 @@ def latest_snapshots(t):
         "last_observed_at", stamp("last_observed_at"))
 
 
+def _snapshot_store(t, runs):
+    """A store that holds the runs up to a day, written in two commits."""
+    folder = f"{checkpoint_dir(t.spark).rstrip('/')}/snapshots-{uuid.uuid4().hex}"
+    table = KeyedTable(t.spark, folder, ["listing_id", "run_id"], ["listing_id"], buckets=8)
+    for part in ("run_id <= '2024-01-10'", f"run_id <= '{runs}'"):  # the second repeats the first
+        table.append(t.observations.filter(part).select("listing_id", "run_id", "snapshot_id"))
+    return table
+
+
 @query("replayed_snapshots", f"""WITH {OBS_SQL}
 SELECT listing_id, run_id, snapshot_id FROM obs WHERE run_id > '2024-01-20'""")
 def replayed_snapshots(t):
     """A replay against a store that already holds the runs up to a day."""
-    stored = t.observations.filter("run_id <= '2024-01-20'").select("listing_id", "run_id")
-    return snaps.new_snapshots(t.observations, stored).select(
-        "listing_id", "run_id", "snapshot_id")
+    return _snapshot_store(t, "2024-01-20").only_new(t.observations).select("listing_id", "run_id", "snapshot_id")
+
+
+@query("appended_snapshots", f"""WITH {OBS_SQL}
+SELECT listing_id, run_id, snapshot_id FROM obs""")
+def appended_snapshots(t):
+    table = _snapshot_store(t, "2024-01-20")
+    table.append(t.observations.select("listing_id", "run_id", "snapshot_id"))
+    return table.read()

@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.operators.catalogue import Cursor, fetch_page, page_size
-from tidewatch.sinks import append, reports
+from tidewatch.operators.catalogue import Cursor, fetch_page, global_search, page_size
+from tidewatch.operators.search import SearchIndex
+from tidewatch.sinks import reports
 
 
 def test_csv_files_start_with_a_header(spark, tmp_path):
@@ -28,13 +29,19 @@ def test_download_refuses_too_many_rows(spark):
         reports.csv_document(spark.range(30).toDF("id"), limit=20)
 
 
-def test_append_is_idempotent(spark, tmp_path):
-    path = str(tmp_path / "t")
-    rows = spark.range(100).select(F.col("id"), (F.col("id") % 7).alias("k"))
-    append.append_new(rows, path, ["id"])
-    append.append_new(rows.unionAll(rows), path, ["id"])
-    append.append_new(spark.range(110).select(F.col("id"), F.lit(0).cast("long").alias("k")), path, ["id"])
-    assert spark.read.parquet(path).count() == 110
+def test_search_index(spark, tmp_path):
+    rows = [("1", "Villa Añil", "http://a.example/xyz"), ("2", "villa", None), ("2", "villa", None),
+            ("3", None, "VILLA"), (None, "Casa  villa", ""), ("4", "vi", "lla"), ("5", "abcabcabc", "")]
+    rows += [(str(k), f"common name {k}", f"http://common.example/{k}") for k in range(10, 200)]
+    people = spark.createDataFrame([(1, "Anna Villa"), (2, "")], "n int, name string")
+    tables = {"place": (spark.createDataFrame(rows, "id string, title string, url string"), "id", ["title", "url"]),
+              "person": (people, "n", ["name"])}
+    index = SearchIndex(spark, str(tmp_path / "index"), buckets=4).build(**tables)
+    for needle in ("villa", "VILLA", "lla", "ñil", "vi", "", "abcabc", "cabcab", "name 10", "common", "nothing at all", "xy"):
+        got = sorted(map(tuple, index.find(needle).collect()), key=repr)
+        assert got == sorted(map(tuple, global_search(needle, **tables).collect()), key=repr), needle
+    # Far fewer texts are tested than there are rows.
+    assert index.candidates("name 10").count() <= 20 and index.candidates("no such thing").count() == 0
 
 
 def test_pages_cover_all_rows_once(spark):

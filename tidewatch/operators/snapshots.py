@@ -180,12 +180,6 @@ def one_per_run(snapshots: DataFrame) -> DataFrame:
     ).agg(first.alias("s")).select("s.*")
 
 
-def new_snapshots(snapshots: DataFrame, stored: DataFrame) -> DataFrame:
-    """Snapshots whose (listing, run) is not stored yet; a replay yields none."""
-    return one_per_run(snapshots).join(
-        stored.select("listing_id", "run_id"), ["listing_id", "run_id"], "left_anti")
-
-
 def listing_id(dataset: Column, source: Column, external: Column) -> Column:
     """Deterministic id of the natural key, so resolving a listing needs no join."""
     return F.sha2(F.concat_ws("\u0001", dataset, source, external), 256)

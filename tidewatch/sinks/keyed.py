@@ -261,7 +261,9 @@ class KeyedTable:
     def _write(self, df: DataFrame, tag: str | None, number: int, kept: list[Group]) -> None:
         name, buckets, before = uuid.uuid4().hex, self.buckets(), self._manifest(self._newest(number))
         folder = f"{self.path}/data/{name}"
-        df.withColumn(BUCKET, self.bucket()).repartition(BUCKET).write.partitionBy(BUCKET).parquet(folder)
+        # Rows of a file lie in key order, so readers skip row groups by their statistics.
+        df.withColumn(BUCKET, self.bucket()).repartition(BUCKET).sortWithinPartitions(BUCKET, *self.keys).write.partitionBy(
+            BUCKET).parquet(folder)
         groups = []
         if any(n.startswith(BUCKET) for n in self._names(f"data/{name}")):
             written = self.spark.read.parquet(folder)
