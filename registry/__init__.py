@@ -29,5 +29,6 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     from registry import (  # noqa: F401
-        catalogue, entities, figures, files, imports, lifecycle, markets, scalars, snapshots, streams,
+        catalogue, entities, figures, files, imports, lifecycle, markets, reporting, scalars, snapshots,
+        streams,
     )

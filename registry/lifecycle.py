@@ -1,11 +1,15 @@
 """Life cycle, run health and observation classes."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from registry import query
 from registry.tables import OBS_SQL, stamp, stamp_sql
 from tidewatch.config import LifecycleRules
 from tidewatch.operators import health, lifecycle
+from tidewatch.plans.reprocess import Versions
+from tidewatch.session import checkpoint_dir
 
 HEALTH_SQL = """counts AS (
   SELECT run_id, min(observed_at) AS started_at, count(*) AS total,
@@ -142,6 +146,36 @@ def lifecycle_transitions_own_rules(t):
         count_unavailable=False, direct_not_found_is_high_confidence=True))
 
 
+_V2_SQL = fold_sql(OBS_SQL, misses=2, days=3, counted="'not_found'", high="true", version="lifecycle-state:v2")
+_V2 = LifecycleRules(version="lifecycle-state:v2", confirmed_min_misses=2, confirmed_min_days=3,
+                     count_unavailable=False, direct_not_found_is_high_confidence=True)
+_ROWS_SQL = "SELECT DISTINCT '{0}' AS rule_version, dedupe_key, event_type, listing_id FROM transitions"
+
+
+def _versions(t, second):
+    """Transitions under two rule versions, the second run for some listings and run twice."""
+    folder = f"{checkpoint_dir(t.spark).rstrip('/')}/versions-{uuid.uuid4().hex}"
+    versions = Versions(t.spark, folder, "listing_id")
+    for rules, chosen, part in ((LifecycleRules(), "true", "true"), (_V2, second, "listing_id % 3 = 0"), (_V2, second, "true")):
+        seen = t.observations.filter(chosen).filter(part)
+        rows = lifecycle.lifecycle_rows(seen, rules).filter(F.col("event_type").isNotNull())
+        versions.put(rules.version, rows.select("listing_id", "dedupe_key", "event_type"), seen, "ana", "2025-01-01", "rules")
+    return versions
+
+
+@query("reprocessed_events", f"""SELECT * FROM (WITH {fold_sql(OBS_SQL)} {_ROWS_SQL.format('lifecycle-state:v1')})
+UNION ALL SELECT * FROM (WITH {_V2_SQL} {_ROWS_SQL.format('lifecycle-state:v2')})""")
+def reprocessed_events(t):
+    return _versions(t, "true").read().select("rule_version", "dedupe_key", "event_type", "listing_id")
+
+
+@query("current_events", f"""SELECT * FROM (WITH {fold_sql(OBS_SQL)} {_ROWS_SQL.format('lifecycle-state:v1')}) WHERE listing_id % 2 = 1
+UNION ALL SELECT * FROM (WITH {_V2_SQL} {_ROWS_SQL.format('lifecycle-state:v2')}) WHERE listing_id % 2 = 0""")
+def current_events(t):
+    return _versions(t, "listing_id % 2 = 0").current(["lifecycle-state:v2", "lifecycle-state:v1"]).select(
+        "rule_version", "dedupe_key", "event_type", "listing_id")
+
+
 @query("lifecycle_states", "WITH " + fold_sql(OBS_SQL) + f"""
 SELECT listing_id, status, CASE status WHEN 'suspected_inactive' THEN 'medium'
     WHEN 'first_miss' THEN 'low' WHEN 'active' THEN CASE WHEN any_own THEN 'high' ELSE 'low' END
