@@ -6,15 +6,15 @@ from registry import query
 from registry.tables import LISTINGS_SQL, PROPERTIES_SQL, stamp, stamp_sql
 from tidewatch.operators import matching, resolution
 
-# Every eighth property merges into its right-hand neighbour.
+# Every even property merges into its right-hand neighbour.
 MERGES_SQL = """merges AS (SELECT p_partkey AS from_property_id, p_partkey + 1 AS to_property_id FROM part
-  WHERE p_partkey % 8 = 0 AND p_partkey + 1 < (SELECT count(*) FROM part))"""
+  WHERE p_partkey % 2 = 0 AND p_partkey + 1 < (SELECT count(*) FROM part))"""
 
 
 def _merges(t):
     k = F.col("p_partkey")
     parts = t.read("part")
-    return parts.filter((k % 8 == 0) & (k + 1 < parts.count())).select(
+    return parts.filter((k % 2 == 0) & (k + 1 < parts.count())).select(
         k.alias("from_property_id"), (k + 1).alias("to_property_id"), F.lit("same").alias("reason"))
 
 
@@ -38,20 +38,32 @@ LISTINGS_OF_ORDERS_SQL = """listings AS (
     'x' || o_orderkey AS external_id FROM orders)"""
 
 
-@query("merge_problems", f"""WITH {PROPERTIES_SQL}, asked AS (
-  SELECT p_partkey AS from_property_id, CASE WHEN p_partkey % 4 = 0 THEN p_partkey
-    WHEN p_partkey % 4 = 1 THEN p_partkey + 1000000 WHEN p_partkey % 4 = 2 THEN p_partkey + 1
-    ELSE p_partkey END AS to_property_id FROM part WHERE p_partkey % 4 < 3)
-SELECT from_property_id, to_property_id, CASE
-    WHEN from_property_id = to_property_id THEN 'cannot merge a property into itself'
-    WHEN to_property_id > 900000 OR to_property_id NOT IN (SELECT property_id FROM props)
-      THEN 'both properties must exist' END AS problem FROM asked""")
+# One request per part, of every kind: into itself, into nothing, into another dataset, twice from one
+# source, into a property that is merged away, and sound ones.
+@query("merge_problems", f"""WITH {PROPERTIES_SQL},
+sets AS (SELECT property_id, CASE WHEN property_id % 16 = 6 THEN 2 ELSE 1 END AS dataset FROM props),
+asked AS (SELECT CASE WHEN p_partkey % 8 = 5 THEN p_partkey - 1 ELSE p_partkey END AS from_property_id,
+  CASE p_partkey % 8 WHEN 0 THEN p_partkey WHEN 1 THEN p_partkey + 1000000 WHEN 2 THEN p_partkey - p_partkey % 16 + 6
+    WHEN 3 THEN p_partkey - 1 WHEN 6 THEN p_partkey - 1 WHEN 7 THEN p_partkey - 2 ELSE p_partkey + 1 END AS to_property_id FROM part),
+sources AS (SELECT from_property_id, count(*) AS times FROM asked GROUP BY 1)
+SELECT a.from_property_id, a.to_property_id, CASE
+    WHEN a.from_property_id = a.to_property_id THEN 'cannot merge a property into itself'
+    WHEN f.property_id IS NULL OR t.property_id IS NULL THEN 'both properties must exist'
+    WHEN f.dataset <> t.dataset THEN 'properties belong to different datasets'
+    WHEN times > 1 THEN 'property merged twice in one batch'
+    WHEN a.to_property_id IN (SELECT from_property_id FROM asked) THEN 'merge target is itself merged in this batch'
+  END AS problem
+FROM asked a JOIN sources USING (from_property_id) LEFT JOIN sets f ON f.property_id = a.from_property_id
+LEFT JOIN sets t ON t.property_id = a.to_property_id""")
 def merge_problems(t):
     k = F.col("p_partkey")
-    target = F.when(k % 4 == 0, k).when(k % 4 == 1, k + 1000000).otherwise(k + 1)
-    asked = t.read("part").filter(k % 4 < 3).select(
-        k.alias("from_property_id"), target.alias("to_property_id"))
-    return resolution.check_merges(asked, t.properties).select(
+    kind = k % 8
+    target = (F.when(kind == 0, k).when(kind == 1, k + 1000000).when(kind == 2, k - k % 16 + 6).when(kind == 3, k - 1)
+              .when(kind == 6, k - 1).when(kind == 7, k - 2).otherwise(k + 1))
+    asked = t.read("part").select(F.when(kind == 5, k - 1).otherwise(k).alias("from_property_id"),
+                                  target.alias("to_property_id"))
+    properties = t.properties.withColumn("dataset_id", F.when(F.col("property_id") % 16 == 6, 2).otherwise(1))
+    return resolution.check_merges(asked, properties).select(
         "from_property_id", "to_property_id", "problem")
 
 
@@ -101,9 +113,9 @@ def merged_windows(t):
 @query("split_properties", f"""WITH {LISTINGS_OF_ORDERS_SQL}
 SELECT listing_id, sha256(concat_ws(chr(1), 'split', listing_id)) AS property_id,
   property_id AS from_property_id, coalesce(current_title, 'Listing ' || external_id) AS canonical_name,
-  {stamp_sql('first_seen_at')} AS first_observed_at, 'split' AS kind FROM listings WHERE listing_id % 50 = 0""")
+  {stamp_sql('first_seen_at')} AS first_observed_at, 'split' AS kind FROM listings""")
 def split_properties(t):
-    splits = t.read("orders").filter("o_orderkey % 50 = 0").select(
+    splits = t.read("orders").select(
         F.col("o_orderkey").alias("listing_id"), F.lit("wrong").alias("reason"))
     return resolution.split_properties(_listings(t), splits).select(
         "listing_id", "property_id", "from_property_id", "canonical_name",

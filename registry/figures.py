@@ -22,14 +22,16 @@ SELECT 1 AS dataset_id, count(*) FILTER (event_type = 'listing_created') AS new_
   count(*) FILTER (event_type = 'listing_reactivated') AS reactivated,
   count(*) FILTER (event_type IN ('price_changed', 'rating_changed', 'review_count_changed', 'host_changed',
     'direct_channel_added')) AS material_changes,
-  (SELECT {stamp_sql('max(started_at)')} FROM health WHERE valid_ratio > 0.9 AND error_rate < 0.22) AS last_successful_run
+  (SELECT {stamp_sql('max(started_at)')} FROM health WHERE valid_ratio > 0.9 AND error_rate < 0.22) AS last_successful_run,
+  (SELECT round((epoch_us(TIMESTAMP '2024-02-01') - epoch_us(max(started_at))) / 3600000000.0, 6) FROM health
+    WHERE valid_ratio > 0.9 AND error_rate < 0.22) AS freshness_hours
 FROM evts""")
 def overview_kpis(t):
     judged = run_health(t).withColumn("degraded", ~F.coalesce(
         (F.col("valid_ratio") > 0.9) & (F.col("error_rate") < 0.22), F.lit(False)))
     now = F.lit("2024-02-01").cast("timestamp")
     return insights.overview_kpis(_tagged_events(t), judged, now).withColumn(
-        "last_successful_run", stamp("last_successful_run")).drop("freshness_hours")
+        "last_successful_run", stamp("last_successful_run")).withColumn("freshness_hours", F.round("freshness_hours", 6))
 
 
 @query("active_trend", f"""WITH {all_events_sql()}, daily AS (

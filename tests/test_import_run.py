@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from tidewatch.config import LifecycleRules
 from tidewatch.operators import validation
+from tidewatch.operators.lifecycle import STATE_COLUMNS, lifecycle_rows, lifecycle_state
 from tidewatch.plans.import_run import Policy, Store, listing_states, run_import
+from tidewatch.plans.reprocess import reprocess_events, rules_version
 from tidewatch.sources.csv_files import read_csv
 
 HEADER = (
@@ -119,6 +121,32 @@ def test_timeline_full_policy(spark, tmp_path):
     assert (state.status, state.transition_sequence) == ("reactivated", 3)
 
 
+def test_a_late_run_gives_the_states_of_event_time_order(spark, tmp_path):
+    """Runs come in the order 1, 3, 2; the store ends like a batch over all of its snapshots."""
+    store = Store(str(tmp_path / "store"), buckets=2)
+    for day in (DAYS[0], DAYS[2], DAYS[1]):
+        file = tmp_path / f"{day}.csv"
+        file.write_text(timeline_csv(day))
+        run_import(spark, read_csv(spark, str(file)), store, "d1", f"run-{day}", ["feed"])
+    history = store.read(spark, "snapshots").withColumn("run_degraded", F.lit(False))
+    columns = ["listing_id", *STATE_COLUMNS]
+    expected = lifecycle_state(lifecycle_rows(history)).select(*columns).collect()
+    assert sorted(store.read(spark, "states").select(*columns).collect()) == sorted(expected)
+    kept = store.read(spark, "states").select("listing_id", F.size("heads").alias("n")).collect()
+    assert {r.n for r in kept} == {1}
+    # The stored events stay; all of them once more under another rule version.
+    stored = sorted(r[0] for r in store.read(spark, "events").select("dedupe_key").collect())
+    rules = Policy(lifecycle=LifecycleRules(version="lifecycle-state:v2", suspected_min_misses=1, suspected_min_hours=0,
+                                            suspected_min_runs=1))
+    versions = reprocess_events(spark, store, rules, "ana", "2025-04-01", "one miss is enough")
+    again = versions.read(rules_version(rules)).join(
+        store.read(spark, "listings").select("listing_id", "external_id"), "listing_id").collect()
+    assert {(r.external_id, r.event_type) for r in again if "inactive" in r.event_type} == {
+        ("lst-2", "listing_suspected_inactive")}
+    assert sum(r.event_type == "listing_created" for r in again) == 7
+    assert sorted(r[0] for r in store.read(spark, "events").select("dedupe_key").collect()) == stored
+
+
 INVALID = """source_key,external_id,observed_at,observation_status,latitude,longitude,rating,review_count
 feed,,yesterday,active,-8.4,115.3,3.9,4
 feed,w2,2025-03-03T00:00:00Z,active,-8.4,115.3,5.6,4
