@@ -426,17 +426,16 @@ def page_titles(t):
 
 
 @query("page_links", """WITH found AS (
-  SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a\\b[^>]*\\bhref="([^"]*)"[^>]*>', 1)) AS href FROM pages),
-rewritten AS (SELECT page_id, href, length(href) % 7 AS n FROM found)
-SELECT page_id, CAST(n AS VARCHAR) AS listing_id, count(*) AS ok FROM (
-  SELECT DISTINCT page_id, n FROM rewritten) GROUP BY 1, 2""")
+  SELECT page_id, regexp_extract_all(html, '(?i)<a\\b[^>]*\\bhref="([^"]*)"[^>]*>', 1) AS hrefs FROM pages),
+placed AS (SELECT page_id, i, length(hrefs[i + 1]) AS n FROM (SELECT *, unnest(range(len(hrefs))) AS i FROM found)),
+first AS (SELECT page_id, n, min(i) AS i FROM placed GROUP BY 1, 2)
+SELECT page_id, CAST(n AS VARCHAR) AS listing_id, 'https://x.example/rooms/' || n || '?n=' || i AS url,
+  'link ' || i AS label, CAST(i AS INTEGER) AS position FROM first""")
 def page_links(t):
     """Links of the given pages; the length of each href stands in for a listing id."""
     anchors = F.regexp_extract_all("html", F.lit(html.ANCHOR), F.lit(0))
-    linked = F.transform(anchors, lambda a: F.concat(
-        F.lit('<a href="/rooms/'),
-        (F.length(F.regexp_extract(a, r'(?i)\bhref="([^"]*)"', 1)) % 7).cast("string"),
-        F.lit('">x</a>')))
+    linked = F.transform(anchors, lambda a, i: F.concat(
+        F.lit('<a href="/rooms/'), F.length(F.regexp_extract(a, r'(?i)\bhref="([^"]*)"', 1)).cast("string"),
+        F.lit("?n="), i.cast("string"), F.lit('"><b>link '), i.cast("string"), F.lit("</b></a>")))
     corpus = t.read("pages").select("page_id", F.array_join(linked, "\n").alias("html"))
-    return html.listing_links(corpus, "https://x.example").groupBy("page_id", "listing_id").agg(
-        F.count(F.lit(1)).alias("ok"))
+    return html.listing_links(corpus, "https://x.example")

@@ -87,19 +87,21 @@ def parsed_urls(t):
     return t.read("pages").select("page_id", urls.parse_http_url("url").alias("url"))
 
 
-@query("url_listing_ids", """SELECT page_id, CAST(page_id AS VARCHAR) AS from_room,
-  CAST(page_id AS VARCHAR) AS from_param, nullif(coalesce(nullif(regexp_extract(url, '(?i)/rooms/(?:[a-z0-9_-]+/)?([0-9]+)(?:[/?#]|$)', 1), ''),
-    regexp_extract(url, '(?i)[?&](?:listing_id|room_id|id)=([0-9]+)', 1)), '') AS as_is FROM pages""")
+_LISTING_ID_SQL = r"""nullif(coalesce(nullif(regexp_extract({0}, '(?i)/rooms/(?:[a-z0-9_-]+/)?([0-9]+)(?:[/?#]|$)', 1), ''),
+    regexp_extract({0}, '(?i)[?&](?:listing_id|room_id|id)=([0-9]+)', 1)), '')"""
+
+
+@query("url_listing_ids", f"""SELECT page_id, CAST(page_id AS VARCHAR) AS from_room,
+  {_LISTING_ID_SQL.format("(url || '&ID=' || page_id)")} AS from_param,
+  {_LISTING_ID_SQL.format('url')} AS as_is FROM pages""")
 def url_listing_ids(t):
     key = F.col("page_id").cast("string")
     return t.read("pages").select(
         "page_id",
         urls.listing_id_from_url(F.concat(F.lit("https://x.example/Rooms/plus/"), key, F.lit("?a=1")))
         .alias("from_room"),
-        urls.listing_id_from_url(F.concat("url", F.lit("&ID="), key)).alias("from_param_raw"),
-        urls.listing_id_from_url("url").alias("as_is"),
-    ).withColumn("from_param", F.coalesce(F.when(F.col("from_param_raw") == key, key), key)).drop(
-        "from_param_raw")
+        urls.listing_id_from_url(F.concat("url", F.lit("&ID="), key)).alias("from_param"),
+        urls.listing_id_from_url("url").alias("as_is"))
 
 
 @query("parsed_numbers", """WITH raw AS (SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN ' ' || o_custkey || ' '
