@@ -89,7 +89,7 @@ def test_sql_says_the_same(spark, name):
 
 def test_registered():
     names = __spark_entry__.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(1 for q in names if q.startswith(f"op{n}_")) == 1
     assert "pipeline" in names
 
