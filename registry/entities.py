@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from registry import query
-from registry.tables import LISTINGS_SQL, PROPERTIES_SQL, stamp, stamp_sql
+from registry.tables import PROPERTIES_SQL, stamp, stamp_sql
 from tidewatch.operators import matching, resolution
 
 # Every even property merges into its right-hand neighbour.
