@@ -24,18 +24,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import slices, small_batches, stored, whole_text
+from tidewatch.llm.common import returning, slices, small_batches, stored, whole_text
 from tidewatch.llm.tokens import encoder, tokenizer_file
 
-WINDOW, END, STEPS = 1024, 0, 6000
+WINDOW, END = 1024, 0
+TOLERANCE = 1e-6  # least move of the solver, as a share of all pieces
 
 PIECES = ("part int, local long, doc_id long, start long, length long, ids_crc32 long, "
           "doc_tokens long, ids binary")
 
 
 def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END) -> DataFrame:
-    """Whole windows and remainders of every document.  ``local`` counts the pieces of a
-    length within the task ``part``; only remainders keep their ids."""
+    """Whole windows and remainders of every document, as a stored table.  ``local`` counts the
+    pieces of a length within the task ``part``; only remainders keep their ids."""
     spark = docs.sparkSession
     json = spark.sparkContext.broadcast(tokenizer_file(tokenizer))  # one vocabulary file
     names = [f.split()[0] for f in PIECES.split(", ")]
@@ -61,8 +62,11 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, types)], names)
 
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"),
-                                      whole_text().alias("text")).mapInArrow(run, PIECES)
+    made = stored(small_batches(docs).select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        whole_text().alias("text")).mapInArrow(returning(run), PIECES), "pieces")
+    json.destroy()
+    return made
 
 
 def combinations(lengths: np.ndarray, window: int) -> np.ndarray:
@@ -79,9 +83,13 @@ def combinations(lengths: np.ndarray, window: int) -> np.ndarray:
     return rows[have[rows].all(axis=1)]
 
 
-def repeats(histogram: np.ndarray, rows: np.ndarray, steps: int = STEPS) -> np.ndarray:
+def repeats(histogram: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Non-negative least squares: min |A x - histogram|, x >= 0, by coordinate descent on
-    the coordinate whose move lowers the objective most.  A counts lengths in combinations."""
+    the coordinate whose move lowers the objective most, until no coordinate would move by half
+    a piece or ``TOLERANCE`` of all pieces.  A counts lengths in combinations.
+
+    A move changes at most three lengths, so only the combinations that hold one of them are
+    looked at again."""
     x = np.zeros(len(rows))
     if not len(rows):
         return x
@@ -90,14 +98,21 @@ def repeats(histogram: np.ndarray, rows: np.ndarray, steps: int = STEPS) -> np.n
     real = (rows > 0).astype(float)
     same_ab, same_bc = rows[:, 0] == rows[:, 1], (rows[:, 1] == rows[:, 2]) & (rows[:, 2] > 0)
     norm = real.sum(1) + 2.0 * same_ab + 2.0 * same_bc + 2.0 * (same_ab & same_bc)
-    for _ in range(steps):
-        move = np.maximum(left[rows].sum(1) / norm, -x)
-        j = int(np.argmax(np.abs(move) * np.sqrt(norm)))
-        if abs(move[j]) < 0.5:
-            break
+    order = np.argsort(rows.T.ravel(), kind="stable")
+    bounds = np.searchsorted(rows.T.ravel()[order], np.arange(len(histogram) + 1))
+    holding = [order[a:b] % len(rows) for a, b in zip(bounds[:-1], bounds[1:])]
+    root, least = np.sqrt(norm), max(0.5, TOLERANCE * float(left.sum()))
+    move = np.maximum(left[rows].sum(1) / norm, -x)
+    gain = np.abs(move) * root
+    while True:
+        j = int(np.argmax(gain))
+        if abs(move[j]) < least:
+            return x
         x[j] += move[j]
         np.subtract.at(left, rows[j], move[j] * real[j])
-    return x
+        again = np.concatenate([holding[v] for v in set(rows[j].tolist()) if v])
+        move[again] = np.maximum(left[rows[again]].sum(1) / norm[again], -x[again])
+        gain[again] = np.abs(move[again]) * root[again]
 
 
 def plan(histogram: np.ndarray, window: int = WINDOW):
@@ -132,7 +147,7 @@ def plan(histogram: np.ndarray, window: int = WINDOW):
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
-    made = stored(pieces(docs, tokenizer, window, end), "pieces")
+    made = pieces(docs, tokenizer, window, end)
     counts = made.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     histogram = np.zeros(window + 1, np.int64)
     for length, n in counts.groupBy("length").agg(F.sum("n")).collect():  # at most window rows
@@ -146,7 +161,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     ranked = made.join(bases, ["part", "length"]).withColumn("rank", F.col("base") + F.col("local"))
-    # The slot table has at most three rows per solver step and one per length.
+    # The slot table has at most three rows per combination and one per length.
     placed = ranked.join(F.broadcast(table), "length").filter("rank >= lo and rank < hi")
     at = F.when(F.col("line") >= 0, F.col("line") + (F.col("rank") - F.col("lo")) * F.col("length"))
     placed = placed.withColumn("at", at).withColumn("room", F.lit(window) - F.col("at") % window)

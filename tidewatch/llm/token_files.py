@@ -22,11 +22,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import slices, small_batches, table_path, whole_text
+from tidewatch.llm.common import returning, slices, small_batches, table_path, whole_text
 from tidewatch.llm.tokens import encoder, tokenizer_file
 
 END = 1
-ROWS = "part int, doc_id long, local_start long, ids array<int>"
+ROWS = "part int, doc_id long, local_start long, n_tokens long, ids array<int>"
 OPTIONS = {
     "orc.create.index": "true", "orc.row.index.stride": "1000",
     "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01",
@@ -50,14 +50,15 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = END) ->
                 pa.array(np.frombuffer(b"".join(coded), "<u4").astype(np.int32)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(coded), part), pa.int32()), batch.column("doc_id"),
-                 pa.array(stops - sizes + at, pa.int64()), lists],
-                ["part", "doc_id", "local_start", "ids"])
+                 pa.array(stops - sizes + at, pa.int64()), pa.array(sizes), lists],
+                ["part", "doc_id", "local_start", "n_tokens", "ids"])
             at += int(stops[-1]) if len(stops) else 0
 
     texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     order = ["doc_id", F.xxhash64("text")]
     ranged = texts.repartitionByRange(*order).sortWithinPartitions(*order)
-    ranged.mapInArrow(run, ROWS).write.options(**OPTIONS).orc(path)
+    ranged.mapInArrow(returning(run), ROWS).write.options(**OPTIONS).orc(path)
+    json.destroy()
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -82,11 +83,11 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
 
     files = small_batches(read_tokens(spark, path))
     # One row per range: sums of the ranges before.
-    sums = files.groupBy("part").agg(F.sum(F.size("ids").cast("long")).alias("n"))
+    sums = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    rows = files.mapInArrow(
-        run, "part int, doc_id long, local_start long, n_tokens long, ids_crc32 long")
+    rows = files.select("part", "doc_id", "local_start", "ids").mapInArrow(
+        returning(run), "part int, doc_id long, local_start long, n_tokens long, ids_crc32 long")
     return rows.join(F.broadcast(bases), "part").select(
         "doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
 

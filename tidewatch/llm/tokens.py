@@ -5,6 +5,9 @@ white space, nor from a Latin letter to one of some punctuation marks.  A text i
 and the library encodes every distinct piece once per worker, as far as its table
 holds; the ids of a text are those of its pieces in order.  Tests compare this with encoding
 whole texts.
+
+The table is compact: open addressing over 64-bit hashes of the pieces, each slot with the place
+of its ids in one array.  A batch of pieces is looked up and its ids are gathered in numpy.
 """
 
 from __future__ import annotations
@@ -16,45 +19,112 @@ import numpy as np
 
 # A piece: white space, then letters up to a mark, or else all up to white space; a run of
 # white space that does not begin with an ASCII one is no place to cut.
-PIECE = re.compile(r"\s*(?:[A-Za-z\u00df-\u00f6\u00f8-\u00ff]+(?=[.,;:!?%#$&*|])"
+PIECE = re.compile(r"\s*(?:[A-Za-zß-öø-ÿ]+(?=[.,;:!?%#$&*|])"
                    r"|\S+(?:(?![ \t-\r])\s+\S*)*)|\s+")
-KEPT, KEPT_LENGTH = 500_000, 48  # entries of a worker's tables and characters of an entry
+KEPT, KEPT_IDS = 1 << 20, 1 << 22  # pieces and ids of a worker's table: 44 MB when full
+ROWS = 256  # texts cut at once
 
 encoders: dict[int, Encoder] = {}
 
 
+class Pieces:
+    """Hash of a piece -> its ids.  Hash 0 marks a free slot."""
+
+    def __init__(self, slots: int = 1 << 15):
+        self.size = self.used = 0
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self._slots(slots)
+
+    def _slots(self, n: int) -> None:
+        self.hash, self.start = np.zeros(n, np.int64), np.zeros(n, np.int32)
+        self.count = np.zeros(n, np.int32)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Slot of each hash, -1 where it is not in the table."""
+        mask = len(self.hash) - 1
+        slot = hashes & mask
+        held = self.hash[slot]
+        open_ = np.flatnonzero((held != hashes) & (held != 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & mask
+            held[open_] = self.hash[slot[open_]]
+            open_ = open_[(held[open_] != hashes[open_]) & (held[open_] != 0)]
+        return np.where(held == 0, -1, slot)
+
+    def _place(self, hashes: np.ndarray, start: np.ndarray, count: np.ndarray) -> None:
+        mask = len(self.hash) - 1
+        slot = hashes & mask
+        left = np.arange(len(hashes))
+        while len(left):
+            at = slot[left]
+            free = self.hash[at] == 0
+            self.hash[at[free]] = hashes[left[free]]  # of several for one slot the last stays
+            done = self.hash[at] == hashes[left]
+            self.start[at[done]], self.count[at[done]] = start[left[done]], count[left[done]]
+            left = left[~done]
+            slot[left] = (slot[left] + 1) & mask
+
+    def add(self, hashes: np.ndarray, lists: list[list[int]]) -> None:
+        """Distinct hashes that are not in the table, with their ids."""
+        count = np.fromiter(map(len, lists), np.int32, len(lists))
+        total = int(count.sum())
+        if self.size + total > len(self.ids):
+            grown = np.zeros(max(2 * len(self.ids), self.size + total), np.uint32)
+            grown[:self.size] = self.ids[:self.size]
+            self.ids = grown
+        self.ids[self.size:self.size + total] = np.fromiter(
+            (i for ids in lists for i in ids), np.uint32, total)
+        start = (self.size + np.cumsum(count) - count).astype(np.int32)
+        self.size += total
+        self.used += len(lists)
+        if 2 * self.used > len(self.hash):
+            held = np.flatnonzero(self.hash)
+            old = self.hash[held], self.start[held], self.count[held]
+            self._slots(1 << (4 * self.used - 1).bit_length())
+            self._place(*old)
+        self._place(hashes, start, count)
+
+    def gather(self, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all slots in order, number of ids before each slot and after the last)."""
+        count = self.count[slot]
+        ends = np.concatenate(([0], np.cumsum(count, dtype=np.int64)))
+        at = np.repeat(self.start[slot] - ends[:-1], count) + np.arange(ends[-1])
+        return self.ids[at], ends
+
+
 class Encoder:
     def __init__(self, json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has one task per core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(json)
-        # Pieces of two generations: what the new one lacks moves up from the old one, so
-        # frequent pieces stay when the old one is given up.
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _learn(self, fresh: list[str]) -> dict[str, bytes]:
-        got = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
-        return {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(fresh, got)}
+        self.pieces = Pieces()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         out = []
-        for i in range(0, len(texts), 256):
-            if len(self.known) > KEPT // 2:
-                self.old, self.known = self.known, {}
-            cut = [PIECE.findall(t) for t in texts[i:i + 256]]
-            got = [list(map(self.known.get, pieces)) for pieces in cut]
-            open_ = [k for k, ids in enumerate(got) if None in ids]
-            fresh = {p for k in open_ for p, b in zip(cut[k], got[k]) if b is None}
-            learnt = {p: self.old[p] for p in fresh if p in self.old}
-            fresh -= learnt.keys()
-            learnt.update(self._learn(list(fresh)) if fresh else {})
-            self.known.update((p, b) for p, b in learnt.items() if len(p) <= KEPT_LENGTH)
-            for k in open_:
-                got[k] = [learnt[p] if b is None else b for p, b in zip(cut[k], got[k])]
-            out.extend(map(b"".join, got))
+        for i in range(0, len(texts), ROWS):
+            # A full table is given up: frequent pieces are soon learnt anew.
+            if self.pieces.used > KEPT or self.pieces.size > KEPT_IDS:
+                self.pieces = Pieces()
+            flat, stops = [], [0]
+            for text in texts[i:i + ROWS]:
+                flat += PIECE.findall(text)
+                stops.append(len(flat))
+            hashes = np.fromiter(map(hash, flat), np.int64, len(flat))
+            hashes[hashes == 0] = 1
+            slot = self.pieces.find(hashes)
+            missing = np.flatnonzero(slot < 0)
+            if len(missing):
+                fresh, first = np.unique(hashes[missing], return_index=True)
+                got = self.tokenizer.encode_batch_fast(
+                    [flat[k] for k in missing[first]], add_special_tokens=False)
+                self.pieces.add(fresh, [e.ids for e in got])
+                slot = self.pieces.find(hashes)
+            ids, ends = self.pieces.gather(slot)
+            cut = ends[stops] * 4
+            data = memoryview(ids.astype("<u4", copy=False).tobytes())
+            out.extend(bytes(data[a:b]) for a, b in zip(cut[:-1], cut[1:]))
         return out
 
 
