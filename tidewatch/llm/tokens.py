@@ -19,8 +19,9 @@ import numpy as np
 
 # A piece: white space, then letters up to a mark, or else all up to white space; a run of
 # white space that does not begin with an ASCII one is no place to cut.
-PIECE = re.compile(r"\s*(?:[A-Za-zß-öø-ÿ]+(?=[.,;:!?%#$&*|])"
-                   r"|\S+(?:(?![ \t-\r])\s+\S*)*)|\s+")
+# Possessive: no shorter match would do, so none is tried.
+PIECE = re.compile(r"\s*+(?:[A-Za-z\u00df-\u00f6\u00f8-\u00ff]++(?=[.,;:!?%#$&*|])"
+                   r"|\S++(?:(?![ \t-\r])\s++\S*+)*+)|\s++")
 KEPT, KEPT_IDS = 1 << 20, 1 << 22  # pieces and ids of a worker's table: 44 MB when full
 ROWS = 256  # texts cut at once
 
