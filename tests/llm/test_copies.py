@@ -149,25 +149,29 @@ def test_components_of_a_long_path(spark):
     assert found == {k: 0 for k in range(61)}
 
 
-def plain_removal(rows):
-    """Sentences covered by a span that is not the first of its words."""
+def word_windows(key, size):
+    """(words, begin, end) of every run of ``size`` words; an end is where the next word begins."""
+    found = list(re.finditer(r"\S+", key[1]))
+    ends = [m.start() for m in found[1:]] + [len(key[1])]
+    return [(tuple(m.group() for m in found[i:i + size]), found[i].start(), ends[i + size - 1])
+            for i in range(len(found) - size + 1)]
+
+
+def plain_bounds(rows):
+    """By (doc_id, text): characters that may go, as a run of LEAST words that stands elsewhere
+    before holds them, and runs of WINDOW + LEAST words of which something must go."""
+    least, sure = substring_dedup.LEAST, substring_dedup.LEAST + substring_dedup.WINDOW
     texts = sorted({(-1 if i is None else i, t or "") for i, t in rows})
-    first, out = {}, {}
-    made = {}
+    may, must, seen = {k: set() for k in texts}, {k: [] for k in texts}, {least: {}, sure: {}}
     for key in texts:
-        found = substring_dedup.sentences(key[1])
-        made[key] = found
-        for start, size, _ in substring_dedup.spans(found):
-            name = tuple(tuple(w) for _, _, w in found[start:start + size])
-            first.setdefault(name, (key, start))
-    for key in texts:
-        drop = set()
-        for start, size, _ in substring_dedup.spans(made[key]):
-            name = tuple(tuple(w) for _, _, w in made[key][start:start + size])
-            if first[name] != (key, start):
-                drop |= set(range(start, start + size))
-        out[key] = drop
-    return out, made
+        for size in (least, sure):
+            for name, begin, end in word_windows(key, size):
+                if seen[size].setdefault(name, (key, begin)) != (key, begin):
+                    if size == least:
+                        may[key].update(range(begin, end))
+                    else:
+                        must[key].append((begin, end))
+    return may, must
 
 
 PASSAGE = words(14, "p1") + ". " + words(12, "p2") + ". " + words(16, "p3") + "! " + words(13, "p4") + "."
@@ -182,13 +186,15 @@ def test_repeated_passages_go_and_clean_texts_stay(spark):
             (10, words(25, 13) + "."), (None, "x" * 5000)]
     got = substring_dedup.remove_repeats(frame(spark, rows)).collect()
     assert len(got) == len(rows)
-    drops, made = plain_removal(rows)
+    may, must = plain_bounds(rows)
     by_id = {}
     for r in got:
-        key = next(k for k in drops if k[0] == (-1 if r.doc_id is None else r.doc_id))
-        assert r.n_removed == len(drops[key]) and r.n_sentences == len(made[key])
-        assert r.clean_text == "".join(
-            key[1][a:b] for k, (a, b, _) in enumerate(made[key]) if k not in drops[key])
+        key = next(k for k in may if k[0] == (-1 if r.doc_id is None else r.doc_id))
+        holes = [tuple(map(int, h.split(":"))) for h in r.removed.split(",") if h]
+        gone = {c for a, b in holes for c in range(a, b)}
+        assert gone <= may[key] and (r.n_removed > 0) == bool(gone)
+        assert all(gone & set(range(a, b)) for a, b in must[key])
+        assert r.clean_text == "".join(c for k, c in enumerate(key[1]) if k not in gone)
         by_id[r.doc_id] = r
     assert words(12, "p2") in by_id[1].clean_text and words(12, "p2") not in by_id[2].clean_text
     assert by_id[9].n_removed > 0 and by_id[8].n_removed == 0  # no stops at all
@@ -196,7 +202,7 @@ def test_repeated_passages_go_and_clean_texts_stay(spark):
     assert substring_dedup.remove_repeats(frame(spark, [])).count() == 0
 
 
-def test_sentences_cover_the_text():
-    text = "One. Two!\n\nThree? " + words(100, 1) + ".  tail  "
-    parts = substring_dedup.sentences(text)
-    assert "".join(text[a:b] for a, b, _ in parts) == text
+def test_no_run_below_the_least_goes(spark):
+    shared = words(substring_dedup.LEAST - 1, "s")
+    rows = [(k, words(60, k) + ". " + shared + ". " + words(60, k + 10)) for k in range(5)]
+    assert all(r.n_removed == 0 for r in substring_dedup.remove_repeats(frame(spark, rows)).collect())

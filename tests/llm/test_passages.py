@@ -31,17 +31,18 @@ def test_hosts_share_a_span_of_a_passage(size, least, most):
         for _ in range(2):
             host = " ".join([prose(rng, rng.randint(1, 40), least, most).rstrip("."), passage,
                              prose(rng, rng.randint(1, 40), least, most)])
-            names.append({n for _, _, n in substring_dedup.spans(substring_dedup.sentences(host))})
+            names.append({n for _, _, n in substring_dedup.spans(host)})
         assert names[0] & names[1]
 
 
-def test_clauses_are_short_and_cover_the_text():
+def test_clauses_begin_often_and_spans_have_the_least_words():
     rng = random.Random(1)
-    text = "  " + prose(rng, 500, 0, 0) + "\n  " + prose(rng, 300, 5, 40) + "  tail \x1c x"
-    parts = substring_dedup.sentences(text)
-    assert "".join(text[a:b] for a, b, _ in parts) == text
-    assert [w for _, _, ws in parts for w in ws] == text.split()
-    assert max(len(ws) for _, _, ws in parts) <= substring_dedup.WINDOW
+    text = "  " + prose(rng, 500, 0, 0) + "\n  " + prose(rng, 300, 5, 40) + "  tail \x1c x"
+    found, at, first = substring_dedup.begins(text)
+    assert found == text.split() and at[-1] == len(text)
+    assert first[0] == 0 and max(b - a for a, b in zip(first, first[1:])) <= 2 * substring_dedup.WINDOW
+    made = substring_dedup.spans(text)
+    assert made and all(len(text[a:b].split()) == substring_dedup.LEAST for a, b, _ in made)
 
 
 def test_mid_sentence_passages_go(spark):
