@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from registry import query
 from registry.snapshots import TITLE_SQL, all_events, all_events_sql
 from registry.tables import LISTINGS_SQL, PROPERTIES_SQL, stamp, stamp_sql
-from tidewatch.operators import access, catalogue, events, search
+from tidewatch.operators import access, catalogue, clusters, events, search
 from tidewatch.session import checkpoint_dir
 from tidewatch.sinks import reports
 
@@ -167,6 +167,12 @@ def map_clusters(t):
     return catalogue.map_clusters(catalogue.map_points(t.properties), 0.05)
 
 
+@query("map_radius_clusters")
+def map_radius_clusters(t):
+    """From the closest zoom to the one the map opens with; tests compare with the plain loop."""
+    return clusters.radius_clusters(t.properties, range(9, clusters.TOP_ZOOM + 1))
+
+
 @query("rich_property_filter", f"""WITH {PROPERTIES_SQL}
 SELECT property_id FROM props WHERE lifecycle_status IN ('suspected_inactive', 'reactivated')
   AND price BETWEEN 900.5 AND 1500 AND bedrooms >= 10 AND region_id IN (
