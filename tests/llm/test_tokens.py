@@ -31,6 +31,13 @@ def test_pieces_give_the_ids_of_whole_texts(both, texts):
     assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_pieces_of_equal_bytes_are_told_apart(both):
+    fast, plain = both
+    texts = ["\r ", "\u200d", "-N", "\u4e2d", "\u200d", "\r ", "x -N \u4e2d"]
+    got = [np.frombuffer(b, "<u4").tolist() for b in fast.encode(texts)]
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 TEXTS = [(1, "The cat sat. " * 700), (2, None), (3, ""), (4, "Short text."), (4, "Short text."),
          (None, "no id"), (5, "one two three " * 90), (6, "x"), (7, "a b c d e f g " * 300)]
 

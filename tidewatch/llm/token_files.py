@@ -38,18 +38,17 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = END) ->
     json = docs.sparkSession.sparkContext.broadcast(tokenizer_file(tokenizer))
 
     def run(batches):
-        encode, part, at = encoder(json.value).encode, TaskContext.get().partitionId(), 0
+        flat, part, at = encoder(json.value).flat, TaskContext.get().partitionId(), 0
         for batch in (part for whole in batches for part in slices(whole)):
-            coded = [i + np.array([end], "<u4").tobytes()
-                     for i in encode(batch.column("text").to_pylist())]
-            sizes = np.array([len(i) // 4 for i in coded], np.int64)
+            ids, stops = flat(batch.column("text").to_pylist())
+            ids = np.insert(ids, stops[1:], end).astype(np.int32)
+            sizes = np.diff(stops) + 1
             stops = np.cumsum(sizes)
             # A list column holds at most 2**31 ids; Spark's batch is far below that.
             lists = pa.ListArray.from_arrays(
-                pa.array(np.concatenate(([0], stops)), pa.int32()),
-                pa.array(np.frombuffer(b"".join(coded), "<u4").astype(np.int32)))
+                pa.array(np.concatenate(([0], stops)), pa.int32()), pa.array(ids))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(coded), part), pa.int32()), batch.column("doc_id"),
+                [pa.array(np.full(len(sizes), part), pa.int32()), batch.column("doc_id"),
                  pa.array(stops - sizes + at, pa.int64()), pa.array(sizes), lists],
                 ["part", "doc_id", "local_start", "n_tokens", "ids"])
             at += int(stops[-1]) if len(stops) else 0

@@ -65,8 +65,8 @@ class Pieces:
             left = left[~done]
             slot[left] = (slot[left] + 1) & mask
 
-    def add(self, hashes: np.ndarray, lists: list[list[int]]) -> None:
-        """Distinct hashes that are not in the table, with their ids."""
+    def add(self, hashes: np.ndarray, lists: list[list[int]]) -> bool:
+        """Add distinct hashes that are not in the table, with their ids; whether slots moved."""
         count = np.fromiter(map(len, lists), np.int32, len(lists))
         total = int(count.sum())
         if self.size + total > len(self.ids):
@@ -78,12 +78,14 @@ class Pieces:
         start = (self.size + np.cumsum(count) - count).astype(np.int32)
         self.size += total
         self.used += len(lists)
-        if 2 * self.used > len(self.hash):
+        moved = 2 * self.used > len(self.hash)
+        if moved:
             held = np.flatnonzero(self.hash)
             old = self.hash[held], self.start[held], self.count[held]
             self._slots(1 << (4 * self.used - 1).bit_length())
             self._place(*old)
         self._place(hashes, start, count)
+        return moved
 
     def gather(self, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all slots in order, number of ids before each slot and after the last)."""
@@ -101,31 +103,39 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(json)
         self.pieces = Pieces()
 
+    def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in order, where each text's ids begin and the last ones end)."""
+        # A full table is given up: frequent pieces are soon learnt anew.
+        if self.pieces.used > KEPT or self.pieces.size > KEPT_IDS:
+            self.pieces = Pieces()
+        cut, stops = [], [0]
+        for text in texts:
+            cut += PIECE.findall(text)
+            stops.append(len(cut))
+        # Python hashes the bytes a string is held in: "\\r " and "\\u200d" differ in length only.
+        hashes = np.fromiter(map(hash, cut), np.int64, len(cut))
+        hashes ^= np.fromiter(map(len, cut), np.int64, len(cut)) * np.int64(0x2545F4914F6CDD1D)
+        hashes[hashes == 0] = 1
+        slot = self.pieces.find(hashes)
+        missing = np.flatnonzero(slot < 0)
+        if len(missing):
+            fresh, first = np.unique(hashes[missing], return_index=True)
+            got = self.tokenizer.encode_batch_fast(
+                [cut[k] for k in missing[first]], add_special_tokens=False)
+            if self.pieces.add(fresh, [e.ids for e in got]):
+                slot = self.pieces.find(hashes)
+            else:
+                slot[missing] = self.pieces.find(hashes[missing])
+        ids, ends = self.pieces.gather(slot)
+        return ids, ends[stops]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         out = []
         for i in range(0, len(texts), ROWS):
-            # A full table is given up: frequent pieces are soon learnt anew.
-            if self.pieces.used > KEPT or self.pieces.size > KEPT_IDS:
-                self.pieces = Pieces()
-            flat, stops = [], [0]
-            for text in texts[i:i + ROWS]:
-                flat += PIECE.findall(text)
-                stops.append(len(flat))
-            hashes = np.fromiter(map(hash, flat), np.int64, len(flat))
-            hashes[hashes == 0] = 1
-            slot = self.pieces.find(hashes)
-            missing = np.flatnonzero(slot < 0)
-            if len(missing):
-                fresh, first = np.unique(hashes[missing], return_index=True)
-                got = self.tokenizer.encode_batch_fast(
-                    [flat[k] for k in missing[first]], add_special_tokens=False)
-                self.pieces.add(fresh, [e.ids for e in got])
-                slot = self.pieces.find(hashes)
-            ids, ends = self.pieces.gather(slot)
-            cut = ends[stops] * 4
+            ids, stops = self.flat(texts[i:i + ROWS])
             data = memoryview(ids.astype("<u4", copy=False).tobytes())
-            out.extend(bytes(data[a:b]) for a, b in zip(cut[:-1], cut[1:]))
+            out.extend(bytes(data[a * 4:b * 4]) for a, b in zip(stops[:-1], stops[1:]))
         return out
 
 
