@@ -84,3 +84,24 @@ def test_pages(spark):
     assert {(r.listing_id, r.url, r.label) for r in pages.listing_links(links, "https://h.example").collect()} == {
         ("5", "https://h.example/rooms/5", "A"), ("6", "https://h.example/rooms/6", "C")}
     assert pages.malformed_links(links).head().malformed == 1
+
+
+def test_cards_and_states_cut_every_page_once(spark):
+    """Odd blocks keep their meaning, and the plan works out the blocks of a page a single time."""
+    card = '<article data-testid="listing-card"{}>{}</article>'
+    html = {1: card.format(' data-listing-id=" 7 "', '<a href="">One <b>two</b></a>'),
+            2: card.format(' data-canonical-url="/rooms/8?x"', "<p>none</p>"),
+            3: card.format(' data-canonical-url="/rooms/9"', '<a href="/x?id=10"> </a><a>late</a>'),
+            4: card.format(' data-title=" T " data-rating="4.9 stars"', '<i href="/rooms/a-b/11"></i>'),
+            5: card.format("", '<a href="/help">x</a>'), 6: "you don&#39;t have permission", 7: "you don care",
+            8: None, 9: "verify YOU're a human", 10: "<p>429</p>" + card.format(' data-listing-id="1"', "")}
+    df = spark.createDataFrame(list(html.items()), "page_id long, html string")
+    found = pages.cards(df, "page_id")
+    got = {r.page_id: (r.source_listing_id, r.canonical_url, r.title, r.rating) for r in found.collect()}
+    assert got == {1: ("7", "", "One two", None), 2: ("8", "/rooms/8?x", None, None),
+                   3: ("10", "/x?id=10", None, None), 4: ("11", "/rooms/a-b/11", "T", 4.9)}
+    states = {r.page_id: (r.state, r.card_count, r.malformed_count) for r in pages.search_pages(df).collect()}
+    assert states[1] == ("ok", 1, 0) and states[5] == ("ok", 0, 1) and states[6][0] == "access_denied"
+    assert states[7][0] == "no_results" and states[9][0] == "captcha" and states[10][0] == "blocked"
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("listing-card") == 1

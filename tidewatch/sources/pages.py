@@ -11,22 +11,24 @@ from pyspark.sql import functions as F
 
 from tidewatch.constants import MANUAL_ACTION_REASONS, PAGE_STATES
 from tidewatch.functions import text as tx
-from tidewatch.functions.urls import listing_id_from_url, normalize_listing_id
+from tidewatch.functions.urls import (
+    ROOM, ROOM_PARAMETER, listing_id_from_url, normalize_listing_id,
+)
 
 # The markup contract and the phrases that give a page state away,
 # tried in this order.
 STATE_META, ID_META, URL_META = "page-state", "listing-id", "canonical-url"
 STATE_PHRASES = (
-    ("captcha",
-     r"unusual traffic|verify you(?:'|&#39;)?re a human|are you a robot|solve the captcha"),
+    ("captcha", ("unusual traffic", "verify you(?:'|&#39;)?re a human", "are you a robot",
+                 "solve the captcha")),
     ("account_verification",
-     r"confirm your account|verify your account|account verification"),
+     ("confirm your account", "verify your account", "account verification")),
     ("login_challenge",
-     r"log in or sign up|please log in|login required|sign in to continue"),
+     ("log in or sign up", "please log in", "login required", "sign in to continue")),
     ("access_denied",
-     r"access denied|403 forbidden|you don(?:'|&#39;)?t have permission"),
-    ("blocked", r"temporarily blocked|too many requests|rate limit|429"),
-    ("no_results", r"no exact matches|no results found|0 results"),
+     ("access denied", "403 forbidden", "you don(?:'|&#39;)?t have permission")),
+    ("blocked", ("temporarily blocked", "too many requests", "rate limit", "429")),
+    ("no_results", ("no exact matches", "no results found", "0 results")),
 )
 CARD = r'(?i)<article\b[^>]*\bdata-testid="listing-card"[^>]*>[\s\S]*?</article>'
 DETAIL = r'(?i)<main\b([^>]*\bdata-testid="listing-detail"[^>]*)>([\s\S]*?)</main>'
@@ -47,25 +49,34 @@ def _meta(html: Column, name: str) -> Column:
     return F.nullif(tx.strip(found), F.lit(""))
 
 
-def plain_text(c: Column) -> Column:
+def plain_text(c: Column | str) -> Column:
     """Text without tags, white space collapsed; blank is NULL."""
     return F.nullif(tx.collapse(F.regexp_replace(c, "<[^>]*>", "")), F.lit(""))
 
 
+def _says(lowered: Column, phrases: tuple[str, ...]) -> Column:
+    """Whether a text holds one of the phrases.  Their plain beginnings are looked for first:
+    that is many times cheaper than trying every pattern at every character."""
+    found = F.lit(False)
+    for phrase in phrases:
+        plain = phrase.partition("(?:")[0]
+        one = F.contains(lowered, F.lit(plain))
+        found = found | (one if plain == phrase else one & lowered.rlike(phrase))
+    return found
+
+
 def page_state(html: Column | str, state_meta: str = STATE_META,
                lowered: Column | None = None) -> Column:
     """A declared state wins; otherwise the first phrase list that matches.
 
-    ``lowered`` may be a column that already holds the page in lower case.  Most pages
-    hold no phrase at all, which one pass over all lists tells.
+    ``lowered`` may be a column that already holds the page in lower case.
     """
     html = F.col(html) if isinstance(html, str) else html
     declared = _meta(html, state_meta)
     lowered = F.lower(html) if lowered is None else lowered
     state = F.when(declared.isin(*PAGE_STATES), declared)
-    state = state.when(~lowered.rlike("|".join(f"(?:{p})" for _, p in STATE_PHRASES)), "ok")
     for name, phrases in STATE_PHRASES:
-        state = state.when(lowered.rlike(phrases), name)
+        state = state.when(_says(lowered, phrases), name)
     return state.otherwise("ok")
 
 
@@ -97,22 +108,34 @@ def _blocks(pages: DataFrame, state_meta: str) -> DataFrame:
         F.array().cast("array<string>")))
 
 
-def _block_listing(block: Column) -> Column:
+def _filled(c: Column) -> Column:
+    return tx.once(c, lambda v: F.when(v != "", v))
+
+
+def _block_listing(block: Column, url: Column) -> Column:
     named = F.regexp_extract(block, r'(?i)^<article\b[^>]*\bdata-listing-id="([^"]*)"', 1)
-    return F.coalesce(normalize_listing_id(named), listing_id_from_url(_block_url(block)))
+    return F.coalesce(_filled(tx.strip(named)), tx.once(tx.strip(url), lambda u: F.coalesce(
+        _filled(F.regexp_extract(u, ROOM, 1)), _filled(F.regexp_extract(u, ROOM_PARAMETER, 1)))))
 
 
 def _block_url(block: Column) -> Column:
-    link = r'(?i)^<article\b[^>]*>[\s\S]*?href="([^"]*)"'
+    """The first link, which may be empty; without one the canonical URL of the tag."""
+    link = F.regexp_extract_all(block, F.lit(r'(?i)^<article\b[^>]*>[\s\S]*?href="([^"]*)"'), F.lit(1))
     canonical = r'(?i)^<article\b[^>]*\bdata-canonical-url="([^"]*)"'
-    return F.coalesce(_first(block, link),
-                      F.nullif(tx.strip(F.regexp_extract(block, canonical, 1)), F.lit("")))
+    return F.coalesce(F.get(link, F.lit(0)), _filled(tx.strip(F.regexp_extract(block, canonical, 1))))
+
+
+def _card(block: Column) -> Column:
+    """Listing, link, tag and content of one block, each cut out once."""
+    return tx.once(_block_url(block), lambda url: F.struct(
+        _block_listing(block, url).alias("source_listing_id"), url.alias("canonical_url"),
+        block.alias("block")))
 
 
 def search_pages(pages: DataFrame, state_meta: str = STATE_META) -> DataFrame:
     """Add state, card_count and malformed_count to a table with an html column."""
     df = _blocks(pages, state_meta)
-    named = F.size(F.filter("__blocks", lambda b: _block_listing(b).isNotNull()))
+    named = F.size(F.filter("__blocks", lambda b: _block_listing(b, _block_url(b)).isNotNull()))
     empty = (F.col("state") == "ok") & (F.size("__blocks") == 0)
     return df.withColumn("card_count", named.cast("bigint")).withColumns({
         "malformed_count": F.size("__blocks") - F.col("card_count"),
@@ -125,28 +148,31 @@ def cards(pages: DataFrame, *keep: str, state_meta: str = STATE_META) -> DataFra
 
     Blocks become rows first, so tag and content are cut out once per card.
     """
-    block, tag, inner = F.col("block"), F.col("open_tag"), F.col("__inner")
-    df = _blocks(pages, state_meta).select(*keep, F.posexplode("__blocks").alias(
-        "position", "block")).withColumns({
-            "open_tag": F.regexp_extract(block, r"(?i)^<article\b([^>]*)>", 1),
-            "__inner": F.regexp_extract(block, r"(?i)^<article\b[^>]*>([\s\S]*)</article>$", 1),
-            "source_listing_id": _block_listing(block),
-            "canonical_url": _block_url(block),
-        }).filter(F.col("source_listing_id").isNotNull())
-    title = plain_text(F.regexp_extract(inner, r"(?i)<a\b[^>]*>([\s\S]*?)</a>", 1))
+    # An outer explode keeps the card as one value: filters on it are not moved below, where
+    # every expression they name would be worked out again.
+    card = F.transform(F.col("__blocks"), lambda b: _card(b))
+    block, tag = F.col("card.block"), F.col("open_tag")
+    df = _blocks(pages, state_meta).select(*keep, F.posexplode_outer(card).alias("position", "card")).filter(
+        F.col("card.source_listing_id").isNotNull()).select(
+        *keep, "position", "card.source_listing_id", "card.canonical_url",
+        F.regexp_extract(block, r"(?i)^<article\b([^>]*)>", 1).alias("open_tag"),
+        F.regexp_extract(block, r"(?i)^<article\b[^>]*>[\s\S]*?<a\b[^>]*>([\s\S]*?)</a>", 1)
+        .alias("__label"))
+    title = plain_text("__label")
+    names = ("title", "area", "rating", "review-count", "price", "currency", "guests", "bedrooms", "image",
+             "lat", "lng")
+    df = df.select("*", *[_attr(tag, f"data-{n}").alias(f"__{n}") for n in names])
+    own = {n: F.col(f"`__{n}`") for n in names}
     return df.select(
         *keep, "position", "source_listing_id", "canonical_url",
-        F.coalesce(title, _attr(tag, "data-title")).alias("title"),
-        _attr(tag, "data-area").alias("area"),
-        tx.leading_number(_attr(tag, "data-rating")).alias("rating"),
-        tx.leading_integer(_attr(tag, "data-review-count")).alias("review_count"),
-        _attr(tag, "data-price").alias("displayed_price"),
-        _attr(tag, "data-currency").alias("currency"),
-        tx.leading_integer(_attr(tag, "data-guests")).alias("guest_capacity"),
-        tx.leading_integer(_attr(tag, "data-bedrooms")).alias("bedrooms"),
-        _attr(tag, "data-image").alias("image_url"),
-        tx.leading_number(_attr(tag, "data-lat")).alias("latitude"),
-        tx.leading_number(_attr(tag, "data-lng")).alias("longitude"), "open_tag")
+        F.coalesce(title, own["title"]).alias("title"), own["area"].alias("area"),
+        tx.leading_number(own["rating"]).alias("rating"),
+        tx.leading_integer(own["review-count"]).alias("review_count"),
+        own["price"].alias("displayed_price"), own["currency"].alias("currency"),
+        tx.leading_integer(own["guests"]).alias("guest_capacity"),
+        tx.leading_integer(own["bedrooms"]).alias("bedrooms"), own["image"].alias("image_url"),
+        tx.leading_number(own["lat"]).alias("latitude"),
+        tx.leading_number(own["lng"]).alias("longitude"), "open_tag")
 
 
 def _items(inner: Column, block: str, item: str) -> Column:
