@@ -94,3 +94,23 @@ def test_scores_that_every_near_pair_reaches_are_refused(spark):
     with pytest.raises(ValueError):
         matching.all_candidates(spark.createDataFrame([], SCHEMA), 0.3)
     assert matching.all_candidates(spark.createDataFrame([], SCHEMA), 0.8).count() == 0
+
+
+def test_few_names_at_many_places_are_those_of_all_pairs(spark, monkeypatch):
+    """Names and places meet once each; ties at equal distance and full spots keep their order."""
+    rng = random.Random(5)
+    names = ["red bolt", "red rod", "old bolt", "cold bolt", "new gear", ""]
+    rows = [(k, 1 + k % 2, rng.choice(names), *rng.choice([(-8.0 + k % 9 / 250, 115 + k % 7 / 90), (None, 115.0)]),
+             None, None, 1) for k in range(300)]
+    rows += [(500 + k, 1, "red bolt", -8.0, 115.0, None, None, 1) for k in range(9)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for min_score, limit in ((0.75, 4), (0.6, 7)):
+        monkeypatch.setattr(matching, "FEW_NAMES", 64)
+        # The tiles where every near pair of spots is made are not used.
+        with monkeypatch.context() as m:
+            m.setattr(matching, "spot_pairs", None)
+            got = matching.all_candidates(df, min_score, limit).collect()
+        assert sorted((r.property_id, r.candidate_id, r.rank, round(r.score, 9)) for r in got) == expected(
+            rows, min_score, limit)
+        monkeypatch.setattr(matching, "FEW_NAMES", 0)
+        assert sorted(matching.all_candidates(df, min_score, limit).collect()) == sorted(got)

@@ -11,6 +11,8 @@ below and, above 0.7, the distance from above, and candidates are found by those
   side is entered in all tiles that may hold a partner, also over the date line and the poles.
 * Where a side lacks coordinates, or points far apart still reach the score, names meet alone.
 
+* Where few names stand at many places, names and places meet once each instead (``near_offers``).
+
 Every candidate pair is then scored as a single target's candidates are.  Properties equal in
 name and place are one *spot*: spots meet, not properties, and a spot offers its first
 ``limit + 1`` ids, as no property can use more.
@@ -29,6 +31,7 @@ from tidewatch.operators.scans import lookup
 from tidewatch.session import cut_lineage
 
 BROADCAST_GRAMS = 200_000
+FEW_NAMES = 64
 SLACK = 1e-9  # bounds are loosened by this against rounding; scores decide in the end
 
 
@@ -142,41 +145,104 @@ def _placed(df: DataFrame, known: bool) -> DataFrame:
     return df.filter(both if known else ~both)
 
 
-def spot_pairs(spots: DataFrame, min_score: float) -> DataFrame:
-    """Unordered pairs of different spots that reach the score: a_spot, b_spot, similarity,
-    distance_m, score.  ``spots`` has dataset_id, spot, name, latitude, longitude."""
+def _near_bounds(min_score: float) -> tuple[float, float]:
+    """Least name similarity and greatest distance of a near pair that reaches the score."""
     share = 1 - NAME_WEIGHT
-    least_near, least_far = (min_score - share) / NAME_WEIGHT, min_score / NAME_WEIGHT
+    least_near = (min_score - share) / NAME_WEIGHT
     if least_near <= 0:
         raise ValueError(f"every near pair scores {share} or more; ask for more than that")
-    reach = MAX_PROXIMITY_M * min(1.0, (1 - min_score) / share) * (1 + SLACK) + SLACK
+    return least_near, MAX_PROXIMITY_M * min(1.0, (1 - min_score) / share) * (1 + SLACK) + SLACK
+
+
+def _apart() -> Column:
+    return haversine_m("a_latitude", "a_longitude", "b_latitude", "b_longitude")
+
+
+def _scored(pairs: DataFrame, min_score: float) -> DataFrame:
+    proximity = F.greatest(F.lit(0.0), 1.0 - F.col("distance_m") / MAX_PROXIMITY_M)
+    score = F.when(F.col("distance_m").isNull(), F.col("similarity")).otherwise(
+        F.col("similarity") * NAME_WEIGHT + proximity * (1 - NAME_WEIGHT))
+    return pairs.withColumn("score", score).filter(F.col("score") >= min_score).select(
+        "a_spot", "b_spot", "similarity", "distance_m", "score")
+
+
+def spot_pairs(spots: DataFrame, min_score: float) -> DataFrame:
+    """Unordered pairs of different spots that reach the score: a_spot, b_spot, similarity,
+    distance_m, score.  ``spots`` has dataset_id, spot, name, latitude, longitude."""
+    least_near, reach = _near_bounds(min_score)
     tiles = Tiles(reach)
     lat, lng = F.col("latitude"), F.col("longitude")
-    distance = haversine_m("a_latitude", "a_longitude", "b_latitude", "b_longitude")
 
     near = with_prefixes(_placed(spots, True), least_near)
     found = _sides(near.withColumn("tile", tiles.own(lat, lng)),
                    near.withColumn("tile", F.explode(tiles.around(lat, lng))), ["tile"], least_near)
-    found = found.filter("a_spot < b_spot").withColumn("distance_m", distance).filter(
+    found = found.filter("a_spot < b_spot").withColumn("distance_m", _apart()).filter(
         F.col("distance_m") <= reach)
+    return _scored(found, min_score).unionByName(distant_pairs(spots, min_score))
 
+
+def distant_pairs(spots: DataFrame, min_score: float) -> DataFrame:
+    """The pairs of ``spot_pairs`` that are not within reach of each other, or not known to be."""
+    reach, least_far = _near_bounds(min_score)[1], min_score / NAME_WEIGHT
     # One side without coordinates: names decide alone.
     named = with_prefixes(spots, min_score)
     blind = _placed(named, False)
     others = _sides(blind, _placed(named, True), [], min_score).unionByName(
         _sides(blind, blind, [], min_score).filter("a_spot < b_spot"))
-    found = found.unionByName(others.withColumn("distance_m", F.lit(None).cast("double")))
+    found = others.withColumn("distance_m", F.lit(None).cast("double"))
     if least_far <= 1:  # also points out of reach of each other
         placed = with_prefixes(_placed(spots, True), least_far)
         far = _sides(placed, placed, [], least_far).filter("a_spot < b_spot").withColumn(
-            "distance_m", distance).filter(F.col("distance_m") > reach)
+            "distance_m", _apart()).filter(F.col("distance_m") > reach)
         found = found.unionByName(far)
+    return _scored(found, min_score)
 
-    proximity = F.greatest(F.lit(0.0), 1.0 - F.col("distance_m") / MAX_PROXIMITY_M)
-    score = F.when(F.col("distance_m").isNull(), F.col("similarity")).otherwise(
-        F.col("similarity") * NAME_WEIGHT + proximity * share)
-    return found.withColumn("score", score).filter(F.col("score") >= min_score).select(
-        "a_spot", "b_spot", "similarity", "distance_m", "score")
+
+def near_offers(spots: DataFrame, names: DataFrame, ids: DataFrame, min_score: float, limit: int) -> DataFrame:
+    """Offers among placed spots within reach (spot, other, similarity, distance_m, score), for few names.
+
+    Names meet names and places meet places, once each.  For every place and name the nearest spots
+    of that name follow, as many as hold ``limit + 1`` ids: of one name a farther spot never scores
+    more, so the others can be in no list.  Distances that differ by a micrometre or less count as equal.
+    """
+    least_near, reach = _near_bounds(min_score)
+    tiles = Tiles(reach)
+    place = ["dataset_id", "latitude", "longitude"]
+    lat, lng = F.col("latitude"), F.col("longitude")
+    placed = _placed(spots, True)
+    # Numbers stand for names and places; they are fixed once the tables are stored.
+    named = cut_lineage(names.withColumn("name_no", F.monotonically_increasing_id()))
+    places = cut_lineage(placed.select(*place).distinct().withColumn("place_no", F.monotonically_increasing_id()))
+    numbered = cut_lineage(placed.join(named, ["dataset_id", "name"]).join(places, place).join(
+        ids.select("spot", F.size("ids").alias("n")), "spot").select("spot", "name_no", "place_no", "n"))
+
+    alike = with_prefixes(named.withColumnRenamed("name_no", "spot").withColumns({
+        "latitude": F.lit(None).cast("double"), "longitude": F.lit(None).cast("double")}), least_near)
+    alike = cut_lineage(_sides(alike, alike, [], least_near).select(
+        F.col("a_spot").alias("name_no"), F.col("b_spot").alias("other_name"), "similarity"))
+
+    def side(df: DataFrame, mark: str) -> DataFrame:
+        return df.select("dataset_id", "tile", *[F.col(c).alias(f"{mark}_{c}") for c in (
+            "place_no", "latitude", "longitude")])
+
+    met = side(places.withColumn("tile", tiles.own(lat, lng)), "a").join(
+        side(places.withColumn("tile", F.explode(tiles.around(lat, lng))), "b"), ["dataset_id", "tile"])
+    met = cut_lineage(met.withColumn("distance_m", _apart()).filter(F.col("distance_m") <= reach).select(
+        F.col("a_place_no").alias("place_no"), F.col("b_place_no").alias("other_place"), "distance_m"))
+
+    there = numbered.select(F.col("spot").alias("other"), F.col("place_no").alias("other_place"),
+                            F.col("name_no").alias("other_name"), "n")
+    nearer = F.sum("n").over(Window.partitionBy("place_no", "other_name").orderBy("__um").rangeBetween(
+        Window.unboundedPreceding, -2))
+    around = met.join(there.drop("other"), "other_place").withColumn(
+        "__um", F.floor(F.col("distance_m") * 1_000_000)).withColumn("__nearer", nearer).filter(
+        F.coalesce("__nearer", F.lit(0)) <= limit).select("place_no", "other_name", "other_place", "distance_m")
+    offers = numbered.select("spot", "name_no", "place_no").join(alike, "name_no").join(
+        around, ["place_no", "other_name"]).filter(
+        (F.col("name_no") != F.col("other_name")) | (F.col("place_no") != F.col("other_place")))
+    return _scored(offers.join(there.drop("n"), ["other_name", "other_place"]).select(
+        F.col("spot").alias("a_spot"), F.col("other").alias("b_spot"), "similarity", "distance_m"), min_score).select(
+        F.col("a_spot").alias("spot"), F.col("b_spot").alias("other"), "similarity", "distance_m", "score")
 
 
 def all_candidates(properties: DataFrame, min_score: float = 0.8, limit: int = 10) -> DataFrame:
@@ -199,10 +265,15 @@ def all_candidates(properties: DataFrame, min_score: float = 0.8, limit: int = 1
         F.first(c).alias(c) for c in ("dataset_id", "name", "latitude", "longitude")]))
     ids = cut_lineage(first)
 
-    pairs = cut_lineage(spot_pairs(spots, min_score))
+    # Few names over many spots: pairs of names are then no more than FEW_NAMES rows a spot.
+    names = cut_lineage(spots.select("dataset_id", "name").distinct())
+    few = names.count() ** 2 <= FEW_NAMES * spots.count()
+    pairs = cut_lineage((distant_pairs if few else spot_pairs)(spots, min_score))
     facts = ["similarity", "distance_m", "score"]
     both = pairs.select(F.col("a_spot").alias("spot"), F.col("b_spot").alias("other"), *facts).unionByName(
         pairs.select(F.col("b_spot").alias("spot"), F.col("a_spot").alias("other"), *facts))
+    if few:
+        both = both.unionByName(near_offers(spots, names, ids, min_score, limit))
     same = F.when(F.col("latitude").isNotNull() & F.col("longitude").isNotNull(), F.lit(0.0))
     own = spots.select("spot", F.col("spot").alias("other"), F.lit(1.0).alias("similarity"),
                        same.alias("distance_m"), F.lit(1.0).alias("score"))
