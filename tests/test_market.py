@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidewatch.operators import market
@@ -76,3 +78,41 @@ def test_quality_status(spark):
     got = {tuple(r[:4]): r.q for r in df.withColumn("q", market.quality_status(
         F.col("p"), F.col("c"), F.col("f"), F.col("e"))).collect()}
     assert got == cases
+
+
+def test_fnv_states_from_known_starts_and_groups_over_batches(spark, monkeypatch):
+    """Groups inside a task are hashed at once, whatever the slices they fall into."""
+    rng = np.random.default_rng(5)
+    sizes = np.array([0, 1, 700, 0, 3, 40, 0])
+    data = rng.integers(0, 256, sizes.sum()).astype(np.uint8)
+    states = rng.integers(0, 2**63, len(sizes)).astype(np.uint64)
+    expected, at = [], 0
+    for size, state in zip(sizes.tolist(), states.tolist()):
+        for byte in data[at:at + size].tolist():
+            state = ((state ^ byte) * 0x100000001B3) % 2**64
+        at += size
+        expected.append(state)
+    with np.errstate(over="ignore"):
+        assert market._end_states(data, sizes, states).tolist() == expected
+
+    lines = {f"g{g}": [f"{n * 7 % 31}|{g}" if g % 3 else ("" if n == 0 else f"日{n}é") for n in range(g % 5 * 9 + 1)]
+             for g in range(60)}
+    rows = sorted((k, line) for k, some in lines.items() for line in some)
+    lanes = []
+    monkeypatch.setattr(market, "_KNOWN_ROWS", 7)
+    effects = market._row_effects
+    monkeypatch.setattr(market, "_row_effects", lambda some, lead: lanes.extend(some) or effects(some, lead))
+    for cuts in ([0, len(rows)], [0, 1, 2, 60, 61, 400, len(rows)]):
+        lanes.clear()
+        pieces = []
+        for a, b in zip(cuts, cuts[1:]):
+            table = pa.table({"collection_id": [r[0] for r in rows[a:b]], "fingerprint": [r[1] for r in rows[a:b]]})
+            pieces += [r for out in market._summaries(iter(table.to_batches(max_chunksize=50))) for r in out.to_pylist()]
+        assert len(lanes) < len(rows) / 2  # only the first group of each task is hashed for 256 starts
+        assert sum(p["checksum"] is None for p in pieces) <= 2 * (len(cuts) - 1)
+        pieces.sort(key=lambda p: (p["collection_id"], p["first"] or ""))
+        got = {r["collection_id"]: r["checksum"] for out in market._chained(
+            pa.Table.from_pylist(pieces, pa.schema([("collection_id", pa.string()), ("first", pa.string()), (
+                "checksum", pa.string()), ("scale", pa.binary()), ("shift", pa.binary())])).to_batches())
+            for r in out.to_pylist()}
+        assert got == {k: fnv(some) for k, some in lines.items()}

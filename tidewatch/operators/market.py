@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -303,8 +303,11 @@ def multiset_checksum(rows: DataFrame, by: Sequence[str]) -> DataFrame:
 # 64-bit FNV-1a over the sorted fingerprints joined with newlines.
 _FNV_START = np.uint64(0xCBF29CE484222325)
 _FNV_PRIME = np.uint64(0x100000001B3)
-_ROWS = 2048  # texts hashed side by side
-_PIECE = "collection_id string, first string, scale binary, shift binary"
+_FNV_INVERSE = np.uint64(pow(0x100000001B3, -1, 2**64))
+_LOW_PRIME = np.uint8(0xB3)
+_ROWS = 2048  # texts hashed side by side for every state they may start from
+_KNOWN_ROWS = 8192  # texts hashed at once from known states
+_PIECE = "collection_id string, first string, checksum string, scale binary, shift binary"
 
 
 def _absorb(units: Sequence[int], lanes: np.ndarray) -> np.ndarray:
@@ -348,62 +351,160 @@ def _row_effects(texts: list[str], leading: np.ndarray) -> tuple[np.ndarray, np.
     return scale[back], (lanes - lows * scale[:, None])[back]
 
 
-def _summaries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Hash effect of each sorted run of fingerprints, for any state it may start from."""
+def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """What is hashed of all texts, back to back, and how many bytes each has: the low byte of
+    every UTF-16 unit and, unless it is zero, the high byte."""
+    texts = texts.cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], "<i8")[texts.offset:texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0]:ends[-1]]
+    if not len(data) or data.max() < 0x80:
+        return data, np.diff(ends)
+    found = []
+    for text in texts.to_pylist():
+        pairs = _units(text).view(np.uint8)
+        found.append(pairs[(np.arange(len(pairs)) % 2 == 0) | (pairs > 0)])
+    return np.concatenate(found), np.array([len(f) for f in found])
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    """base ** 0 to base ** n, modulo 2 ** 64."""
+    return np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(n, base, np.uint64))])
+
+
+def _end_states(data: np.ndarray, sizes: np.ndarray, states: np.ndarray) -> np.ndarray:
+    """The states after each stretch of ``sizes`` bytes of ``data``, each from its own state.
+
+    A step is x -> (x ^ byte) * prime = (x + d) * prime, where d depends on the low byte of x only.
+    Bit j of the next low byte is bit j of x ^ byte, turned over where the bits below carry into
+    it, so the low bytes come bit by bit as running parities; the rest is a sum of d times powers.
+    """
+    used = np.flatnonzero(sizes)
+    if not len(used):
+        return states
+    n, begin = sizes[used], np.cumsum(sizes[used]) - sizes[used]
+    start = states[used]
+    low = np.zeros(len(data), np.uint8)
+    for j in range(8):
+        mixed = (low ^ data) & np.uint8((1 << j) - 1)
+        turn = ((data >> np.uint8(j)) ^ ((mixed * _LOW_PRIME) >> np.uint8(j))) & np.uint8(1)
+        before = np.bitwise_xor.accumulate(turn) ^ turn
+        first = before[begin] ^ ((start >> np.uint64(j)) & np.uint64(1)).astype(np.uint8)
+        low |= (before ^ np.repeat(first, n)) << np.uint8(j)
+    d = ((low ^ data).astype(np.int64) - low).view(np.uint64)
+    sums = np.add.reduceat(d * _powers(_FNV_INVERSE, len(data))[:-1], begin)
+    power = _powers(_FNV_PRIME, len(data))
+    out = states.copy()
+    out[used] = start * power[n] + sums * power[begin + n]
+    return out
+
+
+def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Checksums of the groups that begin and end in this run of sorted rows; of the first group,
+    which may have begun before, its effect on any state; of the last, which may go on, the state
+    it is left in, as an effect that is the same for all."""
+    names = ["collection_id", "first", "checksum", "scale", "shift"]
+    types = [pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary()]
     lows = np.arange(256, dtype=np.uint64)
-    group, first, lanes, scale = None, None, lows, np.uint64(1)
+    began, open_start = False, True  # has any row come; may the group at hand have begun before
+    group, first, state = None, None, _FNV_START
+    lanes, scale = lows, np.uint64(1)
+
+    def rows(*columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
-    def piece() -> pd.DataFrame:
-        return pd.DataFrame([{
-            "collection_id": group, "first": first, "scale": scale.tobytes(),
-            "shift": (lanes - lows * scale).astype("<u8").tobytes()}])
+    def piece() -> pa.RecordBatch:
+        s, to = (scale, lanes - lows * scale) if open_start else (np.uint64(0), np.full(256, state))
+        return rows([group], [first], [None], [s.tobytes()], [to.astype("<u8").tobytes()])
 
     with np.errstate(over="ignore"):
-        for whole in frames:
-            for at in range(0, len(whole), _ROWS):
-                frame = whole.iloc[at:at + _ROWS]
-                owners, texts = frame["collection_id"].tolist(), frame["fingerprint"].tolist()
-                leading = np.array([a == b for a, b in zip(owners, [group, *owners[:-1]])])
-                scales, shifts = _row_effects(texts, leading)
-                for owner, text, lead, s, shift in zip(owners, texts, leading, scales, shifts):
-                    if not lead:
-                        if group is not None:
-                            yield piece()
-                        group, first, lanes, scale = owner, text, lows, np.uint64(1)
-                    lanes = lanes * s + shift[lanes & np.uint64(0xFF)]
-                    scale = scale * s
-        if group is not None:
+        for whole in batches:
+            for at in range(0, whole.num_rows, _KNOWN_ROWS):
+                batch = whole.slice(at, _KNOWN_ROWS)
+                owners, texts = batch.column("collection_id"), batch.column("fingerprint")
+                codes = owners.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                starts = np.concatenate([[0], np.flatnonzero(np.diff(codes)) + 1])
+                goes_on = began and owners[0].as_py() == group
+                if not began:
+                    group, first, began, goes_on = owners[0].as_py(), texts[0].as_py(), True, True
+                    fresh = True
+                else:
+                    fresh = False
+                if goes_on and open_start:
+                    n = int(starts[1]) if len(starts) > 1 else batch.num_rows
+                    for k in range(0, n, _ROWS):
+                        some = texts.slice(k, min(_ROWS, n - k)).to_pylist()
+                        leading = np.ones(len(some), bool)
+                        leading[0] = not (fresh and k == 0)
+                        for s, shift in zip(*_row_effects(some, leading)):
+                            lanes, scale = lanes * s + shift[lanes & np.uint64(0xFF)], scale * s
+                    if n == batch.num_rows:
+                        continue
+                    texts, owners, starts = texts.slice(n), owners.slice(n), starts[1:] - n
+                    goes_on = False
+                if not goes_on:
+                    # The group at hand has ended.
+                    yield piece() if open_start else rows([group], [first], [f"{int(state):016x}"], [None], [None])
+                    open_start = False
+                data, sizes = _bytes_of(texts)
+                leading = np.ones(len(texts), np.int64)
+                leading[starts if not goes_on else starts[1:]] = 0
+                joined = np.full(int(sizes.sum() + leading.sum()), 10, np.uint8)
+                joined[np.arange(len(data)) + np.repeat(np.cumsum(leading), sizes)] = data
+                states = np.full(len(starts), _FNV_START)
+                if goes_on:
+                    states[0] = state
+                states = _end_states(joined, np.add.reduceat(sizes + leading, starts), states)
+                heads = owners.take(pa.array(starts)).to_pylist()
+                done = len(starts) - 1
+                if done:
+                    yield rows(heads[:-1], [None] * done, [f"{int(x):016x}" for x in states[:-1]],
+                               [None] * done, [None] * done)
+                if done or not goes_on:
+                    group, first = heads[-1], texts[int(starts[-1])].as_py()
+                state = states[-1]
+        if began:
             yield piece()
 
 
-def _chain(pieces: pd.DataFrame) -> pd.DataFrame:
-    """Compose the run summaries of one group in order."""
-    state = np.array([_FNV_START], dtype=np.uint64)
+def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole groups' checksums as they are; the pieces of all others composed in order."""
+    names, group, state = ["collection_id", "checksum"], None, None
+
+    def rows(ids: Sequence, sums: Sequence) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(sums, pa.string())], names)
+
     with np.errstate(over="ignore"):
-        for i, row in enumerate(pieces.sort_values("first").itertuples()):
-            if i:
-                state = _absorb([10], state)
-            scale = np.frombuffer(row.scale, dtype="<u8")
-            shift = np.frombuffer(row.shift, dtype="<u8")
-            state = state * scale + shift[int(state[0] & np.uint64(0xFF))]
-    return pd.DataFrame([{"collection_id": pieces["collection_id"].iloc[0],
-                          "checksum": f"{int(state[0]):016x}"}])
+        for batch in batches:
+            cut = batch.column("checksum").is_null()
+            plain = batch.filter(cut.cast(pa.int8()).to_numpy(zero_copy_only=False) == 0)
+            yield plain.select(names)
+            for row in batch.filter(cut).to_pylist():
+                if state is not None and row["collection_id"] == group:
+                    state = _absorb([10], state)
+                else:
+                    if state is not None:
+                        yield rows([group], [f"{int(state[0]):016x}"])
+                    group, state = row["collection_id"], np.array([_FNV_START], dtype=np.uint64)
+                scale, shift = np.frombuffer(row["scale"], "<u8"), np.frombuffer(row["shift"], "<u8")
+                state = state * scale + shift[int(state[0] & np.uint64(0xFF))]
+        if state is not None:
+            yield rows([group], [f"{int(state[0]):016x}"])
 
 
 def fnv_checksum(rows: DataFrame, partitions: int | None = None) -> DataFrame:
     """64-bit FNV-1a checksum of each collection's sorted fingerprints.
 
     The hash is sequential, yet a range-partitioned sort lets every task hash its own
-    run; only one 2 KB summary per run and collection is chained at the end.  Fingerprints
-    sort by code point.
+    run: groups that lie whole in it are done there, and of the two at its ends one 2 KB summary
+    each is chained afterwards.  Fingerprints sort by code point.
     """
     sorted_rows = rows.select(F.col("collection_id").cast("string"), "fingerprint")
     order = ["collection_id", "fingerprint"]
     spread = (sorted_rows.repartitionByRange(*order) if partitions is None
               else sorted_rows.repartitionByRange(partitions, *order))
-    pieces = spread.sortWithinPartitions(*order).mapInPandas(_summaries, _PIECE)
-    return pieces.groupBy("collection_id").applyInPandas(
-        _chain, "collection_id string, checksum string")
+    pieces = spread.sortWithinPartitions(*order).mapInArrow(_summaries, _PIECE)
+    return pieces.repartition("collection_id").sortWithinPartitions("collection_id", "first").mapInArrow(
+        _chained, "collection_id string, checksum string")
 
 
 # --- verification ------------------------------------------------------------
