@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from registry import query
-from registry.snapshots import TITLE_SQL, all_events, all_events_sql
+from registry.snapshots import TITLE_SQL, all_events_sql, kept_events
 from registry.tables import LISTINGS_SQL, PROPERTIES_SQL, stamp, stamp_sql
 from tidewatch.operators import access, catalogue, clusters, events, search
 from tidewatch.session import checkpoint_dir
@@ -260,7 +260,7 @@ def property_status(t):
 
 def stored_events(t):
     """All events with dataset, property and the review state of a review table."""
-    rows = all_events(t).withColumns({
+    rows = kept_events(t).withColumns({
         "dataset_id": F.lit(1), "property_id": F.col("listing_id") % 20})
     day = F.lit("2024-03-01").cast("timestamp")
     kind = F.col("listing_id") % 4
@@ -308,7 +308,7 @@ def review_audit(t):
 SELECT event_id, event_type, {stamp_sql('event_at')} AS event_at, evidence_type, run_id,
   snapshot_id AS current_snapshot_id FROM reviewed WHERE property_id = 5""")
 def property_timeline(t):
-    rows = all_events(t).withColumn("property_id", F.col("listing_id") % 20)
+    rows = kept_events(t).withColumn("property_id", F.col("listing_id") % 20)
     evidence = events.evidence_table(rows)
     owners = rows.select("listing_id", "property_id").distinct()
     plain = events.event_table(rows.drop("property_id"), "d1", owners)
