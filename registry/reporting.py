@@ -8,7 +8,7 @@ from registry import query
 from registry.figures import _tagged_events
 from registry.snapshots import all_events_sql
 from registry.tables import stamp, stamp_sql
-from tidewatch.session import checkpoint_dir
+from tidewatch.session import checkpoint_dir, written
 from tidewatch.sinks import report_types
 
 _SUMMARY = f"""summary AS (SELECT 1 AS dataset_id, run_id, count(*) AS snapshots,
@@ -42,7 +42,8 @@ def _snapshots(t):
 
 
 def _events(t):
-    return _tagged_events(t)
+    # Counted, numbered and written: three readers, one of them while the plan is built.
+    return written(_tagged_events(t), "events")
 
 
 @query("region_change_report", f"WITH {all_events_sql()}, {_CHANGE} SELECT * FROM change")

@@ -15,8 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.csvcells import csv_line
-from tidewatch.operators.events import evidence_table
-from tidewatch.operators.scans import Scan, by_key, lookup, micros, running
+from tidewatch.operators.scans import Scan, by_key, micros, running
 from tidewatch.sinks.keyed import KeyedTable
 from tidewatch.sinks.reports import csv_header
 
@@ -64,6 +63,11 @@ def region_change(snapshots: DataFrame, region: str = "region") -> DataFrame:
 
 def property_history(events: DataFrame) -> DataFrame:
     """The events of every property in order: number, what came before and how many days ago."""
+    return _numbered(events)
+
+
+def _numbered(events: DataFrame, *more: str) -> DataFrame:
+    """``property_history`` with further columns of the events."""
     order = ["__at", "event_id"]
     columns = ["dataset_id", "property_id", "event_id", "event_type", "event_at", "listing_id", "summary"]
 
@@ -74,20 +78,23 @@ def property_history(events: DataFrame) -> DataFrame:
             Scan("__before", "last", F.col("__at"), before=True),
         ], segment=segment)
 
-    numbered = by_key(events.select(*columns).withColumn("__at", micros("event_at")),
+    numbered = by_key(events.select(*columns, *more).withColumn("__at", micros("event_at")),
                       ["dataset_id", "property_id"], order, body)
     return numbered.withColumn("days_since", F.floor((F.col("__at") - F.col("__before")) / DAY_MICROS)).drop(
         "__at", "__before")
 
 
 def event_evidence(events: DataFrame, bundle: int = BUNDLE) -> DataFrame:
-    """Evidence of a property's events, at most ``bundle`` events a line, however many it has."""
-    numbered = property_history(events).withColumn("line", F.floor((F.col("number") - 1) / bundle))
-    proof = evidence_table(events).select("event_id", "evidence_type", "explanation", "current_snapshot_id")
+    """Evidence of a property's events, at most ``bundle`` events a line, however many it has.
+
+    An event has one evidence row, made from its own columns, so these go along instead of being joined.
+    """
+    numbered = _numbered(events, "evidence_type", "current_snapshot_id").withColumn(
+        "line", F.floor((F.col("number") - 1) / bundle))
     entry = F.struct("number", F.concat_ws(
         " | ", F.date_format("event_at", "yyyy-MM-dd HH:mm:ss"), "event_type", "evidence_type",
-        F.col("current_snapshot_id").cast("string"), "explanation").alias("text"))
-    return lookup(numbered, proof, ["event_id"]).groupBy("dataset_id", "property_id", "line").agg(
+        F.col("current_snapshot_id").cast("string"), "summary").alias("text"))
+    return numbered.groupBy("dataset_id", "property_id", "line").agg(
         F.count(F.lit(1)).alias("events"), F.min("event_at").alias("first_at"), F.max("event_at").alias("last_at"),
         F.array_join(F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["text"]), "\n").alias("evidence"))
 
