@@ -116,3 +116,22 @@ def test_fnv_states_from_known_starts_and_groups_over_batches(spark, monkeypatch
                 "checksum", pa.string()), ("scale", pa.binary()), ("shift", pa.binary())])).to_batches())
             for r in out.to_pylist()}
         assert got == {k: fnv(some) for k, some in lines.items()}
+
+
+def test_equal_points_and_cells_meet_once(spark):
+    """What is compared does not grow with copies; every point still gets every cell that holds it."""
+    spot = F.col("id") % 7
+    points = spark.range(700).select(F.col("id").alias("point_id"), (spot / 10).alias("latitude"),
+                                     F.when(spot != 3, spot / 20).alias("longitude"))
+    box = F.col("id") % 5
+    cells = spark.range(50).select(
+        F.col("id").alias("cell_id"), (box / 10 - 0.02).alias("south"), (box / 10 + 0.11).alias("north"),
+        (box / 20 - 0.01).alias("west"), (box / 20 + 0.05).alias("east"))
+    found = market.assign_cells(points, cells)
+    expected = {(p.point_id, c.cell_id) for p in points.collect() for c in cells.collect()
+                if p.longitude is not None and c.south <= p.latitude < c.north and c.west <= p.longitude < c.east}
+    got = found.select("point_id", "cell_id").collect()
+    assert len(got) == len(expected) and {tuple(r) for r in got} == expected and len(expected) >= 4000
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    tiles = [line for line in plan.splitlines() if "Join" in line and "__tx" in line]
+    assert len(tiles) == 1 and plan.count("Aggregate [") == 2

@@ -93,20 +93,24 @@ def plan_cells(areas: DataFrame, selected: Sequence[str], rules: Planner = Plann
 def assign_cells(points: DataFrame, cells: DataFrame) -> DataFrame:
     """Cell of every point: south <= lat < north and west <= lng < east.
 
-    Points and cells meet on a coarse tile (an equi-join), then the exact bounds
-    decide.  A cell is copied to the few tiles it overlaps, never to all points.
+    Spots (points at one place) and boxes (cells with the same bounds) meet once, on a coarse
+    tile (an equi-join), then the exact bounds decide.  A box is copied to the few tiles it
+    overlaps, never to all spots.  Only pairs that hold are opened to their points and cells,
+    so no more pairs are made than there are results.
     """
     tile = 0.05
+    place, bounds = ["latitude", "longitude"], ["south", "north", "west", "east"]
     spread = lambda low, high: F.explode(F.sequence(
         F.floor(F.col(low) / tile), F.floor(F.col(high) / tile)))
-    tiled = cells.withColumn("__ty", spread("south", "north")).withColumn(
+    tiled = cells.select(*bounds).distinct().withColumn("__ty", spread("south", "north")).withColumn(
         "__tx", spread("west", "east"))
-    placed = points.withColumns({
+    placed = points.select(*place).distinct().withColumns({
         "__ty": F.floor(F.col("latitude") / tile), "__tx": F.floor(F.col("longitude") / tile)})
     inside = (
         (F.col("latitude") >= F.col("south")) & (F.col("latitude") < F.col("north"))
         & (F.col("longitude") >= F.col("west")) & (F.col("longitude") < F.col("east")))
-    return placed.join(tiled, ["__ty", "__tx"]).filter(inside).drop("__ty", "__tx")
+    met = placed.join(tiled, ["__ty", "__tx"]).filter(inside).drop("__ty", "__tx")
+    return points.join(met, place).join(cells, bounds).select(*points.columns, *cells.columns)
 
 
 # --- discoveries -------------------------------------------------------------
