@@ -113,3 +113,25 @@ def test_token_files_round_trip_and_prune(spark, tmp_path):
     one = token_files.read_tokens(spark, where).filter("doc_id = 7")
     assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,7)]" in one._jdf.queryExecution().toString()
     assert one.count() == 1
+
+
+def test_a_worker_keeps_little_of_what_loading_and_learning_took(monkeypatch):
+    """Memory freed while the vocabulary is read goes back, and few pieces' results are held at once."""
+    from tidewatch.llm import tokens
+
+    given, sizes = [], []
+    monkeypatch.setattr(tokens, "give_back", lambda: given.append(1))
+    made = tokens.Encoder(tokens.tokenizer_file(public_tokenizers.path("byte_bpe_50k.json")))
+    assert given == [1]
+    library = made.tokenizer
+
+    class Watched:
+        def encode_batch_fast(self, pieces, **how):
+            sizes.append(len(pieces))
+            return library.encode_batch_fast(pieces, **how)
+
+    made.tokenizer = Watched()
+    texts = [" ".join(f"w{n}x{k}" for n in range(400)) for k in range(16)]
+    ids = [np.frombuffer(b, "<u4").tolist() for b in made.encode(texts)]
+    assert max(sizes) <= tokens.AT_ONCE and sum(sizes) > 3 * tokens.AT_ONCE
+    assert ids == [library.encode(t, add_special_tokens=False).ids for t in texts]

@@ -17,6 +17,8 @@ import re
 
 import numpy as np
 
+from tidewatch.llm.common import give_back
+
 # A piece: white space, then letters up to a mark, or else all up to white space; a run of
 # white space that does not begin with an ASCII one is no place to cut.
 # Possessive: no shorter match would do, so none is tried.
@@ -24,6 +26,7 @@ PIECE = re.compile(r"\s*+(?:[A-Za-z\u00df-\u00f6\u00f8-\u00ff]++(?=[.,;:!?%#$&*|
                    r"|\S++(?:(?![ \t-\r])\s++\S*+)*+)|\s++")
 KEPT, KEPT_IDS = 1 << 20, 1 << 22  # pieces and ids of a worker's table: 44 MB when full
 ROWS = 256  # texts cut at once
+AT_ONCE = 2048  # pieces the library encodes at once; its results are large until their ids are taken
 
 encoders: dict[int, Encoder] = {}
 
@@ -101,6 +104,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(json)
+        give_back()  # what reading the file took is more than what stays
         self.pieces = Pieces()
 
     def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -120,15 +124,20 @@ class Encoder:
         missing = np.flatnonzero(slot < 0)
         if len(missing):
             fresh, first = np.unique(hashes[missing], return_index=True)
-            got = self.tokenizer.encode_batch_fast(
-                [cut[k] for k in missing[first]], add_special_tokens=False)
-            if self.pieces.add(fresh, [e.ids for e in got]):
+            if self.pieces.add(fresh, self.learn([cut[k] for k in missing[first]])):
                 slot = self.pieces.find(hashes)
             else:
                 slot[missing] = self.pieces.find(hashes[missing])
         ids, ends = self.pieces.gather(slot)
         return ids, ends[stops]
 
+    def learn(self, pieces: list[str]) -> list[list[int]]:
+        got = []
+        for at in range(0, len(pieces), AT_ONCE):
+            got += [e.ids for e in self.tokenizer.encode_batch_fast(
+                pieces[at:at + AT_ONCE], add_special_tokens=False)]
+        return got
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         out = []
