@@ -63,6 +63,16 @@ def test_class_probabilities_add_up():
     assert np.allclose(out, 1, atol=1e-4)
 
 
+def test_short_forms_of_the_softmax_agree():
+    deal = np.random.default_rng(3)
+    weights = deal.normal(size=(maxent.SLOTS, maxent.CLASSES)).astype(np.float32)
+    slots = deal.integers(0, maxent.SLOTS, (200, maxent.FEATURES)).astype(np.uint16)
+    bias, kinds = np.zeros(maxent.CLASSES, np.float32), deal.integers(0, maxent.CLASSES, 200)
+    full = maxent._log_softmax(weights, bias, slots)
+    assert np.allclose(maxent._minus_softmax(weights, bias, slots), -np.exp(full), atol=1e-6)
+    assert np.allclose(maxent._log_softmax_at(weights, bias, slots, kinds), full[np.arange(200), kinds], atol=1e-5)
+
+
 def test_features_do_not_look_over_a_start():
     one = np.array([(5 << 28) | (3 << 20), (7 << 28) | (4 << 20), (9 << 28)], np.int64)
     alone, _ = maxent._features([one])

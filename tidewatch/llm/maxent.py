@@ -272,14 +272,36 @@ def _features(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
                      slot(history, 4 << 40)], axis=1), kind[at].astype(np.int64)
 
 
-def _log_softmax(weights: np.ndarray, bias: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    scores = weights[slots[:, 0]] + bias
+def _scores(weights: np.ndarray, bias: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Scores of the classes, the greatest of each row taken off."""
+    scores = np.take(weights, slots[:, 0], axis=0)
+    scores += bias
     for k in range(1, FEATURES):
-        scores += weights[slots[:, k]]
+        scores += np.take(weights, slots[:, k], axis=0)
     scores -= scores.max(axis=1, keepdims=True)
+    return scores
+
+
+def _log_softmax(weights: np.ndarray, bias: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """All classes; the rounds and the scores use the two shorter forms below."""
+    scores = _scores(weights, bias, slots)
     return scores - np.log(np.exp(scores).sum(axis=1, keepdims=True))
 
 
+def _minus_softmax(weights: np.ndarray, bias: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    shares = _scores(weights, bias, slots)
+    np.exp(shares, out=shares)
+    shares /= -shares.sum(axis=1, keepdims=True)
+    return shares
+
+
+def _log_softmax_at(weights: np.ndarray, bias: np.ndarray, slots: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    scores = _scores(weights, bias, slots)
+    chosen = scores[np.arange(len(kinds)), kinds]
+    np.exp(scores, out=scores)
+    return chosen - np.log(scores.sum(axis=1))
+
+
 def _sliced(lex: Lexicon, texts: Iterable[bytes]):
     """Groups of (words, codes) of whole texts, each with about SLICE tokens."""
     held, size = [], 0
@@ -311,7 +333,7 @@ def round_of_updates(train: DataFrame, lex, weights: np.ndarray, bias: np.ndarra
                 slots, kinds = _features([codes for _, codes in held])
                 for i in range(0, len(kinds), MINI):
                     s, y = slots[i:i + MINI], kinds[i:i + MINI]
-                    grad = -np.exp(_log_softmax(w, bias, s))
+                    grad = _minus_softmax(w, bias, s)
                     grad[np.arange(len(y)), y] += 1
                     for k in range(FEATURES):
                         order = np.argsort(s[:, k], kind="stable")
@@ -319,7 +341,7 @@ def round_of_updates(train: DataFrame, lex, weights: np.ndarray, bias: np.ndarra
                         first = np.flatnonzero(np.concatenate(([True], f[1:] != f[:-1])))
                         rows, n = f[first], np.diff(np.append(first, len(f)))
                         used[rows] += n
-                        step = np.add.reduceat(grad[order], first, axis=0)
+                        step = np.add.reduceat(np.take(grad, order, axis=0), first, axis=0)
                         rate = (STEP / np.sqrt((1 + used[rows]) * n)).astype(np.float32)
                         w[rows] += rate[:, None] * step
         at = np.flatnonzero(used)
@@ -371,7 +393,7 @@ def score(docs: DataFrame) -> DataFrame:
                 chosen = np.empty(len(kinds))
                 for i in range(0, len(kinds), MINI):
                     y = kinds[i:i + MINI]
-                    chosen[i:i + MINI] = _log_softmax(weights, bias, slots[i:i + MINI])[np.arange(len(y)), y]
+                    chosen[i:i + MINI] = _log_softmax_at(weights, bias, slots[i:i + MINI], y)
                 each = chosen / math.log(10) - mass[kinds]
                 columns = [[] for _ in names]
                 at = 0
