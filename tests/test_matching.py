@@ -114,3 +114,21 @@ def test_few_names_at_many_places_are_those_of_all_pairs(spark, monkeypatch):
             rows, min_score, limit)
         monkeypatch.setattr(matching, "FEW_NAMES", 0)
         assert sorted(matching.all_candidates(df, min_score, limit).collect()) == sorted(got)
+
+
+def test_only_counted_tables_are_broadcast(spark, monkeypatch):
+    """Tables over their limits join by sorting, however small Spark takes them to be."""
+    for limit in ("BROADCAST_GRAMS", "BROADCAST_ROWS", "BROADCAST_SPOTS"):
+        monkeypatch.setattr(matching, limit, 0, raising=False)
+    rows = properties(7)[:120]
+    df = spark.createDataFrame(rows, SCHEMA)
+    ran = spark._jsparkSession.sharedState().statusStore()
+    for few in (0, 10_000):
+        monkeypatch.setattr(matching, "FEW_NAMES", few)
+        before = ran.executionsCount()
+        got = matching.candidates_with_reasons(df, 0.75, 4).collect()
+        after = ran.executionsCount()
+        plans = [ran.executionsList().apply(i).physicalPlanDescription() for i in range(before, after)]
+        assert any("SortMergeJoin" in p for p in plans)
+        assert not any("BroadcastHashJoin" in p or "BroadcastNestedLoopJoin" in p for p in plans)
+        assert sorted((r.property_id, r.candidate_id, r.rank, round(r.score, 9)) for r in got) == expected(rows, 0.75, 4)

@@ -16,6 +16,9 @@ below and, above 0.7, the distance from above, and candidates are found by those
 Every candidate pair is then scored as a single target's candidates are.  Properties equal in
 name and place are one *spot*: spots meet, not properties, and a spot offers its first
 ``limit + 1`` ids, as no property can use more.
+
+Only tables that were counted are broadcast; all others join by sorting, whatever size Spark
+expects of them from their compressed files.
 """
 
 from __future__ import annotations
@@ -31,10 +34,22 @@ from tidewatch.operators.scans import lookup
 from tidewatch.session import cut_lineage
 
 BROADCAST_GRAMS = 200_000
+BROADCAST_ROWS = 20_000  # names, places or pairs of names
+BROADCAST_SPOTS = 1_000  # spots opened to their grams
 FEW_NAMES = 64
 SLACK = 1e-9  # bounds are loosened by this against rounding; scores decide in the end
 
 
+def _sized(table: DataFrame, rows: int, limit: int) -> DataFrame:
+    """One side of a join: broadcast while its counted rows allow, else joined by sorting, so that
+    no table that grows with the input is collected on the driver."""
+    return F.broadcast(table) if rows <= limit else _sorted(table)
+
+
+def _sorted(table: DataFrame) -> DataFrame:
+    return table.hint("merge")
+
+
 # --- bounds --------------------------------------------------------------------
 
 def gram_size(similarity: float) -> int:
@@ -65,14 +80,14 @@ def with_prefixes(spots: DataFrame, similarity: float) -> DataFrame:
     grams = names.select("name", F.explode(_grams(F.col("name"), q)).alias("gram"))
     counts = cut_lineage(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")))
     # The name alphabet has 37 letters, so there are few grams; counted all the same.
-    few = counts.count() <= BROADCAST_GRAMS
+    counted = _sized(counts, counts.count(), BROADCAST_GRAMS)
     order = F.struct("n", F.xxhash64("gram").alias("h"), "gram")
-    listed = grams.join(F.broadcast(counts) if few else counts, "gram").groupBy("name").agg(
+    listed = grams.join(counted, "gram").groupBy("name").agg(
         F.sort_array(F.collect_list(order)).alias("g"))
     prefixes = listed.select("name", F.slice(
         F.transform("g", lambda g: g["gram"]), F.lit(1),
         _prefix_length(F.length("name"), similarity, q)).alias("prefix"))
-    return lookup(spots, prefixes, ["name"], "inner")
+    return lookup(spots, _sized(prefixes, names.count(), BROADCAST_ROWS), ["name"], "inner")
 
 
 def _degrees(metres: float, lat: Column) -> Column:
@@ -119,15 +134,21 @@ class Tiles:
 
 # --- joining --------------------------------------------------------------------
 
-def _sides(left: DataFrame, right: DataFrame, key: list[str], similarity: float) -> DataFrame:
-    """Pairs of spots with a common key and gram, once each, whose names are similar enough."""
+def _sides(left: DataFrame, right: DataFrame, key: list[str], similarity: float,
+           rows: int | None = None) -> DataFrame:
+    """Pairs of spots with a common key and gram, once each, whose names are similar enough.
+
+    ``rows`` is the counted number of spots of the left side, where that side may be small.
+    """
     columns = ["spot", "name", "latitude", "longitude", "prefix"]
 
     def side(df: DataFrame, mark: str) -> DataFrame:
         return df.select("dataset_id", *key, F.explode("prefix").alias("gram"), *[
             F.col(c).alias(f"{mark}_{c}") for c in columns])
 
-    pairs = side(left, "a").join(side(right, "b"), ["dataset_id", *key, "gram"])
+    first_side = side(left, "a")
+    first_side = _sorted(first_side) if rows is None else _sized(first_side, rows, BROADCAST_SPOTS)
+    pairs = first_side.join(side(right, "b"), ["dataset_id", *key, "gram"])
     la, lb = F.length("a_name"), F.length("b_name")
     longest = F.greatest(la, lb)
     edits = F.floor((1 - similarity) * longest + SLACK).cast("int")
@@ -187,8 +208,9 @@ def distant_pairs(spots: DataFrame, min_score: float) -> DataFrame:
     # One side without coordinates: names decide alone.
     named = with_prefixes(spots, min_score)
     blind = _placed(named, False)
-    others = _sides(blind, _placed(named, True), [], min_score).unionByName(
-        _sides(blind, blind, [], min_score).filter("a_spot < b_spot"))
+    rows = _placed(spots, False).count()
+    others = _sides(blind, _placed(named, True), [], min_score, rows).unionByName(
+        _sides(blind, blind, [], min_score, rows).filter("a_spot < b_spot"))
     found = others.withColumn("distance_m", F.lit(None).cast("double"))
     if least_far <= 1:  # also points out of reach of each other
         placed = with_prefixes(_placed(spots, True), least_far)
@@ -213,19 +235,21 @@ def near_offers(spots: DataFrame, names: DataFrame, ids: DataFrame, min_score: f
     # Numbers stand for names and places; they are fixed once the tables are stored.
     named = cut_lineage(names.withColumn("name_no", F.monotonically_increasing_id()))
     places = cut_lineage(placed.select(*place).distinct().withColumn("place_no", F.monotonically_increasing_id()))
-    numbered = cut_lineage(placed.join(named, ["dataset_id", "name"]).join(places, place).join(
-        ids.select("spot", F.size("ids").alias("n")), "spot").select("spot", "name_no", "place_no", "n"))
+    n_names, n_places = named.count(), places.count()
+    numbered = cut_lineage(placed.join(_sized(named, n_names, BROADCAST_ROWS), ["dataset_id", "name"]).join(
+        _sized(places, n_places, BROADCAST_ROWS), place).join(
+        _sorted(ids.select("spot", F.size("ids").alias("n"))), "spot").select("spot", "name_no", "place_no", "n"))
 
     alike = with_prefixes(named.withColumnRenamed("name_no", "spot").withColumns({
         "latitude": F.lit(None).cast("double"), "longitude": F.lit(None).cast("double")}), least_near)
-    alike = cut_lineage(_sides(alike, alike, [], least_near).select(
+    alike = cut_lineage(_sides(alike, alike, [], least_near, n_names).select(
         F.col("a_spot").alias("name_no"), F.col("b_spot").alias("other_name"), "similarity"))
 
     def side(df: DataFrame, mark: str) -> DataFrame:
         return df.select("dataset_id", "tile", *[F.col(c).alias(f"{mark}_{c}") for c in (
             "place_no", "latitude", "longitude")])
 
-    met = side(places.withColumn("tile", tiles.own(lat, lng)), "a").join(
+    met = _sized(side(places.withColumn("tile", tiles.own(lat, lng)), "a"), n_places, BROADCAST_ROWS).join(
         side(places.withColumn("tile", F.explode(tiles.around(lat, lng))), "b"), ["dataset_id", "tile"])
     met = cut_lineage(met.withColumn("distance_m", _apart()).filter(F.col("distance_m") <= reach).select(
         F.col("a_place_no").alias("place_no"), F.col("b_place_no").alias("other_place"), "distance_m"))
@@ -234,13 +258,14 @@ def near_offers(spots: DataFrame, names: DataFrame, ids: DataFrame, min_score: f
                             F.col("name_no").alias("other_name"), "n")
     nearer = F.sum("n").over(Window.partitionBy("place_no", "other_name").orderBy("__um").rangeBetween(
         Window.unboundedPreceding, -2))
-    around = met.join(there.drop("other"), "other_place").withColumn(
+    around = met.join(_sorted(there.drop("other")), "other_place").withColumn(
         "__um", F.floor(F.col("distance_m") * 1_000_000)).withColumn("__nearer", nearer).filter(
         F.coalesce("__nearer", F.lit(0)) <= limit).select("place_no", "other_name", "other_place", "distance_m")
-    offers = numbered.select("spot", "name_no", "place_no").join(alike, "name_no").join(
-        around, ["place_no", "other_name"]).filter(
+    offers = numbered.select("spot", "name_no", "place_no").join(
+        _sized(alike, alike.count(), BROADCAST_ROWS), "name_no").join(
+        _sorted(around), ["place_no", "other_name"]).filter(
         (F.col("name_no") != F.col("other_name")) | (F.col("place_no") != F.col("other_place")))
-    return _scored(offers.join(there.drop("n"), ["other_name", "other_place"]).select(
+    return _scored(offers.join(_sorted(there.drop("n")), ["other_name", "other_place"]).select(
         F.col("spot").alias("a_spot"), F.col("other").alias("b_spot"), "similarity", "distance_m"), min_score).select(
         F.col("a_spot").alias("spot"), F.col("b_spot").alias("other"), "similarity", "distance_m", "score")
 
@@ -277,14 +302,14 @@ def all_candidates(properties: DataFrame, min_score: float = 0.8, limit: int = 1
     same = F.when(F.col("latitude").isNotNull() & F.col("longitude").isNotNull(), F.lit(0.0))
     own = spots.select("spot", F.col("spot").alias("other"), F.lit(1.0).alias("similarity"),
                        same.alias("distance_m"), F.lit(1.0).alias("score"))
-    offered = lookup(both.unionByName(own), ids.withColumnRenamed("spot", "other"), ["other"], "inner")
+    offered = lookup(both.unionByName(own), _sorted(ids.withColumnRenamed("spot", "other")), ["other"], "inner")
     offered = offered.select("spot", F.explode("ids").alias("candidate_id"), *facts)
     best = Window.partitionBy("spot").orderBy(F.desc("score"), "candidate_id")
     kept = offered.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= limit + 1)
     lists = kept.groupBy("spot").agg(F.sort_array(F.collect_list(
         F.struct("n", "candidate_id", *facts))).alias("offers"))
 
-    offered = lookup(rows.select("property_id", "spot"), cut_lineage(lists), ["spot"], "inner")
+    offered = lookup(rows.select("property_id", "spot"), _sorted(cut_lineage(lists)), ["spot"], "inner")
     mine = F.slice(F.filter("offers", lambda o: o["candidate_id"] != F.col("property_id")), 1, limit)
     return offered.select("property_id", F.posexplode(mine).alias("at", "o")).select(
         "property_id", "o.candidate_id", (F.col("at") + 1).alias("rank"), *[f"o.{c}" for c in facts])
@@ -297,7 +322,7 @@ def candidates_with_reasons(properties: DataFrame, min_score: float = 0.8, limit
     for key, mark in (("property_id", "a"), ("candidate_id", "b")):
         side = properties.select(F.col("property_id").alias(key),
                                  *[F.col(c).alias(f"{mark}_{c}") for c in signals])
-        found = lookup(found, side, [key])
+        found = lookup(found, _sorted(side), [key])
     reasons = reasons_of_pair(*[F.col(f"{mark}_{c}") for c in signals for mark in "ab"])
     return found.withColumn("reasons", reasons).drop(
         *[f"{mark}_{c}" for c in signals for mark in "ab"])
