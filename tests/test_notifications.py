@@ -39,3 +39,25 @@ def test_the_query_makes_no_pairs_and_says_what_its_sql_says(spark, monkeypatch)
     for table in ("events", "customer", "part"):
         duck.execute(f"create view {table} as select * from '{FOLDER}/{table}.parquet'")
     assert got == sorted(duck.execute(registry.SQL["notifications"]).fetchall()) and got
+
+
+def test_every_event_is_matched_with_every_kind_of_rule(spark, monkeypatch):
+    """Pairs of events and kinds, opened to the rules of a kind, are the pairs of events and rules."""
+    events, rules, items = tables(spark)
+    events = events.selectExpr("*", "monotonically_increasing_id() AS event_id").localCheckpoint()
+    for limit in (100_000, 0):
+        monkeypatch.setattr(insights, "BROADCAST_RULES", limit)
+        for listed in (items, None):
+            pairs, members = insights.notification_classes(events, rules, listed)
+            opened = pairs.join(members, "kind").select("rule_id", "event_id", "event_type")
+            whole = insights.notifications(events, rules, listed).select("rule_id", "event_id", "event_type")
+            assert sorted(opened.collect()) == sorted(whole.collect())
+            assert members.select("kind").distinct().count() < members.count()
+
+
+def test_counts_come_from_the_matched_events(spark, monkeypatch):
+    events, rules, items = tables(spark)
+    seen, matched = [], insights._matched
+    monkeypatch.setattr(insights, "_matched", lambda e, *rest: (seen.append(e.count()), matched(e, *rest))[1])
+    assert insights.notification_counts(events, rules, items).count() > 10
+    assert seen == [events.count()]
